@@ -1,0 +1,75 @@
+"""What the operators of this subpackage share: the shared folder, staged tables and global ranks."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests, one machine)."""
+    told = spark.conf.get("spark.checkpoint.dir", "")
+    if told:
+        return told.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="rillway-")
+    return _OWN[app]
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/rillway/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and returns the written table: lineage ends there, and a lost executor loses nothing."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rillway_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no later result reads."""
+    for df in tables:
+        path = getattr(df, "_rillway_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """Adds each row's global place (long, from 0) in the order, without gathering rows in one task.
+
+    Rows are dealt by range and sorted in their partitions; only one count for each partition comes to the
+    driver, where prefix sums turn the counts into the partitions' bases.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(dealt.withColumn("__at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("__at", 33)
+    counts = sorted(map(tuple, placed.groupBy(part.alias("p")).count().collect()))
+    bases, total = [], 0
+    for p, n in counts:
+        bases.append((p, total))
+        total += n
+    base = placed.sparkSession.createDataFrame(bases or [(0, 0)], "__p long, __base long")
+    row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
+
+
+def words_pattern() -> str:
+    """A word: characters other than the six ASCII white space characters."""
+    return r"[^\x20\x09-\x0D]+"
+
+
+def plain_words(text: str) -> list[bytes]:
+    """The words of a text in lower case; bytes.split() cuts at the same six characters."""
+    return text.lower().encode("utf-8", "surrogatepass").split()
