@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from rillway.llm.language import op10_language_id
+from rillway.llm.mixing import OP6_SQL, op6_mix_sources
 from rillway.llm.packing import op1_best_fit_packing
+from rillway.llm.quality import OP9_SQL, op9_quality_rules
 from rillway.llm.token_files import op3_token_files
+from rillway.llm.topk import OP7_SQL, op7_maxscore_top_k
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_files": op3_token_files,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_maxscore_top_k": op7_maxscore_top_k,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_mix_sources": OP6_SQL,
+    "op7_maxscore_top_k": OP7_SQL,
+    "op9_quality_rules": OP9_SQL,
+}
