@@ -56,11 +56,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return table.select("__source", "__total", F.least((F.col("__total") * most).cast("double"), F.col("__weight") * F.lit(float(share))).alias("__target"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds __total, __target and __taken to rows of __source, __hash and __size.
+def thresholds(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    """For each source of rows of __source, __hash and __size: __total, __target, __times and __upto; and the number of hash bits that __upto is of.
 
-    A source whose target is q times its size and a rest takes every document q times and, of those with the lowest
-    hashes, as many once more as come nearest to the rest. Rows with the same hash are taken alike.
+    A source whose target is __times its size and a rest takes every document that often and, of those with the
+    lowest hashes, as many once more as come nearest to the rest: the ones whose leading bits are below __upto.
     """
     whole = F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(F.lit(0))
     state = targets.withColumn("__times", whole.cast("long"))
@@ -86,21 +86,22 @@ def mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             break
     # the boundary bucket goes in if that comes nearer to the rest than leaving it out
     nearer = F.abs(F.col("__below") + F.col("__bucket") - F.col("__rest")) < F.abs(F.col("__below") - F.col("__rest"))
-    final = state.withColumn("__upto", F.col("__prefix") + F.when(nearer, F.lit(1)).otherwise(F.lit(0)))
-    same = sizes["__source"].eqNullSafe(final["__source"])
-    once = F.when(F.shiftright("__hash", _BITS - bits) < F.col("__upto"), F.lit(1)).otherwise(F.lit(0))
-    joined = sizes.join(final.select("__source", *keep, "__upto"), same).drop(final["__source"])
-    return joined.withColumn("__taken", F.col("__size") * (F.col("__times") + once)).drop("__times", "__rest", "__upto")
-
-
-def measured(docs: DataFrame, extra: list[str] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Staged rows of __doc, __source, __size and __hash, with the columns named in extra."""
-    return stage(
-        docs.select(
-            F.col(id_col).alias("__doc"), F.col(source_col).cast("string").alias("__source"), word_count(F.col(text_col)).alias("__size"), place_hash(F.col(id_col)).alias("__hash"), *extra,
-        ),
-        "sizes",
-    )
+    upto = F.col("__prefix") + F.when(nearer, F.lit(1)).otherwise(F.lit(0))
+    return state.select("__source", "__total", "__target", "__times", upto.alias("__upto")), bits
+
+
+def times_taken(docs: DataFrame, found: tuple[DataFrame, int], source: Column, place: Column) -> DataFrame:
+    """Adds __total, __target and __takes (long) to each row. The table of sources is joined as its size allows; the rows aren't moved if it is small."""
+    table, bits = found
+    once = F.when(F.shiftright(place, _BITS - bits) < F.col("__upto"), F.lit(1)).otherwise(F.lit(0))
+    joined = docs.join(table.withColumnRenamed("__source", "__of"), source.eqNullSafe(F.col("__of")))
+    return joined.withColumn("__takes", F.col("__times") + once).drop("__of", "__times", "__upto")
+
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Staged rows of __doc, __source, __size and __hash."""
+    size = word_count(F.col(text_col))
+    return stage(docs.select(F.col(id_col).alias("__doc"), F.col(source_col).cast("string").alias("__source"), size.alias("__size"), place_hash(F.col(id_col)).alias("__hash")), "sizes")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
@@ -111,22 +112,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
     An empty table gives no rows.
     """
     sizes = measured(docs)
-    mixed = mix(sizes, source_targets(sizes, weights, budget, most))
+    found = thresholds(sizes, source_targets(sizes, weights, budget, most))
+    mixed = times_taken(sizes, found, F.col("__source"), F.col("__hash"))
     return mixed.select(
-        F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"),
+        F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__takes")).alias("taken"),
     )
 
 
-def select_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+def select_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it: 0 to most times, with all their columns as they are."""
-    sizes = measured(docs)
-    mixed = mix(sizes, source_targets(sizes, weights, budget, most))
-    # a row's decision depends on its source and hash alone, so the threshold joins back by source
-    times = F.when(F.col("__size") > 0, F.col("__taken") / F.col("__size")).otherwise(F.lit(1)).cast("int")
-    per_doc = mixed.select("__doc", "__source", "__hash", times.alias("__times")).groupBy("__doc", "__source").agg(F.max("__times").alias("__times"))
-    same = docs["doc_id"].eqNullSafe(per_doc["__doc"]) & docs["source"].cast("string").eqNullSafe(per_doc["__source"])
-    repeated = docs.join(per_doc, same).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    sizes = measured(docs, id_col, source_col=source_col)
+    found = thresholds(sizes, source_targets(sizes, weights, budget, most))
+    taken = times_taken(docs, found, F.col(source_col).cast("string"), place_hash(F.col(id_col))).where("__takes > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__takes")))).select(*docs.columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
