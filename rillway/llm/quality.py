@@ -20,11 +20,14 @@ MIN_WORDS = 20
 MOST_REPEATED = 30
 #: Part of a document's characters in words that its good lines must hold.
 LEAST_KEPT = 0.5
-SYMBOLS = "#*$%&|<>"
+#: A line of more characters isn't judged by boilerplate phrases.
+SHORT_LINE = 200
 #: A line's symbols, as a part of its characters, beyond which it fails.
 MOST_SYMBOLS = 0.1
 
-# Line rules in the syntax that Java and RE2 share; the SQL below uses the same strings.
+# Patterns in the syntax that Java and RE2 share; the SQL below uses the same strings.
+SYMBOL = r"[#*$%&|<>]"
+WHITE = r"[\x20\x09-\x0D]+"
 ENDS_WELL = r"""[.!?…:;"'”»)\]][\x20\x09-\x0D]*\z"""
 SEPARATOR = r"[|»›·•]"
 BOILERPLATE = (
@@ -47,8 +50,8 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows of that many words that occur twice or more in the array, the first included.
 
-    Windows are compared by 64-bit hashes of one text's windows, sorted with their places; equal neighbours are
-    repeats, and their places, sorted again, say which words they cover.
+    Windows are compared by 64-bit hashes, all of one text. If some are equal, they are sorted with their places;
+    equal neighbours are repeats, and their places, sorted again, say which words they cover.
     """
 
     def covered(places: Column) -> Column:
@@ -56,31 +59,38 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(window), p - acc["last"])).alias("n"))
         return F.aggregate(places, start, step, lambda acc: acc["n"])
 
-    def count(w: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.struct(F.xxhash64(F.slice(w, i, window)).alias("h"), i.alias("i")))
-        return bind(
-            F.sort_array(hashed),
-            lambda s: covered(F.sort_array(F.transform(F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False))), lambda x: x["i"]))),
-        )
+    def places(s: Column) -> Column:
+        twin = lambda x, k: F.coalesce(x["h"] == F.get(s, k)["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: twin(x, k - 1) | twin(x, k + 1)), lambda x: x["i"]))
 
-    return F.when(F.size(words) > window, count(words)).otherwise(F.lit(0).cast("long"))
+    def count(hashes: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(bind(by_hash, lambda s: covered(places(s))))
+
+    def windows(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) > window, bind(hashed, lambda w: bind(windows(w), count))).otherwise(F.lit(0).cast("long"))
 
 
 def plain_length(text: Column) -> Column:
     """Code points outside ASCII white space."""
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
+    return F.length(F.regexp_replace(text, WHITE, "")).cast("long")
 
 
 def symbol_count(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(SYMBOL)).cast("long")
 
 
 def line_is_good(line: Column) -> Column:
     """Whether a line with a word passes all rules."""
-    lowered = F.lower(line)
-    links = (F.regexp_count(line, F.lit(SEPARATOR)) >= 3) & (F.regexp_count(line, F.lit(words_pattern())) <= 6 * F.regexp_count(line, F.lit(SEPARATOR)))
-    shouted = line.rlike(UPPER) & ~line.rlike(LOWER) & (F.regexp_count(line, F.lit(words_pattern())) >= 4)
-    return line.rlike(ENDS_WELL) & ~lowered.rlike(BOILERPLATE) & ~links & ~shouted & (symbol_count(line) <= F.lit(MOST_SYMBOLS) * plain_length(line))
+    words = F.regexp_count(line, F.lit(words_pattern()))
+    links = (F.regexp_count(line, F.lit(SEPARATOR)) >= 3) & (words <= 6 * F.regexp_count(line, F.lit(SEPARATOR)))
+    shouted = ~line.rlike(LOWER) & line.rlike(UPPER) & (words >= 4)
+    phrases = (F.length(line) <= SHORT_LINE) & F.lower(line).rlike(BOILERPLATE)
+    symbols = (symbol_count(line) > 0) & (symbol_count(line) > F.lit(MOST_SYMBOLS) * plain_length(line))
+    return line.rlike(ENDS_WELL) & ~shouted & ~phrases & ~links & ~symbols
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -92,18 +102,23 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     worded = lambda line: line.rlike(words_pattern())
-    by_word = bind(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    by_word = bind(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     by_line = bind(
         F.filter(F.split(text, "\n"), worded),
-        lambda lines: F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.array_join(F.filter(lines, line_is_good), "\n").alias("clean_text")),
+        lambda lines: bind(
+            F.filter(lines, line_is_good),
+            lambda good: F.struct(
+                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.array_join(good, "\n").alias("clean_text"), (F.size(good) == F.size(lines)).alias("all_good"),
+            ),
+        ),
     )
     out = docs.withColumns({"__by_word": by_word, "__by_line": by_line})
     out = out.withColumns({
-        "n_words": F.col("__by_word.n_words"), "word_chars": plain_length(text), "n_symbols": symbol_count(text), "n_dup_lines": F.col("__by_line.n_dup_lines"),
+        "n_words": F.col("__by_word.n_words"), "word_chars": F.col("__by_word.word_chars"), "n_symbols": symbol_count(text), "n_dup_lines": F.col("__by_line.n_dup_lines"),
         "n_repeat_words": F.col("__by_word.n_repeat_words"), "clean_text": F.col("__by_line.clean_text"),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (plain_length(F.col("clean_text")) >= F.lit(LEAST_KEPT) * F.col("word_chars")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("__by_line.all_good") | (plain_length(F.col("clean_text")) >= F.lit(LEAST_KEPT) * F.col("word_chars"))))
     return out.drop("__by_word", "__by_line")
 
 
@@ -118,7 +133,7 @@ def _sql_text(pattern: str) -> str:
 
 _WS = r"'[\x20\x09-\x0D]'"
 _WORD = _sql_text(words_pattern())
-_SYMBOL = r"'[#*$%&|<>]'"
+_SYMBOL = _sql_text(SYMBOL)
 
 OP9_SQL = rf"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -140,7 +155,7 @@ marked AS (
   FROM lines),
 good AS (
   SELECT r, line, chars,
-         regexp_matches(line, {_sql_text(ENDS_WELL)}) AND NOT regexp_matches(lower(line), {_sql_text(BOILERPLATE)})
+         regexp_matches(line, {_sql_text(ENDS_WELL)}) AND NOT (length(line) <= {SHORT_LINE} AND regexp_matches(lower(line), {_sql_text(BOILERPLATE)}))
          AND NOT (marks >= 3 AND words <= 6 * marks)
          AND NOT (regexp_matches(line, '{UPPER}') AND NOT regexp_matches(line, '{LOWER}') AND words >= 4)
          AND symbols <= {MOST_SYMBOLS} * chars AS ok
