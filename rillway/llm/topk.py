@@ -22,29 +22,27 @@ from rillway.llm.common import stage
 SHARD = 8192
 QUERIES = 2048
 BLOCK = 1024
-#: Non-essential terms that are probed between two tests.
-PROBE = 4
+#: Non-essential terms that are probed for a whole block between two tests, as long as more than one in SPARSE documents competes.
+PROBE, SPARSE = 12, 64
 K = 20
 
 _FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
 def search_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query (row number, vector ids, scores): its k best of the shard's vectors, by score and then smaller id.
 
-    Vectors of the query's own id take no part. Sums are exact: floats hold them as long as they stay below 2**53,
-    beyond that numbers are Python integers.
+    Vectors of the query's own id take no part. Sums are exact: they are floats as long as these hold every integer
+    that can come up, and Python integers beyond.
     """
     m, n = len(queries), len(vectors)
-    largest = max(float(np.abs(queries).max(initial=0)), 1.0) * max(float(np.abs(vectors).max(initial=0)), 1.0) * max(queries.shape[1], 1)
-    kind = np.float64 if largest < 2.0**52 else object
-    q, v = queries.astype(kind), vectors.astype(kind)
+    width = queries.shape[1]
+    largest = 4.0 * max(float(np.abs(queries).max(initial=0)), 1.0) * max(float(np.abs(vectors).max(initial=0)), 1.0) * max(width, 1)
+    kind = np.float32 if largest < 2.0**24 else np.float64 if largest < 2.0**53 else object
     if kind is object:
         q, v = (np.array([[int(x) for x in row] for row in a], dtype=object).reshape(a.shape) for a in (queries, vectors))
+    else:
+        q, v = queries.astype(kind), vectors.astype(kind)
     top_ids: list[np.ndarray] = [np.zeros(0, np.int64)] * m
     top_scores: list[np.ndarray] = [np.zeros(0, kind)] * m
     if not n or not m:
@@ -52,51 +50,47 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     low_v, high_v = v.min(axis=0), v.max(axis=0)
     low = np.minimum(q * low_v, q * high_v)  # bounds of each query's contributions
     span = np.maximum(q * low_v, q * high_v) - low
-    floor_sum = low.sum(axis=1)
-    order = np.argsort(span.astype(float), axis=1, kind="stable")  # terms by rising bound
-    rising = np.cumsum(np.take_along_axis(span, order, axis=1), axis=1)
+    order = np.argsort(span.astype(np.float64), axis=1, kind="stable")  # terms by rising bound
+    place = np.argsort(order, axis=1, kind="stable")
+    nothing = np.zeros((m, 1), kind)
+    rising = np.concatenate([nothing, np.cumsum(np.take_along_axis(span, order, axis=1), axis=1)], axis=1)
+    # the most that the first j terms, from the smallest bound up, can give
+    most = rising + np.concatenate([nothing, np.cumsum(np.take_along_axis(low, order, axis=1), axis=1)], axis=1)
+    lowest = low.sum(axis=1)
+    every = np.arange(m)
     for a in range(0, n, BLOCK):
         block, block_ids = v[a : a + BLOCK], ids[a : a + BLOCK]
-        essential = q.copy()
-        spare = np.zeros(m, kind)  # what the non-essential terms can add to their lower bounds
-        loose = np.zeros(m, np.int64)  # how many are non-essential
-        limit = np.full(m, -np.inf)
-        for i in range(m):
-            if len(top_ids[i]) >= k:
-                limit[i] = float(top_scores[i][-1])
-                loose[i] = np.searchsorted(rising[i].astype(float), limit[i] - float(floor_sum[i]), side="left")
-                if loose[i]:
-                    out = order[i, : loose[i]]
-                    essential[i, out] = 0
-                    spare[i] = rising[i, loose[i] - 1] + low[i, out].sum()
-        partial = essential @ block.T
-        rows, columns = np.nonzero((partial + spare[:, None]) >= limit[:, None])
-        sums, rest = partial[rows, columns], spare[rows]
-        done = np.zeros(len(rows), np.int64)
-        while True:  # probe the next non-essential terms, those with the largest bounds first
-            at = np.flatnonzero(done < loose[rows])
-            if not len(at):
+        full = np.fromiter((len(x) >= k for x in top_ids), bool, m)
+        limit = np.array([top_scores[i][-1] if full[i] else most[i, width] for i in range(m)], kind)
+        # the non-essential terms: the longest run whose bounds together stay below the threshold
+        loose = np.where(full, ((rising < (limit - lowest)[:, None]).sum(axis=1) - 1).clip(0), 0)
+        sums = (q * (place >= loose[:, None])) @ block.T
+        while True:
+            rest = most[every, loose]
+            good = (sums + rest[:, None] >= limit[:, None]) | ~full[:, None]
+            if not loose.any() or np.count_nonzero(good) * SPARSE < good.size:
                 break
-            for _ in range(PROBE):
-                at = at[done[at] < loose[rows[at]]]
-                if not len(at):
-                    break
-                r = rows[at]
-                term = order[r, loose[r] - 1 - done[at]]
-                sums[at] += q[r, term] * block[columns[at], term]
-                rest[at] -= span[r, term] + low[r, term]
-                done[at] += 1
-            good = (sums + rest) >= limit[rows]
-            rows, columns, sums, rest, done = rows[good], columns[good], sums[good], rest[good], done[good]
+            # so many compete that the next terms are probed for all of the block
+            following = (loose - PROBE).clip(0)
+            sums = sums + (q * ((place >= following[:, None]) & (place < loose[:, None]))) @ block.T
+            loose = following
+        rows, columns = np.nonzero(good)
+        sums, left = sums[rows, columns], loose[rows]
+        while len(at := np.flatnonzero(left)):  # term by term for those that still compete
+            r = rows[at]
+            term = order[r, left[at] - 1]
+            sums[at] += q[r, term] * block[columns[at], term]
+            left[at] -= 1
+            good = (sums + most[rows, left] >= limit[rows]) | ~full[rows]
+            rows, columns, sums, left = rows[good], columns[good], sums[good], left[good]
         other = block_ids[columns] != query_ids[rows]
         rows, columns, sums = rows[other], columns[other], sums[other]
         cuts = np.searchsorted(rows, np.arange(m + 1))
-        for i in range(m):
+        for i in np.flatnonzero(np.diff(cuts)):
             some = slice(cuts[i], cuts[i + 1])
-            if cuts[i + 1] > cuts[i]:
-                every, scores = np.concatenate([top_ids[i], block_ids[columns[some]]]), np.concatenate([top_scores[i], sums[some]])
-                best = np.lexsort((every, -scores))[:k] if kind is not object else np.array(sorted(range(len(every)), key=lambda x: (-scores[x], every[x]))[:k])
-                top_ids[i], top_scores[i] = every[best], scores[best]
+            found, scores = np.concatenate([top_ids[i], block_ids[columns[some]]]), np.concatenate([top_scores[i], sums[some]])
+            best = np.lexsort((found, -scores))[:k] if kind is not object else np.array(sorted(range(len(found)), key=lambda x: (-scores[x], found[x]))[:k])
+            top_ids[i], top_scores[i] = found[best], scores[best]
     return [(i, top_ids[i], top_scores[i]) for i in range(m)]
 
 
