@@ -44,6 +44,6 @@ def conversion_rates(actions: DataFrame, flow: tuple[int, ...]) -> DataFrame:
 
 def conversion_text(rates: DataFrame) -> DataFrame:
     """One row: the rates in flow order as split=rate items."""
-    item = F.concat(F.col("split"), F.lit("="), F.coalesce(F.format_string("%.2f", F.col("rate")), F.lit("")))
+    item = F.concat(F.col("split"), F.lit("="), F.when(F.col("rate").isNotNull(), F.format_string("%.2f", F.col("rate"))).otherwise(""))
     listed = F.array_sort(F.collect_list(F.struct(F.col("step"), item.alias("item"))))
     return rates.agg(F.array_join(F.transform(listed, lambda x: x["item"]), "|").alias("convert_rate"))
