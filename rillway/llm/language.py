@@ -205,8 +205,9 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
     """Adds the predicted language and its score to every row, from its whole text alone.
 
     Null texts and texts without letters are und with score 0. Empty tables stay empty; rows that repeat are judged
-    alike; all columns of docs stay.
+    alike; all columns of docs stay, but for those that have the new columns' names.
     """
+    docs = docs.drop(lang_col, score_col)
     names = [*docs.columns, lang_col, score_col]
     schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
     at = docs.columns.index(text_col)

@@ -183,6 +183,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, length_col: str = "length") ->
     most one underfull sequence more for each block. No key decides where a row goes, so equal rows, hot sources and
     copies are spread. An empty table gives an empty table; a null length counts as 0.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     placed = stage(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     length = F.coalesce(F.col(length_col), F.lit(0))
     full = placed.where(length >= capacity)
