@@ -98,8 +98,13 @@ def signature(values: np.ndarray) -> np.ndarray:
     """The MinHash values of a set, 32 bits each."""
     a, b = _family()
     least = np.full(_HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(values), 512):
-        least = np.minimum(least, (values[k : k + 512, None] * a[None, :] + b[None, :]).min(axis=0))
+    room = np.empty((min(len(values), 128), _HASHES), np.uint64)  # stays in the processor's cache
+    for k in range(0, len(values), 128):
+        some = values[k : k + 128, None]
+        hashed = room[: len(some)]
+        np.multiply(some, a, out=hashed)
+        hashed += b
+        np.minimum(least, hashed.min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
