@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,13 +38,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that no later result reads."""
+    """Deletes staged tables that no later result reads, and lets Spark drop the shuffle files that nothing refers to any more."""
+    jvm = None
     for df in tables:
         path = getattr(df, "_rillway_path", None)
         if path:
             jvm = df.sparkSession.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if jvm:
+        gc.collect()
+        jvm.System.gc()
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:

@@ -29,6 +29,8 @@ THRESHOLD = 200
 FIRST = 64
 #: Bytes that are looked at together; a longer text is several such parts that overlap by a window.
 PART = 1 << 20
+#: Contexts of one name that are looked at in one task.
+TOGETHER = 2000
 _PLACE_BITS = 30
 _BASES = (0x9FB21C651E98DF25, 0xD1342543DE82EF95)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -84,17 +86,17 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def _parts(data: bytes, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+def _parts(data: bytes, threshold: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Parts that together hold every window once."""
     raw = np.frombuffer(data, np.uint8)
-    for a in range(0, max(1, len(raw) - threshold + 1), PART):
-        yield a, raw[a : a + PART + threshold - 1]
+    for a in range(0, max(1, len(raw) - threshold + 1), size):
+        yield a, raw[a : a + size + threshold - 1]
 
 
-def anchors(data: bytes, threshold: int, first: int) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors(data: bytes, threshold: int, first: int, size: int = PART) -> Iterator[tuple[np.ndarray, ...]]:
     """For each part: anchor's place, first and last start of its windows, name, and context's name."""
     keep = ~np.uint64((1 << _PLACE_BITS) - 1)
-    for a, part in _parts(data, threshold):
+    for a, part in _parts(data, threshold, size):
         if len(part) < threshold:
             continue
         name, context = Names(part, 0), Names(part, 1)
@@ -109,57 +111,106 @@ def anchors(data: bytes, threshold: int, first: int) -> Iterator[tuple[np.ndarra
         yield at + a, begin + a, end + a, every[at].view(np.int64), both.view(np.int64)
 
 
-_ANCHORS = "doc long, h long, at int, lo int, hi int, name long, context long"
+_ANCHORS = "doc long, h long, place long, name long, context long"
+#: An anchor's place and its windows' first and last start in one number; these start at most 2**16 - 1 bytes before it.
+_BEGIN, _END = "(place >> 32) - (place >> 16 & 65535)", "(place >> 32) - (place & 65535)"
 
 
-def _find_anchors(threshold: int, first: int):
+def _find_anchors(threshold: int, first: int, size: int):
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["doc", "h", "place", "name", "context"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
-            for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for found in anchors((text or "").encode("utf-8", "surrogatepass"), threshold, first):
-                    n = len(found[0])
-                    held.append((np.full(n, doc, np.int64), np.full(n, h, np.int64), *found))
-                if sum(len(x[0]) for x in held[-64:]) > 500_000 or len(held) >= 4096:
-                    yield _batch(held)
-                    held = []
+            rows_held = 0
+            for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for at, lo, hi, name, context in anchors((text or "").encode("utf-8", "surrogatepass"), threshold, first, size):
+                    n = len(at)
+                    held.append((np.full(n, doc, np.int64), np.full(n, h, np.int64), at << 32 | (at - lo) << 16 | (at - hi), name, context))
+                    rows_held += n
+                if rows_held > 200_000:
+                    yield batch_of(held)
+                    held, rows_held = [], 0
             if held:
-                yield _batch(held)
-
-    def _batch(held: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        columns = [np.concatenate(x) for x in zip(*held)]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], ["doc", "h", "at", "lo", "hi", "name", "context"])
+                yield batch_of(held)
 
     return rows
 
 
-def _windows(threshold: int):
-    """Of (text, anchors of one text: array of at, lo, hi, name, times): a row for each window of each."""
+def _contexts(threshold: int):
+    """Of (doc, h, body, wanted): a row for each wanted context with its bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for doc, h, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(_unpacked(text), np.uint8)
-                for a in range(0, max(1, len(data) - threshold + 1), PART):
-                    own = [x for x in wanted if a <= x["lo"] < a + PART]
-                    if not own:
-                        continue
-                    names = Names(data[a : a + PART + threshold - 1], 1)
-                    for x in own:
-                        p = np.arange(x["lo"], x["hi"] + 1)
-                        key = _mixed(names.of(p - a, p - a + threshold) + np.uint64(1) + (x["at"] - p).astype(np.uint64) * _ODD).view(np.int64)
-                        n = len(p)
-                        out.append((np.full(n, doc, np.int64), np.full(n, h, np.int64), p.astype(np.int32), np.full(n, x["name"], np.int64), key, np.full(n, x["times"] > 1)))
-                if sum(len(x[0]) for x in out[-64:]) > 500_000 or len(out) >= 4096:
-                    yield _table(out)
+            out: list[tuple] = []
+            for doc, h, body, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                data = _unpacked(body)
+                for x in wanted:
+                    at, lo, hi = x["place"] >> 32, x["place"] >> 16 & 0xFFFF, x["place"] & 0xFFFF
+                    out.append((doc, h, at - lo, lo, x["name"], x["kinds"], x["times"] > 1, data[at - lo : at - hi + threshold]))
+                if len(out) > 20_000:
+                    yield _context_batch(out)
                     out = []
             if out:
-                yield _table(out)
+                yield _context_batch(out)
+
+    return rows
+
+
+_CONTEXTS = "doc long, h long, begin long, before int, name long, kinds long, known boolean, bytes binary"
+
+
+def _context_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc", "h", "begin", "before", "name", "kinds", "known", "bytes"])
+
+
+def _window_names(begin_in: np.ndarray, size: np.ndarray, before: np.ndarray, name: np.ndarray, data: bytes, threshold: int) -> tuple[np.ndarray, ...]:
+    """Of contexts that lie in data at begin_in: for each of their windows the context, the start in it, and the name of window, place and anchor."""
+    names = Names(np.frombuffer(data, np.uint8), 1)
+    n = size - threshold + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    p = begin_in[owner] + start
+    window = names.of(p, p + threshold)
+    key = _mixed(window + (before[owner] - start).astype(np.uint64) * _ODD) ^ name[owner].astype(np.int64).view(np.uint64)
+    return owner, start, _mixed(key + _ODD)
 
-    def _table(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc", "h", "p", "name", "key", "known"])
+
+def _columns(table) -> tuple[np.ndarray, ...]:
+    sizes = np.fromiter((len(x) for x in table.column("bytes").to_pylist()), np.int64, table.num_rows)
+    return np.cumsum(sizes) - sizes, sizes, table.column("before").to_numpy().astype(np.int64), table.column("name").to_numpy(), b"".join(table.column("bytes").to_pylist())
+
+
+def _resolve(threshold: int):
+    """Of all contexts of some names: the spans of windows that occur in two of them, for those that aren't known as repeats."""
+
+    def spans(table):
+        owner, start, key = _window_names(*_columns(table), threshold)
+        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
+        known = table.column("known").to_numpy(zero_copy_only=False).astype(bool)
+        hit = np.flatnonzero((count[where] > 1) & ~known[owner])
+        new = np.flatnonzero(np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1)])) if len(hit) else hit
+        last = np.append(new[1:], len(hit)) - 1 if len(hit) else new
+        own, begin = owner[hit[new]], table.column("begin").to_numpy()
+        columns = [table.column("doc").to_numpy()[own], table.column("h").to_numpy()[own], begin[own] + start[hit[new]], begin[own] + start[hit[last]] + threshold]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc", "h", "lo", "hi"])
+
+    return spans
+
+
+def _windows(threshold: int):
+    """Of contexts: a row for each window."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                table = pa.Table.from_batches([batch.slice(a, 1000)])
+                owner, start, key = _window_names(*_columns(table), threshold)
+                columns = [table.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("doc", "h", "begin", "name", "known")]
+                columns[2] = columns[2] + start
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(key.view(np.int64))], ["doc", "h", "lo", "name", "known", "key"])
 
     return rows
 
@@ -207,7 +258,7 @@ def _cut(docs_of: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out))[:n], kinds)], names[:n])
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, part: int = PART, together: int = TOGETHER) -> DataFrame:
     """For every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes adds kept (binary) and spans.
 
     A byte is removed if it lies in a string of threshold bytes that starts at another place too, in the same text or
@@ -215,28 +266,42 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     Rows that repeat are further places, so they lose what they share; a null doc_id stays null. Other columns aren't
     read. An empty table gives no rows.
     """
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    found = stage(own.mapInArrow(_find_anchors(threshold, first), _ANCHORS), "anchors")
+    # a row is known by its id; where ids repeat, by its id and text: rows equal in both have the same result
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    repeated = docs.groupBy(key.alias("doc")).count().where("count > 1").limit(1).count()
+    h = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
+    own = docs.select(key.alias("doc"), h.alias("h"), F.col(text_col).alias("text"))
+    found = stage(own.mapInArrow(_find_anchors(threshold, first, part), _ANCHORS), "anchors")
     # round 1: names that occur once are gone
     names = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     left = stage(found.join(names, "name", "left_semi"), "repeated")
     discard(found)
     # round 2: contexts
-    one = F.min(F.struct("doc", "h", "at", "lo", "hi"))
+    one = F.min(F.struct("doc", "h", "place"))
     contexts = stage(left.groupBy("name", "context").agg(F.count("*").alias("times"), one.alias("one")), "contexts")
     whole = left.join(contexts.where("times > 1").select("name", "context"), ["name", "context"], "left_semi")
-    spans = whole.select("doc", "h", "lo", (F.col("hi") + threshold).alias("hi"))
+    spans = stage(whole.select("doc", "h", F.expr(_BEGIN).alias("lo"), (F.expr(_END) + threshold).alias("hi")), "whole")
+    discard(left)
     # round 3: windows of one context of each kind, where a name has several kinds
-    several = contexts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    chosen = contexts.join(several, "name", "left_semi").select("one.*", "name", "times")
-    by_text = chosen.groupBy("doc", "h").agg(F.collect_list(F.struct("at", "lo", "hi", "name", "times")).alias("wanted"))
-    opened = _packed(own).join(by_text, ["doc", "h"]).dropDuplicates(["doc", "h"])
-    windows = stage(opened.select("doc", "h", "body", "wanted").mapInArrow(_windows(threshold), "doc long, h long, p int, name long, key long, known boolean"), "windows")
-    counted = windows.groupBy("name", "key").agg(F.count("*").alias("n")).where("n > 1").select("name", "key")
-    edges = windows.where("not known").join(counted, ["name", "key"], "left_semi").select("doc", "h", F.col("p").alias("lo"), (F.col("p") + threshold).alias("hi"))
-    # runs of neighbouring windows are one span: the start less its place among the text's starts stays the same
+    several = contexts.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    chosen = contexts.join(several, "name").select("one.*", "name", "kinds", "times")
+    by_text = chosen.groupBy("doc", "h").agg(F.collect_list(F.struct("place", "name", "kinds", "times")).alias("wanted"))
+    opened = _packed(own).join(by_text, ["doc", "h"]).dropDuplicates(["doc", "h"]).select("doc", "h", "body", "wanted")
+    opened = stage(opened.mapInArrow(_contexts(threshold), _CONTEXTS), "opened")
+    discard(contexts)
+    # the contexts of a name come together in one task; names of very many contexts are counted window by window
+    few = opened.where(F.col("kinds") <= together)
+    lots = max(1, opened.count() // 4000)
+    lot = F.pmod(F.xxhash64("name"), F.lit(lots)).alias("lot")
+    edges = few.select(lot, "doc", "h", "begin", "before", "name", "known", "bytes").groupBy("lot").applyInArrow(_resolve(threshold), "doc long, h long, lo long, hi long")
+    many = opened.where(F.col("kinds") > together)
+    if many.limit(1).count():
+        windows = stage(many.select("doc", "h", "begin", "before", "name", "known", "bytes").mapInArrow(_windows(threshold), "doc long, h long, lo long, name long, known boolean, key long"), "windows")
+        counted = windows.groupBy("name", "key").agg(F.count("*").alias("n")).where("n > 1").select("name", "key")
+        alike = windows.where("not known").join(counted, ["name", "key"], "left_semi")
+        edges = edges.union(alike.select("doc", "h", "lo", (F.col("lo") + threshold).alias("hi")))
     by_doc = stage(spans.union(edges).groupBy("doc", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    discard(left, contexts, windows)
+    discard(spans, opened)
     every = _packed(own).join(by_doc, ["doc", "h"], "left").select("doc", "h", "body", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<begin:long,end:long>>" * with_bytes
 

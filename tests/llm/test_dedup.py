@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillway.llm import near, suffixes
+from rillway.llm import near
 from rillway.llm.components import components
 from rillway.llm.lines import OP2_SQL, op2_line_dedup, remove_repeated_lines
 from rillway.llm.near import first_of_each_class, near_duplicates, op4_jaccard_join
@@ -155,15 +155,14 @@ def removed(df):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 
 
-@pytest.mark.parametrize("threshold, first, part", [(200, 64, 1 << 20), (40, 16, 1 << 20), (40, 40, 100), (40, 16, 97), (7, 3, 50)])
-def test_repeats_against_brute_force(spark, monkeypatch, threshold, first, part):
-    monkeypatch.setattr(suffixes, "PART", part)
+@pytest.mark.parametrize("threshold, first, part, together", [(200, 64, 1 << 20, 2000), (40, 16, 1 << 20, 2), (40, 40, 100, 2000), (40, 16, 97, 3), (7, 3, 50, 2000)])
+def test_repeats_against_brute_force(spark, threshold, first, part, together):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("abé"), 300)) for _ in range(12)]
     texts += [texts[0], texts[1][:150] + texts[2][100:], "x" * 500, "xy" * 130, texts[3] + "z" + texts[3], texts[4][30:200] + "q", texts[5][:39], texts[5][:40]]
     docs = edge.documents(spark).select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
     docs = spark.createDataFrame(docs.collect(), "doc_id long, text string")
-    assert removed(remove_repeats(docs, threshold, first)) == brute_removal(docs.collect(), threshold)
+    assert removed(remove_repeats(docs, threshold, first, part=part, together=together)) == brute_removal(docs.collect(), threshold)
 
 
 def test_repeats_give_bytes_and_spans(spark):
