@@ -15,142 +15,133 @@ from rillway.llm.encoding import encoder, in_groups
 
 #: Pieces that one task packs together. Blocks grow in number with the input, never in size.
 BLOCK_PIECES = 65_536
-#: Other sequences that are looked at for a swap of one piece.
-PROBES = 64
+#: Steps of the search in one block, and what a step looks at of a single sequence and, for one for two, of sequences.
+STEPS, PROBES = 20_000, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Bins:
-    """Sequences and the free room in each; mask has a bit for each amount of room that some sequence has."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.mask = capacity, 0
-        self.held: list[list[int]] = []  # pieces of each sequence
-        self.room: list[int] = []
-        self.by_room: dict[int, set[int]] = {}
-
-    def _set(self, k: int, room: int, fresh: bool = False) -> None:
-        if not fresh:
-            old = self.room[k]
-            self.by_room[old].discard(k)
-            if not self.by_room[old]:
-                self.mask &= ~(1 << old)
-        self.room[k] = room
-        self.by_room.setdefault(room, set()).add(k)
-        self.mask |= 1 << room
-
-    def fitting(self, length: int, but: int = -1) -> int:
-        """The fullest sequence with that much room, other than but; -1 if none."""
-        m = self.mask >> length
-        while m:
-            low = m & -m
-            some = self.by_room[length + low.bit_length() - 1]
-            for k in some:
-                if k != but:
-                    return k
-            m ^= low
-        return -1
-
-    def put(self, piece: int, length: int) -> None:
-        k = self.fitting(length)
-        if k < 0:
-            k = len(self.held)
-            self.held.append([])
-            self.room.append(self.capacity)
-            self._set(k, self.capacity, fresh=True)
-        self.held[k].append(piece)
-        self._set(k, self.room[k] - length)
-
-    def trade(self, a: int, out: list[int], b: int, back: list[int], size) -> None:
+def best_fit(size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence of each piece and the room left in each sequence: by falling length into the fullest sequence with room.
+
+    mask has a bit for each amount of room that some sequence has, so the best fit is its lowest bit from the length on.
+    """
+    where, rooms, by_room, mask = np.zeros(len(size), np.int64), [], [[] for _ in range(capacity + 1)], 0
+    for x in np.argsort(-size, kind="stable").tolist():
+        n = int(size[x])
+        wide = mask >> n
+        if wide:
+            room = n + (wide & -wide).bit_length() - 1
+            k = by_room[room].pop()
+            if not by_room[room]:
+                mask ^= 1 << room
+        else:
+            k, room = len(rooms), capacity
+            rooms.append(0)
+        rooms[k] = room - n
+        by_room[room - n].append(k)
+        mask |= 1 << (room - n)
+        where[x] = k
+    return where, np.array(rooms, np.int64)
+
+
+class _Search:
+    """Swap-based local search from a packing: each step moves tokens from a sequence to one that is at least as full."""
+
+    def __init__(self, size: np.ndarray, where: np.ndarray, room: np.ndarray, capacity: int):
+        self.size, self.where, self.room, self.capacity = size, where, room, capacity
+        order = np.argsort(where, kind="stable")
+        self.held = [x.tolist() for x in np.split(order, np.cumsum(np.bincount(where, minlength=len(room)))[:-1])]
+
+    def trade(self, a: int, out: list[int], b: int, back: list[int]) -> None:
         """Moves out from a to b, and back from b to a."""
-        for x in out:
-            self.held[a].remove(x)
-        for x in back:
-            self.held[b].remove(x)
-        self.held[a] += back
-        self.held[b] += out
-        gain = sum(int(size[x]) for x in out) - sum(int(size[x]) for x in back)
-        self._set(a, self.room[a] + gain)
-        self._set(b, self.room[b] - gain)
-
-
-def _better(bins: _Bins, a: int, size) -> bool:
-    """One step that moves tokens out of a into a fuller sequence, so the sum of squared fill grows; False if none is found."""
-    mine = sorted(bins.held[a], key=lambda x: -int(size[x]))
-    for x in mine:  # move
-        b = bins.fitting(int(size[x]), but=a)
-        if b >= 0:
-            bins.trade(a, [x], b, [], size)
-            return True
-    others = []
-    for room in sorted((r for r, some in bins.by_room.items() if r and some), reverse=True):
-        others += [k for k in bins.by_room[room] if k != a and bins.room[k] <= bins.room[a] and bins.held[k]]
-        if len(others) >= PROBES:
-            break
-    best = None
-    for b in others[:PROBES]:
-        room = bins.room[b]
-        theirs = sorted(bins.held[b], key=lambda y: int(size[y]))
-        sizes = [int(size[y]) for y in theirs]
-        for i, x in enumerate(mine[:PROBES]):
-            n = int(size[x])
-            for y, m in zip(theirs, sizes):  # one for one
-                if 0 < n - m <= room and (best is None or n - m > best[0]):
-                    best = (n - m, [x], b, [y])
-            lo, hi = 0, len(sizes) - 1
-            while lo < hi:  # one of a for two of b, the two smaller together
-                gain = n - sizes[lo] - sizes[hi]
-                if gain <= 0:
-                    hi -= 1
+        gain = int(self.size[out].sum()) - int(self.size[back].sum())
+        self.held[a] = [x for x in self.held[a] if x not in out] + back
+        self.held[b] = [x for x in self.held[b] if x not in back] + out
+        self.where[out], self.where[back] = b, a
+        self.room[a] += gain
+        self.room[b] -= gain
+
+    def step(self, a: int) -> bool:
+        """One move or exchange that takes tokens out of a; False if none is found."""
+        size, room = self.size, self.room
+        mine = sorted(self.held[a], key=lambda x: -int(size[x]))[:PROBES]
+        fuller = room <= room[a]
+        fuller[a] = False
+        for x in mine:  # move: into the sequence that it fills best
+            fits = np.flatnonzero(fuller & (room >= size[x]))
+            if len(fits):
+                self.trade(a, [x], int(fits[np.argmin(room[fits])]), [])
+                return True
+        open_ = np.flatnonzero(fuller & (room > 0))
+        if not len(open_):
+            return False
+        inside = np.zeros(len(room), bool)
+        inside[open_] = True
+        theirs = np.flatnonzero(inside[self.where])
+        lengths, left = size[theirs], room[self.where[theirs]]
+        best = None
+        pairs = [[x, y] for i, x in enumerate(mine[:8]) for y in mine[i + 1 : 8]]
+        for some in (pairs, [[x] for x in mine]):  # two for one, then one for one
+            for out in some:
+                gain = int(size[out].sum()) - lengths
+                good = np.flatnonzero((gain > 0) & (gain <= left))
+                if len(good):
+                    k = good[np.argmin((left - gain)[good])]  # what fills the other best
+                    if best is None or left[k] - gain[k] < best[0]:
+                        best = (left[k] - gain[k], out, int(self.where[theirs[k]]), [int(theirs[k])])
+            if best:
+                break
+        if best is None:  # one for two
+            for b in open_[np.argsort(-room[open_], kind="stable")[:PROBES]].tolist():
+                other = sorted(self.held[b], key=lambda y: int(size[y]))[:PROBES]
+                for x in mine:
+                    for y, z in zip(other, other[1:]):
+                        gain = int(size[x]) - int(size[y]) - int(size[z])
+                        if 0 < gain <= room[b] and (best is None or room[b] - gain < best[0]):
+                            best = (room[b] - gain, [x], b, [y, z])
+        if best is None:
+            return False
+        self.trade(a, best[1], best[2], best[3])
+        return True
+
+    def run(self, steps: int) -> None:
+        """Empties sequences from the emptiest on, until none can be emptied, the fewest possible are left or the steps are used up."""
+        least = -(-int(self.size.sum()) // self.capacity)
+        used = sum(map(bool, self.held))
+        emptied = True
+        while emptied and used > least and steps > 0:
+            emptied = False
+            for a in np.argsort(-self.room, kind="stable").tolist():
+                if not self.held[a]:
                     continue
-                if gain <= room and (best is None or gain > best[0]):
-                    best = (gain, [x], b, [theirs[lo], theirs[hi]])
-                lo += 1
-            if i + 1 < len(mine):  # two of a for one of b
-                two = n + int(size[mine[i + 1]])
-                for y, m in zip(theirs, sizes):
-                    if 0 < two - m <= room and (best is None or two - m > best[0]):
-                        best = (two - m, [x, mine[i + 1]], b, [y])
-        if best and best[0] == room:
-            break
-    if best:
-        bins.trade(a, best[1], best[2], best[3], size)
-    return best is not None
-
-
-def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+                if not self.room[a] or used <= least or steps <= 0:
+                    break
+                while steps > 0 and self.held[a] and self.step(a):
+                    steps -= 1
+                steps -= 1
+                if not self.held[a]:
+                    self.room[a] = -1  # nothing may go there again
+                    used -= 1
+                    emptied = True
+
+
+def pack(lengths: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the place in it of each piece: best fit by falling length, then swap-based local search.
 
-    The search takes the emptiest sequence and moves, or exchanges one for one or two for one, so that tokens go to
-    fuller ones; each step raises the sum of squared fill, and a sequence that has become empty is gone. A sequence
-    for which no step is found is left as it is. Steps are at most 8 for each piece of the block.
+    The search takes the emptiest sequences and moves their pieces, or exchanges two for one, one for one or one for
+    two, so that tokens go to fuller sequences. Each step raises the sum of squared fill, so the search ends.
     """
     size = np.asarray(lengths, np.int64)
-    bins = _Bins(capacity)
-    for x in np.argsort(-size, kind="stable").tolist():
-        bins.put(x, int(size[x]))
-    stuck: set[int] = set()
-    steps = 8 * len(size)
-    queue = sorted((k for k in range(len(bins.held)) if bins.room[k]), key=lambda k: -bins.room[k])
-    for a in queue:
-        while steps > 0 and bins.held[a] and bins.room[a] and _better(bins, a, size):
-            steps -= 1
-        if bins.held[a]:
-            stuck.add(a)
-            if len(stuck) >= 4 * PROBES:
-                break
-        else:  # emptied: nothing may go there again
-            bins.by_room[bins.room[a]].discard(a)
-            if not bins.by_room[bins.room[a]]:
-                bins.mask &= ~(1 << bins.room[a])
-    where, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-    for k, some in enumerate(bins.held):
-        at = 0
-        for x in some:
-            where[x], offset[x] = k, at
-            at += int(size[x])
-    return where, offset
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    where, room = best_fit(size, capacity)
+    search = _Search(size, where, room, capacity)
+    search.run(steps)
+    offset = np.zeros(len(size), np.int64)
+    for some in search.held:
+        offset[some] = np.cumsum(size[some]) - size[some]
+    return search.where, offset
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

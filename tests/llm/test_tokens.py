@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from rillway.llm.common import new_path
 from rillway.llm.encoding import Encoder, in_groups
-from rillway.llm.packing import op1_best_fit_packing, pack, pack_documents, pack_pieces
+from rillway.llm.packing import best_fit, op1_best_fit_packing, pack, pack_documents, pack_pieces
 from rillway.llm.token_files import op3_token_files, read_token_files, write_token_files
 from tests.llm import edge
 
@@ -122,9 +122,12 @@ def test_search_finds_nearly_the_fewest(sizes):
 
 
 def test_swaps_beat_best_fit():
-    # falling best fit needs four sequences of 20 here, swaps empty one
-    sizes = [10, 9, 8, 7, 6, 5, 5, 5, 5]
-    assert len(set(pack(np.array(sizes), 20)[0].tolist())) == fewest(sizes, 20) == 3
+    size = np.random.default_rng(0).integers(800, 2000, 2000)
+    where, offset = pack(size, 4096)
+    assert np.bincount(where, size).max() <= 4096 and len(set(where.tolist())) < len(best_fit(size, 4096)[1])
+    for k in set(where.tolist()):
+        held = np.flatnonzero(where == k)
+        assert sorted(offset[held]) == [size[held][offset[held] < x].sum() for x in sorted(offset[held])]
 
 
 def test_pack_keeps_other_columns(spark):
