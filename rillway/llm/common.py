@@ -70,6 +70,32 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
     return placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
 
 
+_KEPT: dict = {}
+
+
+def kept(key, build):
+    """build() once in each Python worker for as long as the worker asks for the same key: it holds one large object at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        tidy()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, which workers that Spark uses again would otherwise hold."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def words_pattern() -> str:
     """A word: characters other than the six ASCII white space characters."""
     return r"[^\x20\x09-\x0D]+"

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from rillway.llm.common import kept
+
 #: Pieces that a worker remembers; beyond it starts over, which costs time and changes no id.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: White space besides blanks and line ends, and zero characters.
 _RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A blank inside a longer run of white space: byte-level words look past it.
@@ -27,14 +29,11 @@ _CLUSTER = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s][.,])|(?<=_[.,]))")
 #: In byte-level pieces they also hold on to white space before them, and line ends to white space around them.
 _HELD = re.compile(r"[.,](?:[^\w\s]|_|(?<=\W[.,])|(?<=_[.,])|(?<!.[.,]))")
 _BROKEN = re.compile(r"\n(?:\s|\Z|(?<=\s\n)|(?<!.\n))", re.S)
-_ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def encoder(path: str, keeps_space: bool) -> "Encoder":
     """One encoder for each worker process."""
-    if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
-    return _ENCODERS[path, keeps_space]
+    return kept(("encoder", path, keeps_space), lambda: Encoder(path, keeps_space))
 
 
 class Encoder:
@@ -147,7 +146,7 @@ class Encoder:
         return out
 
 
-def in_groups(texts: list[str | None], most: int = 5_000_000):
+def in_groups(texts: list[str | None], most: int = 3_000_000):
     """Index ranges of texts with about that many characters at most; a longer text is alone."""
     begin, held = 0, 0
     for k, text in enumerate(texts):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway.llm.common import kept, tidy
+
 #: Characters of labelled text for each language that the automata are built from: whole texts of at most
 #: SAMPLE_TEXT characters, by falling place in a fixed order, until the next would exceed SAMPLE_CHARS.
 SAMPLE_CHARS = 60_000
@@ -154,16 +156,10 @@ class Languages:
         return out
 
 
-_BUILT: dict[int, Languages] = {}
-
-
 def built(samples: list[tuple[str, list[str]]]) -> Languages:
     """The tables, built once in each worker process."""
     key = hash(tuple((name, tuple(texts)) for name, texts in samples))
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Languages(samples)
-    return _BUILT[key]
+    return kept(("languages", key), lambda: Languages(samples))
 
 
 def fold(doc_id) -> "F.Column":
@@ -218,8 +214,9 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
         languages = built(samples)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = [x for a, b in in_groups(texts, 4_000_000) for x in languages.judge(texts[a:b])]
+            found = [x for a, b in in_groups(texts, 2_000_000) for x in languages.judge(texts[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
+        tidy()
 
     return docs.mapInArrow(judge, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import stage
+from rillway.llm.common import stage, tidy
 from rillway.llm.encoding import encoder, in_groups
 
 #: Pieces that one task packs together. Blocks grow in number with the input, never in size.
@@ -163,6 +163,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
                         rows.append((doc, k // capacity, k, len(part), zlib.crc32(part.tobytes()), part)[: len(names)])
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 

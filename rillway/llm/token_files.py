@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import new_path
+from rillway.llm.common import new_path, tidy
 from rillway.llm.encoding import encoder, in_groups
 
 _SHARD = "shard long, name string, width int, n_docs long, n_tokens long"
@@ -73,6 +73,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         name = f"{base}/shard-{k:06d}"
         store.create_dir(base, recursive=True)
         _put(store, f"{name}.bin", attempt, (x for some in ((first,), parts) for x in some))
+        tidy()
         ends = np.concatenate([[0], np.cumsum(np.array(sizes, "<i8"))]).astype("<i8")
         _put(store, f"{name}.idx", attempt, iter([ends.tobytes()]))
         _put(store, f"{name}.doc", attempt, iter([np.concatenate(names).tobytes()]))
