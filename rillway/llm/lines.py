@@ -80,10 +80,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     units = stage(docs.select(key.alias("doc"), F.col(text_col).alias("text")).mapInArrow(_units, "doc long, place int, digest binary"), "units")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # staged before the join: so both sides are dealt anew, and a hot line's places can be split
+    first = units.groupBy("digest").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stage(first.select("digest", "first"), "first")
     again = units.join(first, "digest").where(F.struct("doc", "place") != F.col("first"))
     gone = stage(again.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set(F.struct("place", "digest")).alias("__gone")), "lines")
-    discard(units)
+    discard(units, first)
     names = docs.columns
     joined = docs.join(gone, key == F.col("__doc"), "left").select(*(docs[c] for c in names), "__gone")
     schema = joined.drop("__gone").withColumn("__spans", F.lit(None).cast("array<struct<begin:long,end:long>>")).schema
