@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, stage
+from rillway.llm.common import discard, stage, tidy
 
 THRESHOLD = 200
 FIRST = 64
@@ -116,12 +116,19 @@ _ANCHORS = "doc long, h long, place long, name long, context long"
 _BEGIN, _END = "(place >> 32) - (place >> 16 & 65535)", "(place >> 32) - (place & 65535)"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that Python holds few texts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _find_anchors(threshold: int, first: int, size: int):
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["doc", "h", "place", "name", "context"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             held: list[tuple] = []
             rows_held = 0
             for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -134,6 +141,7 @@ def _find_anchors(threshold: int, first: int, size: int):
                     held, rows_held = [], 0
             if held:
                 yield batch_of(held)
+        tidy()
 
     return rows
 
@@ -142,14 +150,14 @@ def _contexts(threshold: int):
     """Of (doc, h, body, wanted): a row for each wanted context with its bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple] = []
             for doc, h, body, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                 data = _unpacked(body)
                 for x in wanted:
                     at, lo, hi = x["place"] >> 32, x["place"] >> 16 & 0xFFFF, x["place"] & 0xFFFF
                     out.append((doc, h, at - lo, lo, x["name"], x["kinds"], x["times"] > 1, data[at - lo : at - hi + threshold]))
-                if len(out) > 20_000:
+                if len(out) > 5_000:
                     yield _context_batch(out)
                     out = []
             if out:
@@ -222,7 +230,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in _slices(batches):
             bodies = [pack((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["doc", "h", "body"])
 
@@ -273,9 +281,10 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     own = docs.select(key.alias("doc"), h.alias("h"), F.col(text_col).alias("text"))
     found = stage(own.mapInArrow(_find_anchors(threshold, first, part), _ANCHORS), "anchors")
     # round 1: names that occur once are gone
-    names = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # counts are staged before they are joined: so both sides are dealt anew, and a hot name's rows can be split
+    names = stage(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
     left = stage(found.join(names, "name", "left_semi"), "repeated")
-    discard(found)
+    discard(found, names)
     # round 2: contexts
     one = F.min(F.struct("doc", "h", "place"))
     contexts = stage(left.groupBy("name", "context").agg(F.count("*").alias("times"), one.alias("one")), "contexts")
@@ -283,12 +292,12 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     spans = stage(whole.select("doc", "h", F.expr(_BEGIN).alias("lo"), (F.expr(_END) + threshold).alias("hi")), "whole")
     discard(left)
     # round 3: windows of one context of each kind, where a name has several kinds
-    several = contexts.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = stage(contexts.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     chosen = contexts.join(several, "name").select("one.*", "name", "kinds", "times")
     by_text = chosen.groupBy("doc", "h").agg(F.collect_list(F.struct("place", "name", "kinds", "times")).alias("wanted"))
     opened = _packed(own).join(by_text, ["doc", "h"]).dropDuplicates(["doc", "h"]).select("doc", "h", "body", "wanted")
     opened = stage(opened.mapInArrow(_contexts(threshold), _CONTEXTS), "opened")
-    discard(contexts)
+    discard(contexts, several)
     # the contexts of a name come together in one task; names of very many contexts are counted window by window
     few = opened.where(F.col("kinds") <= together)
     lots = max(1, opened.count() // 4000)
@@ -297,7 +306,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     many = opened.where(F.col("kinds") > together)
     if many.limit(1).count():
         windows = stage(many.select("doc", "h", "begin", "before", "name", "known", "bytes").mapInArrow(_windows(threshold), "doc long, h long, lo long, name long, known boolean, key long"), "windows")
-        counted = windows.groupBy("name", "key").agg(F.count("*").alias("n")).where("n > 1").select("name", "key")
+        counted = stage(windows.groupBy("name", "key").agg(F.count("*").alias("n")).where("n > 1").select("name", "key"), "counted")
         alike = windows.where("not known").join(counted, ["name", "key"], "left_semi")
         edges = edges.union(alike.select("doc", "h", "lo", (F.col("lo") + threshold).alias("hi")))
     by_doc = stage(spans.union(edges).groupBy("doc", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
@@ -306,9 +315,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<begin:long,end:long>>" * with_bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                yield _cut(batch.slice(a, 512), with_bytes)
+        for batch in _slices(batches):
+            yield _cut(batch, with_bytes)
+        tidy()
 
     return every.mapInArrow(cut, schema)
 
