@@ -20,17 +20,18 @@ def components(links: DataFrame) -> DataFrame:
     now = stage(both, "links")
     while True:
         around = now.select("a", "b").union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # minima are staged before they are joined: so both sides are dealt anew, and a hub's links can be split
+        least = stage(around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = around.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         starred = stage(large, "links")
-        lower = starred.groupBy("a").agg(F.min("b").alias("m"))
+        lower = stage(starred.groupBy("a").agg(F.min("b").alias("m")), "least")
         tied = starred.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = stage(tied.union(lower.select("a", F.col("m").alias("b"))).distinct(), "links")
         # done when every node has one link and what it links to has none
         heads = small.select(F.col("b").alias("a")).distinct()
         several = small.groupBy("a").count().where("count > 1").select("a")
         open_ends = small.select("a").join(heads, "a", "left_semi").select("a").union(several).limit(1).count()
-        discard(now, starred)
+        discard(now, starred, least, lower)
         now = small
         if not open_ends:
             break

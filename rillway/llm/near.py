@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, plain_words, stage
+from rillway.llm.common import discard, plain_words, stage, tidy
 from rillway.llm.components import components
 
 SHINGLE = 5
@@ -166,6 +166,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[3].append(bands(sig) if len(own) else np.zeros(0, np.int64))
         kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["doc_id", "digest", "n", "sig", "bands"])
+    tidy()
 
 
 def _pruned(pairs: DataFrame, signatures: DataFrame, similar: float) -> DataFrame:
@@ -255,7 +256,7 @@ def _compare(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
     groups: id, component, copies; texts: id, text. A text has a row for each pair of blocks that it has links in.
     """
-    sized = groups.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    sized = stage(groups.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"), "sized")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     placed = groups.join(sized, "component").withColumn("blocks", blocks)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -308,13 +309,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     group = stage(components(tied), "groups")
     # members of one bucket in different groups: each such pair is a candidate by itself
     named = inside.select("band", "id").join(group, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    torn = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    torn = stage(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "torn")
     apart = stage(named.join(torn, "band").select("band", "id", "component"), "apart")
     across = apart.toDF("band", "a", "ca").join(apart.toDF("band", "b", "cb"), "band").where("ca < cb").select("a", "b").distinct()
     more = stage(_pruned(across, signatures, SIMILAR), "across")
     if more.limit(1).count():
         group = stage(components(tied.union(more)), "groups")
-    discard(buckets, inside, apart)
+    discard(buckets, inside, apart, torn)
     # the text of one copy for each text that is in a group
     chosen = group.join(reps.select("id", "digest", "copy_id"), "id").select("id", F.col("copy_id").alias("doc_id"), "digest")
     texts = own.join(chosen, "doc_id").select("id", "text", "digest").mapInArrow(_of_digest, "id long, text string").dropDuplicates(["id"])
@@ -322,10 +323,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined = components(found.where("other <> id").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_text = reps.select("id", "digest", "copy_id", "copies").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = of_text.groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    smallest = stage(of_text.groupBy("component").agg(F.min("copy_id").alias("class_id")), "smallest")
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
     classes = stage(of_text.join(smallest, "component").join(counts, "id", "left").select("digest", "class_id", "copy_id", links), "classes")
-    discard(tied, more, group, found, reps)
+    discard(tied, more, group, found, reps, smallest)
     alone = table.where("n = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return table.where("n > 0").select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "copy_id", "n_links").unionByName(alone)
 
