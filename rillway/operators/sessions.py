@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,6 +80,15 @@ def bucket_counts(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.count("*").alias("session_count"), *counts)
 
 
+def observed(sessions: DataFrame, name: str = "session_buckets") -> tuple[DataFrame, Observation]:
+    """sessions as they are, and the bucket counts as a side effect of the first action on them."""
+    side = Observation(name)
+    counts = [F.count("*").alias("session_count")]
+    counts += [F.count_if(_in_bucket(F.col("visit_length"), low, high)).alias(f"visit_{label}") for label, low, high in VISIT_BUCKETS]
+    counts += [F.count_if(_in_bucket(F.col("step_length"), low, high)).alias(f"step_{label}") for label, low, high in STEP_BUCKETS]
+    return sessions.observe(side, *counts), side
+
+
 def session_statistics(sessions: DataFrame) -> DataFrame:
     """One row: session_count and each bucket's share, rounded half up to two digits; null shares without sessions."""
     counts = bucket_counts(sessions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from rillway.params import TaskParams
 from rillway.plans import adapters as a
 from rillway.plans import sql as s
 from rillway.session import scratch
-from rillway.sinks import VersionedTable
+from rillway.sinks import VersionedTable, append
 from rillway.sources import logs, registry, streams
 from rillway.streaming import ads as live
 
@@ -410,6 +411,15 @@ def json_source(spark, d):
     return spark.table("rw_nation_json").select("n_nationkey", "n_name", "n_regionkey")
 
 
+@query(s.JSON_SOURCE)
+def jdbc_source(spark, d):
+    """By way of a database inside the driver, where there is no other."""
+    url, driver = f"jdbc:derby:memory:rw{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    append(a.table(spark, d, "nation"), url, "jdbc", dbtable="NATION", driver=driver)
+    registry.register(spark, [{"datasource_type": registry.MYSQL, "url": url, "source_table": "NATION", "target_table": "rw_nation_jdbc", "driver": driver}])
+    return spark.table("rw_nation_jdbc").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
 @query(s.FEDERATED_JOIN)
 def federated_join(spark, d):
     path = scratch(spark, "region-json")

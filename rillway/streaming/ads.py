@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rillway.operators import ads
@@ -21,7 +22,7 @@ WATERMARK = "60 minutes"
 def start(stream: DataFrame, table: VersionedTable, checkpoint: str, mode: str = "complete", each: Callable[[DataFrame], DataFrame] | None = None, keys: list[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Runs a stream into a table: whole results in complete mode, upserts by keys in update mode, added rows in append mode.
 
-    blacklists and other tables that change belong into each, which sees every batch.
+    each, if given, makes of every batch what is written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -44,6 +45,23 @@ def finished(query: StreamingQuery, table: VersionedTable) -> DataFrame:
     return table.read()
 
 
+def with_fresh_blacklist(clicks: DataFrame, load: Callable[[], DataFrame], table: VersionedTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Daily counts with a blacklist that load() reads anew for every batch, so changes to it hold from the next batch on.
+
+    Each batch is counted and added to the version before its own, so one that is repeated adds nothing twice.
+    """
+    keys = ["date", "user_id", "ad_id"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = user_daily(batch, load())
+        old = table.read(before=number)
+        both = fresh if old is None else old.unionByName(fresh)
+        table.write(both.groupBy(*keys).agg(F.sum("click_count").alias("click_count")), number)
+
+    writer = clicks.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def user_daily(clicks: DataFrame, blacklist: DataFrame) -> DataFrame:
     return ads.user_daily_counts(ads.without_blacklisted(clicks, blacklist))
 

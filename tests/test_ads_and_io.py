@@ -108,3 +108,27 @@ def test_log_load(spark, tmp_path):
     assert found == [("1", "20240101", "05", "05"), ("2", "20240101", "05", "05"), ("4", "20240101", "23", "55")]
     assert not logs.load_logs(spark, f"file://{folder}", parse, F.to_timestamp("time"), f"file://{tmp_path}/out", expected_files=2, checks=1).ok
     assert logs.load_logs(spark, f"file://{folder}", lambda d: d.select("missing"), F.to_timestamp("time"), f"file://{tmp_path}/out").message.startswith("执行异常")
+
+
+def test_a_changed_blacklist_holds_from_the_next_batch(spark, tmp_path):
+    folder, result = tmp_path / "in", sinks.VersionedTable(spark, f"file://{tmp_path}/out")
+    folder.mkdir()
+    banned = []
+    load = lambda: spark.createDataFrame([(u,) for u in banned], "user_id long")
+    for k in range(3):
+        (folder / f"{k}.txt").write_text(f"{line(k, user=1)}\n{line(k, user=2)}\n")
+        clicks = ads.parse_clicks(streams.file_lines(spark, f"file://{folder}"))
+        live.with_fresh_blacklist(clicks, load, result, f"file://{tmp_path}/state").awaitTermination()
+        banned = [2]
+    assert {r.user_id: r.click_count for r in result.read().collect()} == {1: 3, 2: 1}
+
+
+def test_published_partitions_are_added_to_the_table(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("1\t2024-01-01 05:07:00\n")
+    spark.sql(f"CREATE TABLE loaded (n STRING, time STRING, d STRING, h STRING, m5 STRING) USING orc PARTITIONED BY (d, h, m5) LOCATION 'file://{tmp_path}/out'")
+    for _ in range(2):
+        done = logs.load_logs(spark, f"file://{tmp_path}/logs", logs.delimited(["n", "time"], "time"), F.to_timestamp("time"), f"file://{tmp_path}/out", table="loaded")
+        assert done.ok
+    assert [tuple(r) for r in spark.table("loaded").select("n", "h", "m5").collect()] == [("1", "05", "05")]
+    spark.sql("DROP TABLE loaded")

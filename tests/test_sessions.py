@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rillway.operators import categories, funnel, products, sessions, skew
 from rillway.params import TaskParams, task_params
+from rillway.plans import jobs
 from rillway.sources.mock import mock_tables
 
 ACTION = "date string, user_id long, session_id string, page_id long, action_time timestamp, action_id long, search_keyword string, click_category_id long, click_product_id long, order_category_ids string, pay_category_ids string, city_id long"
@@ -151,3 +152,22 @@ def test_mock_tables_are_reproducible(spark):
     assert one["user_visit_action"].collect() == two["user_visit_action"].collect()
     kinds = F.expr("int(search_keyword IS NOT NULL) + int(click_category_id IS NOT NULL) + int(order_category_ids IS NOT NULL) + int(pay_category_ids IS NOT NULL)")
     assert one["user_visit_action"].where(kinds != 1).count() == 0
+
+
+def test_session_job_writes_every_result(spark, tmp_path):
+    made = mock_tables(spark, users=6, sessions=3, actions=20, seed=2)
+    actions = made["user_visit_action"].withColumns({"action_time": F.to_timestamp("action_time"), "action_id": F.monotonically_increasing_id()})
+    with jobs.session_job(actions, made["user_info"], TaskParams(), extract=10) as results:
+        jobs.save(results, f"file://{tmp_path}", 7)
+    for name in results:
+        rows = spark.read.parquet(f"file://{tmp_path}/{name}")
+        assert rows.count() > 0 and {r.task_id for r in rows.select("task_id").collect()} == {7}
+    cities = spark.createDataFrame([(k, f"c{k}", "华东") for k in range(10)], "city_id long, city_name string, area string")
+    found = jobs.product_job(actions, cities, made["product_info"], TaskParams())["area_top3_product"]
+    assert found.count() == 3 and jobs.funnel_job(actions, TaskParams(target_page_flow=(1, 2)))["page_split_convert_rate"].count() == 1
+
+
+def test_observed_counts_are_the_bucket_counts(spark):
+    rows = spark.createDataFrame([(v, v) for v in (0, 2, 5, 70)], "visit_length long, step_length long")
+    same, side = sessions.observed(rows)
+    assert same.count() == 4 and side.get == sessions.bucket_counts(rows).first().asDict()
