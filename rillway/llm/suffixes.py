@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, stage, tidy
+from rillway.llm.common import discard, stage, tidy, whole_texts, with_rank
 
 THRESHOLD = 200
 FIRST = 64
@@ -274,6 +274,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     Rows that repeat are further places, so they lose what they share; a null doc_id stays null. Other columns aren't
     read. An empty table gives no rows.
     """
+    whole_texts(docs.sparkSession)
     # a row is known by its id; where ids repeat, by its id and text: rows equal in both have the same result
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     repeated = docs.groupBy(key.alias("doc")).count().where("count > 1").limit(1).count()
@@ -322,5 +323,37 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     return every.mapInArrow(cut, schema)
 
 
+def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, at: where strings of threshold bytes start that start elsewhere too, by plain prefix doubling; ids must be unique.
+
+    Every position has a rank for its first bytes; each round sorts pairs of a position's rank and that at the growing
+    offset, ranks the pairs anew and drops the positions whose pair is unique, until threshold bytes are ranked. It
+    moves each position several times in the first rounds, tens of times the input, so remove_repeats thins the
+    positions first; tests hold the two against each other.
+    """
+    length = min(8, threshold)
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+                n = len(raw) - length + 1
+                if n > 0:
+                    rank = sum(raw[k : k + n] << 8 * (length - 1 - k) for k in range(length))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(n)), pa.array(rank)], ["doc", "at", "rank"])
+
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    now = own.mapInArrow(starts, "doc long, at long, rank long").withColumn("next", F.lit(0).cast("long"))
+    while True:
+        pairs = now.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select("rank", "next")
+        ranked = with_rank(pairs, [F.col("rank"), F.col("next")], "new", "ranks")
+        kept = stage(now.join(ranked, ["rank", "next"]).select("doc", "at", F.col("new").alias("rank")), "positions")
+        if length == threshold:
+            return kept.select("doc", "at")
+        step = min(length, threshold - length)
+        now = kept.join(kept.select("doc", (F.col("at") - step).alias("at"), F.col("rank").alias("next")), ["doc", "at"])
+        length += step
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -9,7 +9,7 @@ from rillway.llm import near
 from rillway.llm.components import components
 from rillway.llm.lines import OP2_SQL, op2_line_dedup, remove_repeated_lines
 from rillway.llm.near import first_of_each_class, near_duplicates, op4_jaccard_join
-from rillway.llm.suffixes import op8_suffix_dedup, remove_repeats
+from rillway.llm.suffixes import op8_suffix_dedup, remove_repeats, repeated_starts
 from tests.compare import same_rows
 from tests.llm import edge
 
@@ -175,3 +175,13 @@ def test_repeats_give_bytes_and_spans(spark):
 def test_op8_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text"))
     assert removed(op8_suffix_dedup(spark, sf_dir)) == brute_removal(docs.collect(), 200)
+
+
+@pytest.mark.parametrize("threshold", [5, 8, 40, 200])
+def test_thinned_positions_against_plain_doubling(spark, sf_dir, threshold):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 24").select("doc_id", "text")
+    covered = defaultdict(set)
+    for r in repeated_starts(docs, threshold).collect():
+        covered[r.doc].update(range(r.at, r.at + threshold))
+    out = remove_repeats(docs, threshold, min(4, threshold), with_bytes=True).collect()
+    assert {r.doc_id: {k for s in r.spans for k in range(s.begin, s.end)} for r in out if r.n_spans} == covered
