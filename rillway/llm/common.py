@@ -70,6 +70,17 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
     return placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
 
 
+#: Rows of an Arrow batch, where these are whole texts.
+BATCH_ROWS = 1000
+
+
+def whole_texts(spark: SparkSession) -> None:
+    """Lets Arrow batches hold BATCH_ROWS rows at most in this session, so that tasks hold few texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 _KEPT: dict = {}
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from rillway.llm.common import kept
 
 #: Pieces that a worker remembers; beyond it starts over, which costs time and changes no id.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: White space besides blanks and line ends, and zero characters.
 _RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A blank inside a longer run of white space: byte-level words look past it.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import kept, tidy
+from rillway.llm.common import kept, tidy, whole_texts
 
 #: Characters of labelled text for each language that the automata are built from: whole texts of at most
 #: SAMPLE_TEXT characters, by falling place in a fixed order, until the next would exceed SAMPLE_CHARS.
@@ -203,6 +203,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
     Null texts and texts without letters are und with score 0. Empty tables stay empty; rows that repeat are judged
     alike; all columns of docs stay, but for those that have the new columns' names.
     """
+    whole_texts(docs.sparkSession)
     docs = docs.drop(lang_col, score_col)
     names = [*docs.columns, lang_col, score_col]
     schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, plain_words, stage
+from rillway.llm.common import discard, plain_words, stage, tidy, whole_texts
 
 #: A line of fewer words repeats by chance; it counts as a repeat only together with the line before it.
 MIN_WORDS = 4
@@ -38,6 +38,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places.append(at)
                 digests.append(digest)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], ["doc", "place", "digest"])
+    tidy()
 
 
 def _cut(names: list[str], text_col: str, schema: pa.Schema):
@@ -66,6 +67,7 @@ def _cut(names: list[str], text_col: str, schema: pa.Schema):
             columns = [*batch.columns[: len(names)], pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*names, "__spans"])
+        tidy()
 
     return rows
 
@@ -78,6 +80,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lines are repeats becomes empty. Rows that share a doc_id share ranks: equal lines at equal places in them are one
     occurrence and are treated alike. Blank lines stay. An empty table stays empty.
     """
+    whole_texts(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     units = stage(docs.select(key.alias("doc"), F.col(text_col).alias("text")).mapInArrow(_units, "doc long, place int, digest binary"), "units")
     # staged before the join: so both sides are dealt anew, and a hot line's places can be split

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, plain_words, stage, tidy
+from rillway.llm.common import discard, plain_words, stage, tidy, whole_texts
 from rillway.llm.components import components
 
 SHINGLE = 5
@@ -183,6 +183,7 @@ def _pruned(pairs: DataFrame, signatures: DataFrame, similar: float) -> DataFram
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, _HASHES) for k in (2, 3))
             good = plausible(left, right, similar, TOLERANCE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+        tidy()
 
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
@@ -286,6 +287,7 @@ def _compare(groups: DataFrame, texts: DataFrame) -> DataFrame:
             some = np.flatnonzero(links)
             out.append((ids[a:b][some], ids[a:b][_roots(b - a, p, q)[some]], links[some]))
         columns = [np.concatenate(x) for x in zip(*out)]
+        tidy()
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["id", "other", "links"])
 
     return dealt.groupBy("lot").applyInArrow(pairs, "id long, other long, links long")
@@ -293,6 +295,7 @@ def _compare(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id (null ids as the largest long), digest, class_id, copy_id, n_links for every row."""
+    whole_texts(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text"))
     table = stage(own.mapInArrow(_sketch, "doc_id long, digest binary, n int, sig binary, bands array<long>"), "sketches")
     # one row for all copies

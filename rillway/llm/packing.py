@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import stage, tidy
+from rillway.llm.common import stage, tidy, whole_texts
 from rillway.llm.encoding import encoder, in_groups
 
 #: Pieces that one task packs together. Blocks grow in number with the input, never in size.
@@ -146,6 +146,7 @@ def pack(lengths: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.nda
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document's ids (with end_id); only documents of over capacity ids are cut."""
+    whole_texts(docs.sparkSession)
     schema = _PIECES + ", ids array<int>" * with_ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 

@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rillway.llm.common import whole_texts
+
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)\]\]>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[!?/][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -287,6 +289,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", si
     Rows that repeat are treated alike, other columns stay (those with the new columns' names are replaced), an empty
     table stays empty. The whole page is read, however long it is.
     """
+    whole_texts(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html_col, text_col, size_col)]
     chosen = pages.select(*others, html_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), f"`{text_col}` string", f"`{size_col}` long"])
