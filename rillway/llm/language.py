@@ -140,19 +140,25 @@ class Languages:
                 out[k] += np.bincount(owner[lane : lane + 4096], count, len(texts)).astype(np.int64)
         return out
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language and a score from 0 to 1: the share of phrases by which the runner-up needs more, und and 0.0 without letters."""
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """The language, a score from 0 to 1 and the mean length of its phrases.
+
+        The score is the share of phrases that the language saves against the runner-up. Texts without letters are
+        und, 0.0 and 0.0.
+        """
+        out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
         known = [k for k, x in enumerate(texts) if x and _LETTER.search(x)]
         if not known or not self.names:
             return out
-        counts = self.phrases([texts[k] for k in known])
+        chosen = [texts[k] for k in known]
+        counts = self.phrases(chosen)
         best = np.argmin(counts, axis=0)  # ties: the first name
         least = counts[best, np.arange(len(known))].astype(float)
         second = np.partition(counts, 1, axis=0)[1] if len(self.names) > 1 else np.full(len(known), np.inf)
         score = 1.0 - least / second
-        for k, b, s in zip(known, best.tolist(), score.tolist()):
-            out[k] = (self.names[b], s)
+        mean = self.coded(chosen)[1] / least
+        for k, b, s, m in zip(known, best.tolist(), score.tolist(), mean.tolist()):
+            out[k] = (self.names[b], s, m)
         return out
 
 
@@ -197,16 +203,17 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return out
 
 
-def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """Adds the predicted language and its score to every row, from its whole text alone.
+def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", phrase_col: str | None = None) -> DataFrame:
+    """Adds the predicted language, its score and, if named, the mean length of its phrases to every row, from its whole text alone.
 
     Null texts and texts without letters are und with score 0. Empty tables stay empty; rows that repeat are judged
     alike; all columns of docs stay, but for those that have the new columns' names.
     """
     whole_texts(docs.sparkSession)
-    docs = docs.drop(lang_col, score_col)
-    names = [*docs.columns, lang_col, score_col]
-    schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
+    docs = docs.drop(lang_col, score_col, *[phrase_col] * bool(phrase_col))
+    added = {lang_col: "", score_col: 0.0} | ({phrase_col: 0.0} if phrase_col else {})
+    names = [*docs.columns, *added]
+    schema = docs.select("*", *(F.lit(v).alias(c) for c, v in added.items())).schema
     at = docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +223,8 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = [x for a, b in in_groups(texts, 2_000_000) for x in languages.judge(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64())[: len(added)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
         tidy()
 
     return docs.mapInArrow(judge, schema)

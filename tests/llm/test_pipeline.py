@@ -25,7 +25,7 @@ def check_stages(spark, docs, sf_dir):
         if name == "language_id":
             languages = Languages(learn(given.where(fold(F.col("doc_id")) != 2)))
             verdict = [languages.judge([r.text])[0] for r in before]
-            want = Counter(key(r) for r, (lang, lead) in zip(before, verdict) if lang != "und" and lead >= corpus_pipeline.LEAST_LEAD)
+            want = Counter(key(r) for r, (lang, _, mean) in zip(before, verdict) if lang != "und" and (len(r.text) < corpus_pipeline.LEAST_CHARS or mean >= corpus_pipeline.LEAST_PHRASE))
             assert Counter(map(key, after)) == want
         elif name == "near_duplicates":
             assert Counter(r.doc_id for r in after) == Counter({c: 1 for _, c, _ in brute_classes(before)})
@@ -58,6 +58,14 @@ def test_edge_rows_pass_through(spark, sf_dir):
     check_stages(spark, edge.documents(spark), sf_dir)
 
 
+def test_foreign_texts_go_and_short_ones_stay(spark, sf_dir):
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(10**6, "Это русский текст о погоде и природе, который довольно длинный и понятный."), (10**6 + 1, "qzx wvkj pqrz xxkj vbnm qwrt zxcv plkj hgfd jklm wqqz xkcd vvbw zzpq"), (10**6 + 2, "Re."), (10**6 + 3, "12 34")]
+    docs = known.union(spark.createDataFrame([(i, t, None) for i, t in more], "doc_id long, text string, lang string"))
+    left = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, sf_dir).collect()}
+    assert {r.doc_id for r in known.collect()} | {10**6 + 2} == left
+
+
 def test_empty_table(spark, sf_dir):
     docs = edge.no_documents(spark)
     for name, step in corpus_pipeline.STAGES:
