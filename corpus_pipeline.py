@@ -16,15 +16,17 @@ from rillway.llm.mixing import select_mixed
 from rillway.llm.near import first_of_each_class
 from rillway.llm.packing import pack_for_training
 
-#: Below this lead over the runner-up a text is in none of the learned languages.
-LEAST_LEAD = 0.05
+#: A text whose phrases in its best language are shorter than this on the mean is in none of the learned languages;
+#: with fewer characters than that it is too short to tell.
+LEAST_PHRASE, LEAST_CHARS = 1.9, 60
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the learned languages, go."""
     samples = learn(docs.where(fold(F.col("doc_id")) != 2))
-    judged = identify(docs, samples, lang_col="__lang", score_col="__lead")
-    return judged.where((F.col("__lang") != "und") & (F.col("__lead") >= LEAST_LEAD)).select(*docs.columns)
+    judged = identify(docs, samples, lang_col="__lang", score_col="__lead", phrase_col="__phrase")
+    foreign = (F.length("text") >= LEAST_CHARS) & (F.col("__phrase") < LEAST_PHRASE)
+    return judged.where((F.col("__lang") != "und") & ~foreign).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
