@@ -71,7 +71,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
 
 
 #: Rows of an Arrow batch, where these are whole texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 
 
 def whole_texts(spark: SparkSession) -> None:

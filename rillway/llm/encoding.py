@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from rillway.llm.common import kept
 
 #: Pieces that a worker remembers; beyond it starts over, which costs time and changes no id.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: White space besides blanks and line ends, and zero characters.
 _RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A blank inside a longer run of white space: byte-level words look past it.
@@ -138,7 +138,9 @@ class Encoder:
         at = at[counted.indices.to_numpy()]
         size = self.length[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.first[at] - (ends - size), size) + np.arange(int(ends[-1]))]
+        where = np.repeat((self.first[at] - (ends - size)).astype(np.int32), size)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = self.flat[where]
         begin = 0
         for k, stop in zip(cut, ends[split.offsets.to_numpy()[1:] - 1].tolist()):
             out[k] = ids[begin:stop]
@@ -146,7 +148,7 @@ class Encoder:
         return out
 
 
-def in_groups(texts: list[str | None], most: int = 3_000_000):
+def in_groups(texts: list[str | None], most: int = 5_000_000):
     """Index ranges of texts with about that many characters at most; a longer text is alone."""
     begin, held = 0, 0
     for k, text in enumerate(texts):

@@ -1,10 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 Each language has a suffix automaton of a bounded sample of its labelled texts: letters in lower case, and one symbol
-for whatever lies between words. A text is cut from left to right into
-the longest phrases that occur in that sample; the language whose sample needs the fewest phrases for each symbol
-wins. The parse is a walk through the automaton that starts again at its root where no longer match exists, so it is
-a finite transition table, and numpy walks many stretches of text through all languages' tables at the same time.
+for whatever lies between words. A text is cut from left to right into the longest phrases that occur in that sample;
+the language whose sample needs the fewest phrases for each symbol wins. The parse is a walk through the automaton
+that starts again at its root where no longer match exists, so it is a finite transition table, and numpy walks many
+stretches of text through all languages' tables at the same time.
 """
 
 from __future__ import annotations

@@ -41,7 +41,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def _cut(names: list[str], text_col: str, schema: pa.Schema):
+def _cut(names: list[str], text_col: str):
     at = names.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     joined = docs.join(gone, key == F.col("__doc"), "left").select(*(docs[c] for c in names), "__gone")
     schema = joined.drop("__gone").withColumn("__spans", F.lit(None).cast("array<struct<begin:long,end:long>>")).schema
-    out = joined.mapInArrow(_cut(names, text_col, schema), schema)
+    out = joined.mapInArrow(_cut(names, text_col), schema)
     return out.withColumnRenamed("__spans", spans_col) if spans_col else out.drop("__spans")
 
 

@@ -11,6 +11,8 @@ Round 2, length of an anchor's context (all its windows together, up to 2 * THRE
 twice or more are repeats with all their windows.
 Round 3, length THRESHOLD: where an anchor's name has different contexts, one context of each kind is cut into its
 windows, and these are counted; it settles the edges of repeats.
+
+repeated_starts is the plain form, with sorted rank pairs at growing offsets, for tables small enough to bear it.
 """
 
 from __future__ import annotations
