@@ -413,7 +413,7 @@ def json_source(spark, d):
 
 @query(s.JSON_SOURCE)
 def jdbc_source(spark, d):
-    """By way of a database inside the driver, where there is no other."""
+    """By way of a database inside the driver; for local mode, where executors are in it too."""
     url, driver = f"jdbc:derby:memory:rw{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     append(a.table(spark, d, "nation"), url, "jdbc", dbtable="NATION", driver=driver)
     registry.register(spark, [{"datasource_type": registry.MYSQL, "url": url, "source_table": "NATION", "target_table": "rw_nation_jdbc", "driver": driver}])
