@@ -71,14 +71,14 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
 
 
 #: Rows of an Arrow batch, where these are whole texts.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
-def whole_texts(spark: SparkSession) -> None:
-    """Lets Arrow batches hold BATCH_ROWS rows at most in this session, so that tasks hold few texts; a smaller setting stays."""
+def whole_texts(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lets Arrow batches hold so many rows at most in this session, so that tasks hold few texts; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 _KEPT: dict = {}

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from rillway.llm.common import kept
 
 #: Pieces that a worker remembers; beyond it starts over, which costs time and changes no id.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: White space besides blanks and line ends, and zero characters.
 _RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A blank inside a longer run of white space: byte-level words look past it.
@@ -31,9 +31,9 @@ _HELD = re.compile(r"[.,](?:[^\w\s]|_|(?<=\W[.,])|(?<=_[.,])|(?<!.[.,]))")
 _BROKEN = re.compile(r"\n(?:\s|\Z|(?<=\s\n)|(?<!.\n))", re.S)
 
 
-def encoder(path: str, keeps_space: bool) -> "Encoder":
+def encoder(path: str, keeps_space: bool, remembered: int = REMEMBERED) -> "Encoder":
     """One encoder for each worker process."""
-    return kept(("encoder", path, keeps_space), lambda: Encoder(path, keeps_space))
+    return kept(("encoder", path, keeps_space, remembered), lambda: Encoder(path, keeps_space, remembered))
 
 
 class Encoder:
@@ -42,14 +42,14 @@ class Encoder:
     A piece that begins with a zero character stands for itself without a blank before it.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # the strings of special tokens are ordinary text in a document
         self.library.no_truncation()
         self.library.no_padding()
-        self.keeps_space = keeps_space
+        self.keeps_space, self.remembered = keeps_space, remembered
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         #: ids that begin a word (byte level) or end one
         self.edge = np.zeros(self.vocabulary, bool)
@@ -125,7 +125,7 @@ class Encoder:
                 cut.append(k)
         if not cut:
             return out
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > self.remembered:
             self._forget()
         split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         counted = split.flatten().dictionary_encode()
@@ -148,7 +148,7 @@ class Encoder:
         return out
 
 
-def in_groups(texts: list[str | None], most: int = 5_000_000):
+def in_groups(texts: list[str | None], most: int = 3_000_000):
     """Index ranges of texts with about that many characters at most; a longer text is alone."""
     begin, held = 0, 0
     for k, text in enumerate(texts):

@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     docs, whatever their names, are not read.
     """
 
-    whole_texts(docs.sparkSession)
+    whole_texts(docs.sparkSession, 2000)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         context = TaskContext.get()
         k, attempt = context.partitionId(), f"try{context.taskAttemptId()}"
         store, base = file_system(path)
-        encode = encoder(tokenizer, True)
+        encode = encoder(tokenizer, True, 500_000)  # alone in its workers, it can hold more
         kind = np.dtype("<u2" if max(encode.vocabulary - 1, end_id) < 1 << 16 else "<u4")
         sizes, names, nulls = [], [], []
         end = np.array([end_id], kind).tobytes()
@@ -64,7 +64,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
                 names.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype("u1"))
                 texts = batch.column(1).to_pylist()
-                for a, b in in_groups(texts):
+                for a, b in in_groups(texts, 5_000_000):
                     found = encode.encode([x or "" for x in texts[a:b]])
                     sizes.extend(len(x) + 1 for x in found)
                     yield b"".join(part for x in found for part in (x.astype(kind).tobytes(), end))
