@@ -35,8 +35,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; n_chars follows the text."""
-    out = remove_repeated_lines(docs)
+    """Lines that an earlier line repeats go, however short; n_chars follows the text."""
+    out = remove_repeated_lines(docs, min_words=1)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

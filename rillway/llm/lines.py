@@ -16,32 +16,35 @@ MIN_WORDS = 4
 _LAST = (1 << 63) - 1
 
 
-def line_digests(text: str | None) -> list[tuple[int, bytes]]:
-    """Place and digest of each line that has words: lower case, white space as one blank; a short line with its predecessor."""
+def line_digests(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]:
+    """Place and digest of each line that has words: lower case, white space as one blank; a line of under min_words with its predecessor."""
     out, before = [], b""
     for at, line in enumerate((text or "").split("\n")):
         words = plain_words(line)
         normal = b" ".join(words)
         if words:
-            unit = normal if len(words) >= MIN_WORDS else before + b"\n" + normal
+            unit = normal if len(words) >= min_words else before + b"\n" + normal
             out.append((at, hashlib.blake2b(unit, digest_size=16).digest()))
         before = normal
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, places, digests = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for at, digest in line_digests(text):
-                docs.append(doc)
-                places.append(at)
-                digests.append(digest)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], ["doc", "place", "digest"])
-    tidy()
+def _units(min_words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, digests = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for at, digest in line_digests(text, min_words):
+                    docs.append(doc)
+                    places.append(at)
+                    digests.append(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], ["doc", "place", "digest"])
+        tidy()
+
+    return rows
 
 
-def _cut(names: list[str], text_col: str):
+def _cut(names: list[str], text_col: str, min_words: int):
     at = names.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +56,7 @@ def _cut(names: list[str], text_col: str):
                     spans.append([])
                     continue
                 # rows that share an id may have other lines at a place, so the digest must agree
-                out = {(x["place"], bytes(x["digest"])) for x in gone} & set(line_digests(text))
+                out = {(x["place"], bytes(x["digest"])) for x in gone} & set(line_digests(text, min_words))
                 places = {p for p, _ in out}
                 kept, own, begin = [], [], 0
                 for place, line in enumerate(text.split("\n")):
@@ -72,17 +75,18 @@ def _cut(names: list[str], text_col: str):
     return rows
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with each text without the lines that an earlier line repeats; rows and other columns stay.
 
     Earlier is the smaller doc_id (null last), then the higher place in the text. spans_col adds the removed lines'
     offsets in the original text (array of begin and end, in code points). Null texts stay null; a text all of whose
     lines are repeats becomes empty. Rows that share a doc_id share ranks: equal lines at equal places in them are one
-    occurrence and are treated alike. Blank lines stay. An empty table stays empty.
+    occurrence and are treated alike. A line of under min_words words counts only together with the line before it; at 1
+    every line counts by itself. Blank lines stay. An empty table stays empty.
     """
     whole_texts(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    units = stage(docs.select(key.alias("doc"), F.col(text_col).alias("text")).mapInArrow(_units, "doc long, place int, digest binary"), "units")
+    units = stage(docs.select(key.alias("doc"), F.col(text_col).alias("text")).mapInArrow(_units(min_words), "doc long, place int, digest binary"), "units")
     # staged before the join: so both sides are dealt anew, and a hot line's places can be split
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stage(first.select("digest", "first"), "first")
@@ -92,7 +96,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     joined = docs.join(gone, key == F.col("__doc"), "left").select(*(docs[c] for c in names), "__gone")
     schema = joined.drop("__gone").withColumn("__spans", F.lit(None).cast("array<struct<begin:long,end:long>>")).schema
-    out = joined.mapInArrow(_cut(names, text_col), schema)
+    out = joined.mapInArrow(_cut(names, text_col, min_words), schema)
     return out.withColumnRenamed("__spans", spans_col) if spans_col else out.drop("__spans")
 
 

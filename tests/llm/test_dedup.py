@@ -185,3 +185,11 @@ def test_thinned_positions_against_plain_doubling(spark, sf_dir, threshold):
         covered[r.doc].update(range(r.at, r.at + threshold))
     out = remove_repeats(docs, threshold, min(4, threshold), with_bytes=True).collect()
     assert {r.doc_id: {k for s in r.spans for k in range(s.begin, s.end)} for r in out if r.n_spans} == covered
+
+
+def test_short_and_unspaced_lines_repeat_alone_in_the_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    rows = [(1, "one\nAll rights reserved."), (2, "two\nall  rights reserved."), (3, "three\n" + "漢字" * 200), (4, "four\n" + "漢字" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, sf_dir).collect()} == {1: rows[0][1], 2: "two", 3: rows[2][1], 4: "four"}
