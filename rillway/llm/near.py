@@ -294,7 +294,10 @@ def _compare(groups: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (null ids as the largest long), digest, class_id, copy_id, n_links for every row."""
+    """doc_id (null ids as the largest long), digest, class_id, copy_id, n_links for every row; first, whether its text is the first of its class; worded, whether it has words.
+
+    A class is known by its texts' digests, so classes whose smallest doc_id is the same, or null, stay apart.
+    """
     whole_texts(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text"))
     table = stage(own.mapInArrow(_sketch, "doc_id long, digest binary, n int, sig binary, bands array<long>"), "sketches")
@@ -321,17 +324,36 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     discard(buckets, inside, apart, torn)
     # the text of one copy for each text that is in a group
     chosen = group.join(reps.select("id", "digest", "copy_id"), "id").select("id", F.col("copy_id").alias("doc_id"), "digest")
-    texts = own.join(chosen, "doc_id").select("id", "text", "digest").mapInArrow(_of_digest, "id long, text string").dropDuplicates(["id"])
+    if chosen.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # many texts of one id (null, above all): by id alone each of its rows would meet each of its texts
+        found_text = own.mapInArrow(_digested(own.columns, "text"), "doc_id long, text string, __own binary")
+        texts = found_text.join(chosen.withColumnRenamed("digest", "__own"), ["doc_id", "__own"]).select("id", "text").dropDuplicates(["id"])
+    else:
+        texts = own.join(chosen, "doc_id").select("id", "text", "digest").mapInArrow(_of_digest, "id long, text string").dropDuplicates(["id"])
     found = stage(_compare(group.join(reps.select("id", "copies"), "id"), texts), "found")
     joined = components(found.where("other <> id").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_text = reps.select("id", "digest", "copy_id", "copies").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = stage(of_text.groupBy("component").agg(F.min("copy_id").alias("class_id")), "smallest")
+    smallest = stage(of_text.groupBy("component").agg(F.min(F.struct("copy_id", "digest")).alias("least")).select("component", F.col("least.copy_id").alias("class_id"), F.col("least.digest").alias("first_digest")), "smallest")
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
-    classes = stage(of_text.join(smallest, "component").join(counts, "id", "left").select("digest", "class_id", "copy_id", links), "classes")
+    classes = stage(of_text.join(smallest, "component").join(counts, "id", "left").select("digest", "class_id", "copy_id", links, (F.col("digest") == F.col("first_digest")).alias("leads")), "classes")
     discard(tied, more, group, found, reps, smallest)
-    alone = table.where("n = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return table.where("n > 0").select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "copy_id", "n_links").unionByName(alone)
+    alone = table.where("n = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"), F.lit(False).alias("worded"))
+    first = (F.col("leads") & (F.col("doc_id") == F.col("class_id"))).alias("first")
+    return table.where("n > 0").select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "copy_id", "n_links", first, F.lit(True).alias("worded")).unionByName(alone)
+
+
+def _digested(names: list[str], text_col: str):
+    """Adds __own, the digest of the text's words; null for a text without words."""
+    at = names.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_digest(t) if plain_words(t or "") else None for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*names, "__own"])
+        tidy()
+
+    return rows
 
 
 def _of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,25 +382,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that have an earlier one in their class; one row of each class stays, with all its columns."""
-    every = stage(_classes(docs, id_col, text_col).select("doc_id", "digest", "class_id"), "decisions")
+    """The rows of docs without those that have an earlier one in their class; one row of each class stays, with all its columns.
+
+    Rows are known by doc_id and words, so rows of null ids, or a row whose id also names a copy, go only as copies
+    of their own. Texts without words all stay. Of several texts that share one id (not null) and are each the first
+    of a class, one stays.
+    """
+    every = stage(_classes(docs, id_col, text_col).select("doc_id", "digest", "first", "worded"), "decisions")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    gone = stage(every.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "gone")
-    again = stage(every.where("doc_id = class_id").groupBy("class_id").agg(F.count("*").alias("n"), F.min("digest").alias("__digest")).where("n > 1").select(F.col("class_id").alias("__again"), "__digest"), "again")
-    if not again.limit(1).count():
+    if not every.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = stage(every.where("not first").select(F.col("doc_id").alias("__gone")), "gone")
         return docs.join(gone, key == F.col("__gone"), "left_anti")
-    # rows share a doc_id: of those that are first of their class, one with the smallest digest stays
     names = docs.columns
-
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [_digest(t) for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*names, "__own"])
-
-    marked = docs.mapInArrow(digested, docs.select("*", F.lit(b"").alias("__own")).schema)
-    first = every.where("doc_id = class_id").groupBy(F.col("class_id").alias("__first")).agg(F.min("digest").alias("__digest"))
-    kept = marked.join(first, (key == F.col("__first")) & (F.col("__own") == F.col("__digest")))
-    return kept.dropDuplicates(["__first"]).select(*names)
+    marked = docs.mapInArrow(_digested(names, text_col), docs.withColumn("__own", F.lit(None).cast("binary")).schema)
+    leads = every.where("first and worded").select(F.col("doc_id").alias("__first"), F.col("digest").alias("__digest")).distinct()
+    named = leads.where(F.col("__first") < F.lit(_LAST)).groupBy("__first").agg(F.min("__digest").alias("__digest"))
+    leads = stage(named.unionByName(leads.where(F.col("__first") == F.lit(_LAST))), "leads")
+    kept = marked.join(leads, (key == F.col("__first")) & (F.col("__own") == F.col("__digest"))).dropDuplicates(["__first", "__digest"])
+    return kept.select(*names).union(marked.where("__own is null").select(*names))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

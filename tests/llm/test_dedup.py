@@ -193,3 +193,13 @@ def test_short_and_unspaced_lines_repeat_alone_in_the_pipeline(spark, sf_dir):
     rows = [(1, "one\nAll rights reserved."), (2, "two\nall  rights reserved."), (3, "three\n" + "漢字" * 200), (4, "four\n" + "漢字" * 200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, sf_dir).collect()} == {1: rows[0][1], 2: "two", 3: rows[2][1], 4: "four"}
+
+
+def test_texts_of_null_and_shared_ids_stay(spark):
+    a, b, c, d = (edge.prose(k) for k in (20, 31, 42, 53))
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, c + " more"), (1, d), (2, d), (2, edge.prose(64)), (None, None), (None, " ")]
+    left = first_of_each_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = Counter(r.text for r in left)
+    assert texts.pop(c, 0) + texts.pop(c + " more", 0) == 1
+    assert texts == Counter([a, b, d, edge.prose(64), None, " "])
+    assert {r.doc_id for r in left if r.text == d} == {1}
