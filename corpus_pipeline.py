@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm.common import stage
-from rillway.llm.language import fold, identify, learn
+from rillway.llm.language import fold, identify, learn, usual_phrases
 from rillway.llm.lines import remove_repeated_lines
 from rillway.llm.mixing import select_mixed
 from rillway.llm.near import first_of_each_class
@@ -19,13 +19,19 @@ from rillway.llm.packing import pack_for_training
 #: A text whose phrases in its best language are shorter than this on the mean is in none of the learned languages;
 #: with fewer characters than that it is too short to tell.
 LEAST_PHRASE, LEAST_CHARS = 1.9, 60
+#: A language of many letters has short phrases: there the bound is this share of what its own held-out texts have.
+LEAST_SHARE = 0.8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in none of the learned languages, go."""
     samples = learn(docs.where(fold(F.col("doc_id")) != 2))
     judged = identify(docs, samples, lang_col="__lang", score_col="__lead", phrase_col="__phrase")
-    foreign = (F.length("text") >= LEAST_CHARS) & (F.col("__phrase") < LEAST_PHRASE)
+    bounds = {name: min(LEAST_PHRASE, LEAST_SHARE * usual) for name, usual in usual_phrases(samples, LEAST_CHARS).items()}
+    bound = F.lit(LEAST_PHRASE)
+    if bounds:
+        bound = F.coalesce(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("__lang")], bound)
+    foreign = (F.length("text") >= LEAST_CHARS) & (F.col("__phrase") < bound)
     return judged.where((F.col("__lang") != "und") & ~foreign).select(*docs.columns)
 
 

@@ -29,14 +29,14 @@ SAMPLE_ROWS = 64
 MOST_LANGUAGES = 200
 #: A parse starts anew after so many characters, so that a long text is many stretches.
 STRETCH = 1024
-#: Symbols that the tables tell apart; the rarer letters of the samples are as unknown as unseen ones.
+#: Symbols that have a column in the tables; the samples' rarer letters are in sorted lists of transitions.
 ALPHABET = 96
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """transitions[state, symbol] of the suffix automaton, -1 if none; state 0 is the root."""
+def transitions(codes: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton: for each state the next one by symbol; state 0 is the root."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -62,6 +62,12 @@ def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
+    return go
+
+
+def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
+    """transitions[state, symbol] of the suffix automaton, -1 if none; state 0 is the root."""
+    go = transitions(codes)
     out = np.full((len(go), symbols), -1, np.int32)
     for k, some in enumerate(go):
         for c, to in some.items():
@@ -69,8 +75,48 @@ def suffix_automaton(codes: list[int], symbols: int) -> np.ndarray:
     return out
 
 
+class Table:
+    """One language's parse: the next state, negative (-1 - state) where a phrase begins.
+
+    step[state * dense + symbol] has it for the first symbols; of the others only the transitions that exist are
+    kept, by sorted keys, so any number of letters takes memory in proportion to the sample.
+    """
+
+    def __init__(self, codes: list[int], dense: int, symbols: int):
+        go = transitions(codes)
+        self.dense, self.symbols = dense, symbols
+        t = np.full((len(go), dense), -1, np.int32)
+        rare = []
+        for k, some in enumerate(go):
+            for c, to in some.items():
+                if c < dense:
+                    t[k, c] = to
+                else:
+                    rare.append((k * symbols + c, to))
+        t[:, 0] = -1
+        root = np.where(t[0] >= 0, t[0], 0)
+        self.step = np.where(t >= 0, t, -1 - root[None, :]).astype(np.int32).ravel()
+        rare.sort()
+        self.keys = np.array([k for k, _ in rare], np.int64)
+        self.next = np.array([to for _, to in rare], np.int32)
+        self.first = np.zeros(symbols, np.int32)  # where a phrase that begins with a rare letter is after it
+        at = self.keys < symbols
+        self.first[self.keys[at]] = self.next[at]
+
+    def rare(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next states by rare letters."""
+        out = -1 - self.first[code]
+        known = np.flatnonzero(out < -1)
+        want = state[known].astype(np.int64) * self.symbols + code[known]
+        place = np.searchsorted(self.keys, want)
+        hit = place < len(self.keys)
+        hit[hit] = self.keys[place[hit]] == want[hit]
+        out[known[hit]] = self.next[place[hit]]
+        return out
+
+
 class Languages:
-    """The languages' parse tables, one after another: step[state * symbols + symbol] is the next state, negative (-1 - state) where a phrase begins."""
+    """The languages' parse tables over one alphabet: every letter of the samples is a symbol."""
 
     def __init__(self, samples: list[tuple[str, list[str]]]):
         self.names = [name for name, _ in samples]
@@ -79,22 +125,14 @@ class Languages:
             for text in texts:
                 for ch in filter(str.isalpha, text.lower()):
                     found[ch] = found.get(ch, 0) + 1
-        known = sorted(found, key=lambda ch: (-found[ch], ch))[: ALPHABET - 2]
-        self.symbols = len(known) + 2  # 0: unknown letter, 1: anything between words
-        self.code = np.fromiter((not chr(k).isalpha() for k in range(0x110000)), np.uint8, 0x110000)
+        known = sorted(found, key=lambda ch: (-found[ch], ch))
+        self.symbols = len(known) + 2  # 0: unseen letter, 1: anything between words
+        self.dense = min(self.symbols, ALPHABET)
+        self.code = np.fromiter((not chr(k).isalpha() for k in range(0x110000)), np.int32, 0x110000)
         for k, ch in enumerate(known):
             self.code[ord(ch)] = k + 2
-        tables, self.roots, base = [], [], 0
-        for _, texts in samples:
-            # unknown characters and the ends of texts are where no phrase goes on
-            t = suffix_automaton([c for text in texts for c in [*self.coded([text])[0].tolist(), 0]], self.symbols)
-            t[:, 0] = -1
-            root = np.where(t[0] >= 0, t[0], 0)
-            step = np.where(t >= 0, t + base, -1 - (root + base)[None, :]).astype(np.int32)
-            tables.append(step.ravel())
-            self.roots.append(base)
-            base += len(t)
-        self.step = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        # unseen letters and the ends of texts are where no phrase goes on
+        self.tables = [Table([c for text in texts for c in [*self.coded([text])[0].tolist(), 0]], self.dense, self.symbols) for _, texts in samples]
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' symbols one after another, and how many each has: letters in lower case, one symbol for all that lies between words."""
@@ -106,12 +144,13 @@ class Languages:
         begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         keep[begins[begins < len(keep)]] = True
         kept = np.concatenate([[0], np.cumsum(keep)])
-        return codes[keep].astype(np.int32), kept[ends] - kept[begins]
+        return codes[keep], kept[ends] - kept[begins]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """phrases[language, text]: how many phrases the language's sample needs for the text's symbols."""
         out = np.zeros((len(self.names), len(texts)), np.int64)
         codes, sizes = self.coded(texts)
+        rare = bool((codes >= self.dense).any())
         starts = np.cumsum(sizes) - sizes
         pieces = -(-sizes // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -125,13 +164,19 @@ class Languages:
         alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")  # stretches longer than each place
         for lane in range(0, len(begin), 4096):
             b, most = begin[lane : lane + 4096], int(size[lane])
-            for k, root in enumerate(self.roots):
+            for k, table in enumerate(self.tables):
                 # the first character always begins a phrase
-                state = np.full(len(b), root, np.int32)
+                state = np.zeros(len(b), np.int32)
                 count = np.zeros(len(b), np.int64)
                 for at in range(most):
                     n = min(len(b), int(alive[at]) - lane)
-                    to = self.step[state[:n] * self.symbols + codes[b[:n] + at]]
+                    code = codes[b[:n] + at]
+                    if rare:
+                        far = np.flatnonzero(code >= self.dense)
+                        to = table.step[state[:n] * self.dense + np.where(code < self.dense, code, 0)]
+                        to[far] = table.rare(state[far], code[far])
+                    else:
+                        to = table.step[state[:n] * self.dense + code]
                     new = to < 0
                     count[:n] += new
                     np.copyto(state[:n], np.where(new, -1 - to, to))
@@ -162,6 +207,22 @@ class Languages:
         return out
 
 
+def usual_phrases(samples: list[tuple[str, list[str]]], least_chars: int) -> dict[str, float]:
+    """By language, the median over one half of its sample's texts of the mean phrase that the other half gives.
+
+    A language without such texts of least_chars characters is left out. One language's tables are held at a time.
+    """
+    out = {}
+    for name, texts in samples:
+        if len(texts) == 1:
+            middle = len(texts[0]) // 2
+            texts = [texts[0][:middle], texts[0][middle:]]
+        judged = [mean for lang, _, mean in Languages([(name, texts[::2])]).judge([x for x in texts[1::2] if len(x) >= least_chars]) if lang != "und"]
+        if judged:
+            out[name] = float(np.median(judged))
+    return out
+
+
 def built(samples: list[tuple[str, list[str]]]) -> Languages:
     """The tables, built once in each worker process."""
     key = hash(tuple((name, tuple(texts)) for name, texts in samples))

@@ -152,3 +152,34 @@ def test_op10_on_held_out_rows(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     tested = [(r.lang_pred, docs[r.doc_id].lang) for r in rows if r.held_out and docs[r.doc_id].lang]
     assert sum(a == b for a, b in tested) >= 0.97 * len(tested)
+
+
+def many_letters(n, size, seed, first=0x4E00):
+    """Texts of an alphabet of 1,500 letters, the common ones first."""
+    rng = random.Random(seed)
+    return ["".join(chr(first + x) for x in rng.choices(range(1500), [1 / (k + 1) for k in range(1500)], k=size)) for _ in range(n)]
+
+
+def test_parse_with_more_letters_than_columns():
+    from rillway.llm.language import ALPHABET
+
+    samples = [("a", ["the cat sat on the mat."]), ("zh", many_letters(20, 300, 1))]
+    languages = Languages(samples)
+    assert languages.symbols > 5 * ALPHABET
+    texts = [*many_letters(4, 200, 2), samples[1][1][3], "the cat " + samples[1][1][5][7:90] + " mat", "ЖЯ the"]
+    found = languages.phrases(texts)
+    for k, text in enumerate(texts):
+        symbols = languages.coded([text])[0].tolist()
+        for j, (_, known) in enumerate(samples):
+            assert found[j, k] == phrases(symbols, [languages.coded([t])[0].tolist() for t in known])
+
+
+def test_documents_of_a_learned_language_of_many_letters_stay(spark, sf_dir):
+    import corpus_pipeline
+
+    latin = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    clean = [(10**6 + k, t, "zh") for k, t in enumerate(many_letters(80, 600, 3))]
+    foreign = [(10**7 + k, t, None) for k, t in enumerate(many_letters(5, 600, 4, 0xAC00))]
+    docs = spark.createDataFrame(latin + clean + foreign, "doc_id long, text string, lang string")
+    left = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, sf_dir).collect()}
+    assert {r[0] for r in clean} <= left and not {r[0] for r in foreign} & left
