@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from rillway.llm.common import kept, tidy, whole_texts
 
-#: Characters of labelled text for each language that the automata are built from: whole texts of at most
-#: SAMPLE_TEXT characters, by falling place in a fixed order, until the next would exceed SAMPLE_CHARS.
+#: Characters of labelled text for each language that the automata are built from: texts, of longer ones SAMPLE_TEXT
+#: characters from the first letter on, by place in a fixed order, until the next would exceed SAMPLE_CHARS.
 SAMPLE_CHARS = 60_000
 SAMPLE_TEXT = 6_000
 #: Rows for each language that the sample is picked from.
@@ -32,6 +32,8 @@ STRETCH = 1024
 #: Symbols that have a column in the tables; the samples' rarer letters are in sorted lists of transitions.
 ALPHABET = 96
 
+#: A letter, for Spark.
+_LETTERS = r"\p{L}"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -238,9 +240,11 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """The sample of each language, in name order: a few KB each, whatever the size of the table.
 
     Rows are picked by the crc32 of their id, so the same table gives the same sample. Only counts by language and
-    the picked rows come to the driver.
+    the picked rows come to the driver. Every language that has a text with letters and an id is learned: of texts of
+    over SAMPLE_TEXT characters the sample has a stretch.
     """
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    lettered = F.regexp_instr(F.col(text_col), F.lit(_LETTERS))
+    usable = labelled.where(F.col(lang_col).isNotNull() & (lettered > 0) & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -249,18 +253,22 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     # about 4 times the rows wanted by a threshold on the hash, then an exact pick: no language is gathered whole
     place = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1))
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 4 * SAMPLE_ROWS / n) * (1 << 40)))])
-    fits = F.length(text_col).between(1, SAMPLE_TEXT)
-    some = usable.where((place < share[F.col(lang_col)]) & fits).select(F.col(lang_col).alias("lang"), place.alias("place"), F.col(text_col).alias("text"))
+    stretch = F.when(F.length(text_col) <= SAMPLE_TEXT, F.col(text_col)).otherwise(F.substring(F.col(text_col), lettered, F.lit(SAMPLE_TEXT)))
+    picked = usable.select(F.col(lang_col).alias("lang"), place.alias("place"), stretch.alias("text"))
+    some = picked.where(F.col("place") < share[F.col("lang")])
     rows = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "text"))), 1, SAMPLE_ROWS).alias("rows")).collect()
+    found = {r["lang"]: r["rows"] for r in rows}
+    for name in counts.keys() - found.keys():  # its rows share few ids, so the threshold may miss them all
+        found[name] = picked.where(F.col("lang") == F.lit(name)).orderBy("place", "text").limit(SAMPLE_ROWS).collect()
     out = []
-    for row in sorted(rows, key=lambda r: r["lang"]):
+    for name in sorted(found):
         texts, held = [], 0
-        for x in dict.fromkeys(r["text"] for r in row["rows"]):
+        for x in dict.fromkeys(r["text"] for r in found[name]):
             if held and held + len(x) > SAMPLE_CHARS:
                 break
             texts.append(x)
             held += len(x)
-        out.append((row["lang"], texts))
+        out.append((name, texts))
     return out
 
 

@@ -183,3 +183,16 @@ def test_documents_of_a_learned_language_of_many_letters_stay(spark, sf_dir):
     docs = spark.createDataFrame(latin + clean + foreign, "doc_id long, text string, lang string")
     left = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, sf_dir).collect()}
     assert {r[0] for r in clean} <= left and not {r[0] for r in foreign} & left
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    from rillway.llm.language import SAMPLE_TEXT
+
+    long = "1 2 3 " * 2000 + "der hund und die katze im haus " * 400
+    rows = [(k, "the cat and the dog in the house", "en") for k in range(5)] + [(10 + k, long + "x" * k, "de") for k in range(3)] + [(7, " ", "blank"), (8, "12", "digits")]
+    rows += [(99, f"le chat et le chien {k}", "fr") for k in range(3000)]  # one id: no place, or all
+    samples = dict(learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sorted(samples) == ["de", "en", "fr"]
+    assert all(len(x) == SAMPLE_TEXT and x.startswith("der hund") for x in samples["de"]) and samples["fr"]
+    docs = spark.createDataFrame([(1, "die katze und der hund")], "doc_id long, text string")
+    assert identify(docs, list(samples.items())).first().lang_pred == "de"
