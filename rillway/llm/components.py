@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, stage
+from rillway.llm.staging import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:

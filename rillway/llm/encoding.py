@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from rillway.llm.common import kept
+from rillway.llm.staging import kept
 
 #: Pieces that a worker remembers; beyond it starts over, which costs time and changes no id.
 REMEMBERED = 250_000

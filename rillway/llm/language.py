@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import kept, tidy, whole_texts
+from rillway.llm.staging import kept, tidy, whole_texts
 
 #: Characters of labelled text for each language that the automata are built from: texts, of longer ones SAMPLE_TEXT
 #: characters from the first letter on, by place in a fixed order, until the next would exceed SAMPLE_CHARS.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, stage, with_rank, words_pattern
+from rillway.llm.staging import discard, stage, with_rank, words_pattern
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (3, 1, 2)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, plain_words, stage, tidy, whole_texts
+from rillway.llm.staging import discard, plain_words, stage, tidy, whole_texts
 from rillway.llm.components import components
 
 SHINGLE = 5

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import stage, tidy, whole_texts
+from rillway.llm.staging import stage, tidy, whole_texts
 from rillway.llm.encoding import encoder, in_groups
 
 #: Pieces that one task packs together. Blocks grow in number with the input, never in size.

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import words_pattern
+from rillway.llm.staging import words_pattern
 
 WINDOW = 8
 MIN_WORDS = 20

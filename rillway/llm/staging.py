@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own on a single machine; on a cluster that is an error."""
     told = spark.conf.get("spark.checkpoint.dir", "")
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="rillway-")
@@ -27,28 +31,68 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/rillway/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Holds settings of the session while something runs; dots are written as double underscores."""
+    before = {k.replace("__", "."): None for k in values}
+    for k, v in values.items():
+        key = k.replace("__", ".")
+        before[key] = spark.conf.get(key, None)
+        spark.conf.set(key, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: lineage ends there, and a lost executor loses nothing."""
+    """Writes df to the shared folder and returns the written table: lineage ends there, and a lost executor loses nothing.
+
+    The shuffle files of the write go as soon as it is done.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rillway_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that no later result reads, and lets Spark drop the shuffle files that nothing refers to any more."""
-    jvm = None
+    """Deletes staged tables that no later result reads."""
     for df in tables:
         path = getattr(df, "_rillway_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if jvm:
-        gc.collect()
-        jvm.System.gc()
+
+
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """A name for each wanted one that no column has, whatever the case."""
+    taken, out = {x.lower() for x in names}, []
+    for x in wanted:
+        while x.lower() in taken:
+            x = "_" + x
+        taken.add(x.lower())
+        out.append(x)
+    return out
+
+
+#: What stands for a null id inside; it ranks after all others.
+LAST = (1 << 63) - 1
+
+
+def numbered(docs: DataFrame, id_col: str, doc: str, row: str) -> DataFrame:
+    """Adds two longs that together tell rows apart and rank them: doc, the id (LAST if null), and row, 0 where ids are unique.
+
+    Where some id is null twice or repeats, the rows are staged with numbers of their own, so no row shares another's.
+    """
+    out = docs.withColumn(doc, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST)))
+    if not out.groupBy(doc).count().where("count > 1").limit(1).count():
+        return out.withColumn(row, F.lit(0).cast("long"))
+    return stage(out.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
@@ -70,15 +114,18 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
     return placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
 
 
-#: Rows of an Arrow batch, where these are whole texts.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, where rows are whole texts; a longer text is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
-def whole_texts(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lets Arrow batches hold so many rows at most in this session, so that tasks hold few texts; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def whole_texts(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by rows and bytes, so that tasks hold few texts. Smaller settings stay.
+
+    It is the same bound for every operator, and it stays set: the plans that operators return run later.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 _KEPT: dict = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import discard, stage, tidy, whole_texts, with_rank
+from rillway.llm.staging import discard, stage, tidy, whole_texts, with_rank
 
 THRESHOLD = 200
 FIRST = 64

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import new_path, tidy, whole_texts
+from rillway.llm.staging import new_path, tidy, whole_texts
 from rillway.llm.encoding import encoder, in_groups
 
 _SHARD = "shard long, name string, width int, n_docs long, n_tokens long"
@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     docs, whatever their names, are not read.
     """
 
-    whole_texts(docs.sparkSession, 2000)
+    whole_texts(docs.sparkSession)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

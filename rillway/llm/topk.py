@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillway.llm.common import stage
+from rillway.llm.staging import stage
 
 #: Vectors of a shard, queries of a block, and vectors that a shard looks at between two thresholds.
 SHARD = 8192

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillway.llm import near
 from rillway.llm.components import components
-from rillway.llm.lines import OP2_SQL, op2_line_dedup, remove_repeated_lines
+from rillway.llm.lines import MIN_RUN, MIN_UNIT, OP2_SQL, Units, cut, op2_line_dedup, remove_repeated_lines
 from rillway.llm.near import first_of_each_class, near_duplicates, op4_jaccard_join
 from rillway.llm.suffixes import op8_suffix_dedup, remove_repeats, repeated_starts
 from tests.compare import same_rows
@@ -108,30 +108,67 @@ def test_line_dedup_against_sql(spark, sf_dir, duck):
     same_rows(op2_line_dedup(spark, sf_dir), duck, OP2_SQL)
 
 
+def brute_lines(rows):
+    """Text and spans of each row (rows in the order of their ranks), by comparing the units' words."""
+    seen, out = set(), []
+    for text in rows:
+        if text is None:
+            out.append((None, []))
+            continue
+        u = Units(text, MIN_UNIT)
+        again = []
+        for k, (x, y) in enumerate(zip(u.first.tolist(), u.last.tolist())):
+            unit = " ".join(text[u.start[t] : u.end[t]].lower() for t in range(u.at[x], u.at[y]))
+            if unit in seen:
+                again.append(k)
+            seen.add(unit)
+        left, gone = cut(text, u.spans(np.array(again, np.int64), MIN_RUN)) if again else (text, [])
+        out.append((left, [(x["begin"], x["end"]) for x in gone]))
+    return out
+
+
 def test_line_dedup(spark):
     docs = edge.documents(spark)
     out = remove_repeated_lines(docs, spans_col="gone")
     assert out.columns == [*docs.columns, "gone"] and out.count() == docs.count()
-    before = {(r.doc_id, r.place): r.text for r in docs.collect()}
-    by = {(r.doc_id, r.place): r for r in out.collect()}
-    for key, r in by.items():  # what is left is the text without the spans and their line ends
-        text, at, kept = before[key], 0, []
-        if text is None:
-            assert r.text is None
-            continue
-        for line in text.split("\n"):
-            if not any(g.begin == at and g.end == at + len(line) for g in r.gone):
-                kept.append(line)
-            at += len(line) + 1
-        assert r.text == "\n".join(kept)
-    assert by[(0, 0)].text == before[(0, 0)] and by[(5, 5)].text == "" and by[(None, 12)].text == ""
-    assert by[(8, 8)].text == "\n".join(before[(8, 8)].split("\n")[:2]) and by[(14, 18)].text == before[(14, 18)].split("\n")[1]
+    assert remove_repeated_lines(docs, spans_col="spans").columns == [*[c for c in docs.columns if c != "spans"], "spans"]
+    rank = lambda r: (r.doc_id is None, r.doc_id or 0, r.place)  # noqa: E731  rows of one id are numbered as they come
+    before = sorted(docs.collect(), key=rank)
+    after = sorted(out.collect(), key=rank)
+    assert [(r.text, [(g.begin, g.end) for g in r.gone]) for r in after] == brute_lines([r.text for r in before])
+    by = {(r.doc_id, r.place): r.text for r in after}
+    assert by[(0, 0)] == edge.prose(0) and by[(5, 5)] == "" and by[(None, 12)] == "" and by[(6, 6)] == "more"
+    assert by[(8, 8)] == "\n".join([edge.prose(8, 30), edge.prose(9, 30), ""]) and by[(14, 18)] == edge.prose(14, 30)
     assert remove_repeated_lines(edge.no_documents(spark)).count() == 0
 
 
-def test_short_lines_repeat_only_with_their_predecessor(spark):
-    docs = spark.createDataFrame([(1, "Yes.\none two three four\nNo."), (2, "Yes.\nNo."), (3, "one  TWO three four\nNo.")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in remove_repeated_lines(docs).collect()} == {1: "Yes.\none two three four\nNo.", 2: "No.", 3: ""}
+def test_passages_inside_lines_go_and_short_lines_stay(spark):
+    passage = "Erand shonti edble onanre lyther ouwhst inge. Hath tionre erly ened thora the and, of thing was. " * 2 + "Short end."
+    rows = [(1, "All rights reserved.\nfirst words " + passage + " then other words."), (2, "All rights reserved.\nsecond words " + passage + " and more of them"), (3, passage.upper().replace(" ", "  ") + "\nlast")]
+    left = {r.doc_id: r.text for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = "Erand shonti edble onanre lyther ouwhst inge. Hath tionre erly ened thora the and, of thing was. "
+    assert left[1] in (rows[0][1], rows[0][1].replace(again * 2, again)) and left[2] == "All rights reserved.\nsecond words and more of them" and left[3] == "last"
+
+
+def test_unspaced_scripts_have_units_too(spark):
+    text = "".join(chr(0x4E00 + (k * k * 7 + k) % 2000) + ("。" if k % 20 == 19 else "") for k in range(400))
+    rows = [(1, text), (2, "前" + text[:60] + "。" + text[21:]), (3, "漢字" * 200), (4, "漢字" * 200)]
+    left = {r.doc_id: r.text for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == text and len(left[2]) < 100 and left[3] == rows[2][1] and left[4] == ""
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    texts = [edge.prose(k, 40) for k in range(30)] + [edge.prose(3, 40)] * 3
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    assert Counter(r.text for r in remove_repeated_lines(docs).collect()) == Counter([*{t: 1 for t in texts}, *[""] * (len(texts) - len(set(texts)))])
+
+
+def test_a_text_of_megabytes(spark):
+    rng = np.random.default_rng(2)
+    long = " ".join(f"{w}." if k % 11 == 10 else w for k, w in enumerate(rng.choice([a + b for a in edge.WORDS for b in edge.WORDS], 400_000).tolist()))
+    rows = [(1, long), (2, "before it " + long[1_000_000:1_400_000]), (3, "x" * 3_000_000)]
+    left = {r.doc_id: r.text for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == long and left[3] == rows[2][1] and len(left[2]) < 200
 
 
 def brute_removal(rows, threshold):
@@ -187,14 +224,6 @@ def test_thinned_positions_against_plain_doubling(spark, sf_dir, threshold):
     assert {r.doc_id: {k for s in r.spans for k in range(s.begin, s.end)} for r in out if r.n_spans} == covered
 
 
-def test_short_and_unspaced_lines_repeat_alone_in_the_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    rows = [(1, "one\nAll rights reserved."), (2, "two\nall  rights reserved."), (3, "three\n" + "漢字" * 200), (4, "four\n" + "漢字" * 200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, sf_dir).collect()} == {1: rows[0][1], 2: "two", 3: rows[2][1], 4: "four"}
-
-
 def test_texts_of_null_and_shared_ids_stay(spark):
     a, b, c, d = (edge.prose(k) for k in (20, 31, 42, 53))
     rows = [(None, a), (None, b), (None, b), (None, c), (None, c + " more"), (1, d), (2, d), (2, edge.prose(64)), (None, None), (None, " ")]

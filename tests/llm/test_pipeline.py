@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from rillway.llm.common import stage
+from rillway.llm.staging import stage
 from rillway.llm.language import Languages, fold, learn
 from rillway.llm.mixing import mix_sources
 from tests.llm import edge

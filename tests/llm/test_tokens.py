@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rillway.llm.common import new_path
+from rillway.llm.staging import new_path
 from rillway.llm.encoding import Encoder, in_groups
 from rillway.llm.packing import best_fit, op1_best_fit_packing, pack, pack_documents, pack_pieces
 from rillway.llm.token_files import op3_token_files, read_token_files, write_token_files
