@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import stage
+from rillway.llm.staging import stage
 from rillway.llm.language import fold, identify, learn, usual_phrases
 from rillway.llm.lines import remove_repeated_lines
 from rillway.llm.mixing import select_mixed
@@ -41,8 +41,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line repeats go, however short; n_chars follows the text."""
-    out = remove_repeated_lines(docs, min_words=1)
+    """Stretches of lines and sentences that earlier ones repeat go; every row stays, and n_chars follows the text.
+
+    Null texts stay null, a text that is repeated whole becomes empty; of equal rows the first keeps its text.
+    """
+    out = remove_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -22,7 +22,7 @@ def one_of(c: Column, values: Iterable[Any] | None) -> Column:
 
 
 def any_of(c: Column, values: Iterable[Any] | None) -> Column:
-    """The array c and the values have one in common; passes without values, fails on null."""
+    """The array c holds one of the values; passes without values, fails on null."""
     if values is None:
         return F.lit(True)
     return F.coalesce(F.arrays_overlap(c, F.array(*[F.lit(v) for v in values])), F.lit(False))
