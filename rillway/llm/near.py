@@ -5,10 +5,13 @@
 2. Each text has MinHash values. Texts that agree on all values of a band fall into its bucket. In a bucket only
    links to one member are looked at, another one in each band, so a bucket of n texts gives n candidates, not n * n.
 3. Candidates are pruned incrementally: after each step of MinHash values, those whose posterior probability of
-   reaching the wanted similarity is below TOLERANCE are dropped.
-4. Texts that share a bucket but came out in different groups are candidates too, so no bucket's pair is left out.
-5. Groups are cut into blocks, and each pair of blocks is one task's work: prune by the same rule, then compare the
-   survivors' shingles exactly. A task returns counts and links that connect, not pairs.
+   reaching the wanted similarity is below TOLERANCE are dropped. What survives ties texts into groups.
+4. A bucket whose members came out in different groups is torn. A torn bucket of over TORN members is split by further
+   values, several times over, until its parts are small; in a part, members are compared by the same pruning in one
+   task, which returns only what joins groups. So no true pair of a bucket is left out, and texts that merely share a
+   template are split apart instead of being compared with all others.
+5. Groups are cut into blocks of bounded bytes, and each pair of blocks is one task's work: prune by the same rule,
+   then compare the survivors' shingles exactly. A task returns counts and links that connect, not pairs.
 """
 
 from __future__ import annotations
@@ -23,63 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import discard, plain_words, stage, tidy, whole_texts
 from rillway.llm.components import components
+from rillway.llm.staging import LAST, discard, numbered, plain_words, stage, tidy, unused, whole_texts
+from rillway.llm.windows import ODD, Windows, mixed
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: 48 bands of 6 values: texts of similarity 0.8 miss each other with probability (1 - 0.8 ** 6) ** 48 = 5e-7.
-BANDS, ROWS = 48, 6
+#: MinHash values; 64 bands of 8 of them: texts of similarity 0.8 miss each other with probability (1 - 0.8 ** 8) ** 64
+#: = 8e-6, texts of similarity 0.4 meet in one band with 0.04.
+HASHES, BANDS, ROWS = 288, 64, 8
 #: Candidates are looked at after each so many MinHash values.
 STEP = 32
 #: Posterior probability of reaching the similarity below which a pair is dropped.
 TOLERANCE = 1e-6
-#: Looser similarity that ties a bucket's member to the bucket's group (see 2 to 4 above).
-TIED = 0.4
-#: Texts of a block.
-BLOCK = 768
-
-_HASHES = BANDS * ROWS
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads 64-bit values."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+#: Members up to which a torn bucket is compared in one task; how often a larger one is split by SPLIT further values
+#: (texts of similarity 0.8 are parted by all splits of one bucket with probability 0.12, and share ten buckets), and
+#: how often in turn.
+TORN, TRIES, SPLIT, LEVELS = 512, 4, 4, 8
+#: Shingles and texts of a block, on average.
+BLOCK_SHINGLES, BLOCK = 400_000, 1024
 
 @lru_cache(1)
 def _family() -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets of the MinHash functions, from a fixed rule."""
-    i = np.arange(1, 2 * _HASHES + 1, dtype=np.uint64) * _ODD
+    i = np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * ODD
     v = mixed(i)
-    return v[:_HASHES] | np.uint64(1), v[_HASHES:]
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (self.base, self.inverse))
-
-
-_POWERS = Powers(0xD6E8FEB86659FD93)
-
-
-def window_hashes(data: bytes, begin: np.ndarray, end: np.ndarray, powers: Powers = _POWERS) -> np.ndarray:
-    """64-bit hashes of data[begin:end], by prefix sums of a polynomial."""
-    powers.grow(len(data) + 1)
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * powers.up[: len(raw)])])
-    return mixed((prefix[end] - prefix[begin]) * powers.down[begin] + (end - begin).astype(np.uint64) * _ODD)
+    return v[:HASHES] | np.uint64(1), v[HASHES:]
 
 
 def shingles(text: str) -> np.ndarray:
@@ -91,14 +63,16 @@ def shingles(text: str) -> np.ndarray:
     end = np.cumsum(size + 1) - 1
     begin = end - size
     n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(window_hashes(b" ".join(words), begin[:n], end[min(SHINGLE, len(words)) - 1 :][:n]))
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    begin, end = begin[:n], end[min(SHINGLE, len(words)) - 1 :][:n]
+    return np.unique(mixed(Windows(data).of(begin, end) + (end - begin).astype(np.uint64) * ODD))
 
 
 def signature(values: np.ndarray) -> np.ndarray:
     """The MinHash values of a set, 32 bits each."""
     a, b = _family()
-    least = np.full(_HASHES, np.iinfo(np.uint64).max, np.uint64)
-    room = np.empty((min(len(values), 128), _HASHES), np.uint64)  # stays in the processor's cache
+    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    room = np.empty((min(len(values), 128), HASHES), np.uint64)  # stays in the processor's cache
     for k in range(0, len(values), 128):
         some = values[k : k + 128, None]
         hashed = room[: len(some)]
@@ -108,17 +82,24 @@ def signature(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+@lru_cache(1)
+def _members_of_bands() -> np.ndarray:
+    """The values of each band: every value is used about twice, in bands that have little else in common."""
+    order = [np.argsort(mixed(np.arange(HASHES, dtype=np.uint64) + np.uint64(1000 * k + 7))) for k in range(-(-BANDS * ROWS // HASHES))]
+    return np.concatenate(order)[: BANDS * ROWS].reshape(BANDS, ROWS)
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """A key for each band; bands never share keys but by chance."""
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64) * _ODD
+    rows = sig[_members_of_bands()].astype(np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64) * ODD
     for k in range(ROWS):
-        key = mixed(key * _ODD + rows[:, k] + np.uint64(1))
+        key = mixed(key * ODD + rows[:, k] + np.uint64(1))
     return key.view(np.int64)
 
 
 @lru_cache(None)
-def least_matches(similar: float, tolerance: float, step: int = STEP, hashes: int = _HASHES) -> tuple[int, ...]:
+def least_matches(similar: float, tolerance: float, step: int = STEP, hashes: int = HASHES) -> tuple[int, ...]:
     """After n = step, 2 * step, ... values: the fewest agreeing ones at which a pair stays.
 
     With a uniform prior the similarity's posterior after m of n agreements is Beta(m + 1, n - m + 1), whose tail
@@ -154,34 +135,35 @@ def _digest(text: str | None) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text): the digest of the words, the number of shingles, the MinHash values' low 16 bits and the bands."""
+    """Of (doc, row, text): the digest of the words, the number of shingles, the MinHash values' low 16 bits and the bands."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for text in batch.column(1).to_pylist():
-            own = shingles(text or "")
+        for text in batch.column(2):
+            text = text.as_py() or ""
+            own = shingles(text)
             sig = signature(own)
             out[0].append(_digest(text))
             out[1].append(len(own))
             out[2].append((sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
             out[3].append(bands(sig) if len(own) else np.zeros(0, np.int64))
         kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], ["doc_id", "digest", "n", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out, kinds)], ["doc", "row", "digest", "n", "sig", "bands"])
     tidy()
 
 
-def _pruned(pairs: DataFrame, signatures: DataFrame, similar: float) -> DataFrame:
+def _pruned(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that the Bayesian rule leaves."""
     left = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
     right = signatures.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     # sets whose sizes differ too much can't be similar
-    near = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b"))
+    near = pairs.join(left, "a").join(right, "b").where(F.least("n_a", "n_b") >= F.lit(SIMILAR) * F.greatest("n_a", "n_b"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, _HASHES) for k in (2, 3))
-            good = plausible(left, right, similar, TOLERANCE)
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, HASHES) for k in (2, 3))
+            good = plausible(left, right, SIMILAR, TOLERANCE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
         tidy()
 
@@ -189,14 +171,14 @@ def _pruned(pairs: DataFrame, signatures: DataFrame, similar: float) -> DataFram
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two sorted arrays of distinct ones."""
+    """How many values two sorted arrays of distinct ones share."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
-def _common(sets_a: list[np.ndarray], sets_b: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The number of common values of sets_a[p] and sets_b[q] for each of the pairs."""
+def _shared(sets_a: list[np.ndarray], sets_b: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The number of values that sets_a[p] and sets_b[q] share, for each of the pairs."""
     if len(p) <= 4 * (len(sets_a) + len(sets_b)):
         return np.array([_same(sets_a[i], sets_b[j]) for i, j in zip(p.tolist(), q.tolist())], np.int64)
     # many pairs of few texts: products of 0/1 matrices over the values that both sides have, some columns at a time
@@ -226,16 +208,16 @@ def _links(sigs_a, sets_a, sigs_b, sets_b, same_block: bool) -> tuple[np.ndarray
         j = np.arange(i + 1 if same_block else 0, len(sets_b))
         j = j[np.minimum(size_a[i], size_b[j]) >= SIMILAR * np.maximum(size_a[i], size_b[j])]
         if len(j):
-            j = j[plausible(np.broadcast_to(sigs_a[i], (len(j), _HASHES)), sigs_b[j], SIMILAR, TOLERANCE)]
+            j = j[plausible(np.broadcast_to(sigs_a[i], (len(j), HASHES)), sigs_b[j], SIMILAR, TOLERANCE)]
             ps.append(np.full(len(j), i))
             qs.append(j)
     p, q = np.concatenate(ps), np.concatenate(qs)
     if not len(p):
         return p, q
-    common = _common(sets_a, sets_b, p, q)
-    # in integers: common / union >= 4 / 5
+    shared = _shared(sets_a, sets_b, p, q)
+    # in integers: shared / union >= 4 / 5
     top, bottom = round(SIMILAR * 1000), 1000
-    good = common * bottom >= top * (size_a[p] + size_b[q] - common)
+    good = shared * bottom >= top * (size_a[p] + size_b[q] - shared)
     return p[good], q[good]
 
 
@@ -252,58 +234,114 @@ def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return root
 
 
+def _dealt(placed: DataFrame, lots: int, *columns: str) -> DataFrame:
+    """Deals the members of keys to tasks: a block of a key of several goes to each pair (i, j), i <= j, of blocks that it is part of; keys of one block share lots.
+
+    placed: key, id, blocks and the columns.
+    """
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    paired = placed.withColumn("block", block).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.withColumns({"i": F.least("block", "partner"), "j": F.greatest("block", "partner")})
+    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(lots))).otherwise(F.xxhash64("key", "i", "j"))
+    return paired.select(lot.alias("lot"), "key", "i", "j", "block", "id", *columns)
+
+
+def _parts_of(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, bool]]:
+    """Of a lot: each key's pair of blocks, with the places of the left and of the right block's rows; the two are one in the last case."""
+    table = table.sort_by([(c, "ascending") for c in ("key", "i", "j", "block", "id")])
+    key, i, j, block = (table.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+    begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(key)]):
+        yield table.slice(a, b - a), np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a]), bool(i[a] == j[a])
+
+
 def _compare(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """id, other, links: the links of each text that has any inside its group, counted over copies, and an id that they join it to.
 
-    groups: id, component, copies; texts: id, text. A text has a row for each pair of blocks that it has links in.
+    groups: id, component, n (shingles), copies; texts: id, text. A text has a row for each pair of blocks that it has links in.
     """
-    sized = stage(groups.groupBy("component").agg(F.count("*").alias("members")).where("members > 1"), "sized")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    placed = groups.join(sized, "component").withColumn("blocks", blocks)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a block goes to each pair (i, j), i <= j, that it is part of
-    dealt = placed.join(texts, "id").withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("block", "partner"), "j": F.greatest("block", "partner")})
-    # small groups share lots of about a thousand texts; a pair of blocks has its own
-    lots = max(1, groups.count() // 1000)
-    lot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(lots))).otherwise(F.xxhash64("component", "i", "j"))
-    dealt = dealt.select(lot.alias("lot"), "component", "i", "j", "block", "id", "copies", "text")
-
-    def pairs(table):
-        table = table.sort_by([(c, "ascending") for c in ("component", "i", "j", "block", "id")])
-        component, i, j, block, ids, copies = (table.column(c).to_numpy() for c in ("component", "i", "j", "block", "id", "copies"))
-        texts = table.column("text").to_pylist()
-        begins = np.flatnonzero(np.concatenate([[True], (component[1:] != component[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    sized = stage(groups.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1"), "sized")
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("weight") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")
+    placed = groups.join(sized, "component").select(F.col("component").alias("key"), "id", "copies", blocks).join(texts, "id")
+    lots = max(1, -(-(sized.agg(F.sum("weight")).first()[0] or 0) // BLOCK_SHINGLES))
+
+    def pairs(table: pa.Table) -> pa.Table:
         out = []
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(ids)]):
-            sets = [shingles(t or "") for t in texts[a:b]]
+        for part, left, right, one in _parts_of(table):
+            ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
+            sets = [shingles(t.as_py() or "") for t in part.column("text")]
             sigs = np.array([signature(x) & np.uint32(0xFFFF) for x in sets])
-            left, right = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
-            p, q = _links(sigs[left], [sets[k] for k in left], sigs[right], [sets[k] for k in right], bool(i[a] == j[a]))
+            p, q = _links(sigs[left], [sets[k] for k in left], sigs[right], [sets[k] for k in right], one)
             p, q = left[p], right[q]
-            links = np.zeros(b - a, np.int64)
-            np.add.at(links, p, copies[a:b][q])
-            np.add.at(links, q, copies[a:b][p])
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, p, copies[q])
+            np.add.at(links, q, copies[p])
             some = np.flatnonzero(links)
-            out.append((ids[a:b][some], ids[a:b][_roots(b - a, p, q)[some]], links[some]))
-        columns = [np.concatenate(x) for x in zip(*out)]
+            out.append((ids[some], ids[_roots(len(ids), p, q)[some]], links[some]))
         tidy()
-        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["id", "other", "links"])
-
-    return dealt.groupBy("lot").applyInArrow(pairs, "id long, other long, links long")
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=["id", "other", "links"])
 
+    pairs.__annotations__ = {}
+    return _dealt(placed, lots, "copies", "text").groupBy("lot").applyInArrow(pairs, "id long, other long, links long")
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id (null ids as the largest long), digest, class_id, copy_id, n_links for every row; first, whether its text is the first of its class; worded, whether it has words.
 
-    A class is known by its texts' digests, so classes whose smallest doc_id is the same, or null, stay apart.
+def _joining(table: pa.Table) -> pa.Table:
+    """Of parts of torn buckets: a, b for what the incremental comparison leaves between members of different groups, one link for each member at most."""
+    out = []
+    for part, left, right, one in _parts_of(table):
+        ids, component, n = (part.column(c).to_numpy().astype(np.int64) for c in ("id", "component", "n"))
+        sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+        ps, qs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, p in enumerate(left.tolist()):
+            q = right[at + 1 :] if one else right
+            q = q[(component[q] != component[p]) & (np.minimum(n[p], n[q]) >= SIMILAR * np.maximum(n[p], n[q]))]
+            if len(q):
+                q = q[plausible(np.broadcast_to(sigs[p], (len(q), HASHES)), sigs[q], SIMILAR, TOLERANCE)]
+                ps.append(np.full(len(q), p))
+                qs.append(q)
+        root = _roots(len(ids), np.concatenate(ps), np.concatenate(qs))
+        new = np.flatnonzero(root != np.arange(len(ids)))
+        out.append((ids[new], ids[root[new]]))
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=["a", "b"])
+
+
+def _across(inside: DataFrame, group: DataFrame, signatures: DataFrame) -> DataFrame:
+    """a, b: likely links between texts of one bucket that are in different groups.
+
+    inside: band, id. A part is a bucket's members that also agree on some further values, so the parts of a large
+    bucket of texts that only share a template are small, while similar texts meet in one of them.
     """
-    whole_texts(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text_col).alias("text"))
-    table = stage(own.mapInArrow(_sketch, "doc_id long, digest binary, n int, sig binary, bands array<long>"), "sketches")
+    named = inside.join(group, "id", "left").select(F.col("band").alias("key"), "id", F.coalesce("component", "id").alias("component"))
+    now, level, found = stage(named, "named"), 0, []
+    while True:
+        sizes = now.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        sizes = stage(sizes.select("key", "members"), "torn")
+        settled = sizes if level == LEVELS else sizes.where(F.col("members") <= TORN)
+        small = now.join(settled, "key").select("key", "id", "component", F.ceil(F.col("members") / F.lit(TORN)).cast("int").alias("blocks"))
+        found.append(small)
+        large = sizes.where(F.col("members") > TORN)
+        if level == LEVELS or not large.limit(1).count():
+            break
+        level += 1
+        split = now.join(large.select("key"), "key").join(signatures.select("id", "sig"), "id").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(TRIES))))
+        at = F.pmod(F.xxhash64("key", "try", F.lit(level)), F.lit(HASHES // SPLIT)).cast("int") * (2 * SPLIT) + 1
+        now = stage(split.select(F.xxhash64("key", "try", F.substring("sig", at, F.lit(2 * SPLIT))).alias("key"), "id", "component"), "parts")
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    every = stage(every, "apart")
+    lots = max(1, -(-every.count() // 4096))
+    placed = every.join(signatures, "id")
+    return _dealt(placed, lots, "component", "n", "sig").groupBy("lot").applyInArrow(_joining, "a long, b long")
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """Of (doc, row, text): doc, row, class_id, copy_id, n_links, and first, whether the row is the first of its class, for every row."""
+    whole_texts(own.sparkSession)
+    table = stage(own.mapInArrow(_sketch, "doc long, row long, digest binary, n int, sig binary, bands array<long>"), "sketches")
     # one row for all copies
-    distinct = table.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
+    distinct = table.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc", "row")).alias("copy"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "digest", "copy.*", "copies", "n", "sig", "bands"), "texts")
     signatures = reps.select("id", "n", "sig")
     members = reps.select("id", F.explode("bands").alias("band"))
     # each band has another member of a bucket as its centre
@@ -311,60 +349,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     buckets = stage(members.groupBy("band").agg(centre.alias("centre"), F.count("*").alias("held")).where("held > 1").select("band", "centre"), "buckets")
     inside = stage(members.join(buckets, "band"), "members")
     stars = inside.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    tied = stage(_pruned(stars, signatures, TIED), "tied")
+    tied = stage(_pruned(stars, signatures), "tied")
     group = stage(components(tied), "groups")
-    # members of one bucket in different groups: each such pair is a candidate by itself
-    named = inside.select("band", "id").join(group, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    torn = stage(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "torn")
-    apart = stage(named.join(torn, "band").select("band", "id", "component"), "apart")
-    across = apart.toDF("band", "a", "ca").join(apart.toDF("band", "b", "cb"), "band").where("ca < cb").select("a", "b").distinct()
-    more = stage(_pruned(across, signatures, SIMILAR), "across")
+    more = stage(_across(inside.select("band", "id"), group, signatures), "across")
+    discard(buckets, inside)
     if more.limit(1).count():
         group = stage(components(tied.union(more)), "groups")
-    discard(buckets, inside, apart, torn)
     # the text of one copy for each text that is in a group
-    chosen = group.join(reps.select("id", "digest", "copy_id"), "id").select("id", F.col("copy_id").alias("doc_id"), "digest")
-    if chosen.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # many texts of one id (null, above all): by id alone each of its rows would meet each of its texts
-        found_text = own.mapInArrow(_digested(own.columns, "text"), "doc_id long, text string, __own binary")
-        texts = found_text.join(chosen.withColumnRenamed("digest", "__own"), ["doc_id", "__own"]).select("id", "text").dropDuplicates(["id"])
-    else:
-        texts = own.join(chosen, "doc_id").select("id", "text", "digest").mapInArrow(_of_digest, "id long, text string").dropDuplicates(["id"])
-    found = stage(_compare(group.join(reps.select("id", "copies"), "id"), texts), "found")
+    chosen = stage(group.join(reps.select("id", "doc", "row"), "id").select("id", "doc", "row"), "chosen")
+    texts = own.join(chosen, ["doc", "row"]).select("id", "text")
+    found = stage(_compare(group.join(reps.select("id", "n", "copies"), "id"), texts), "found")
     joined = components(found.where("other <> id").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of_text = reps.select("id", "digest", "copy_id", "copies").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    smallest = stage(of_text.groupBy("component").agg(F.min(F.struct("copy_id", "digest")).alias("least")).select("component", F.col("least.copy_id").alias("class_id"), F.col("least.digest").alias("first_digest")), "smallest")
+    of_text = reps.select("id", "digest", F.struct("doc", "row").alias("copy"), "copies").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = stage(of_text.groupBy("component").agg(F.min("copy").alias("lead")), "smallest")
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
-    classes = stage(of_text.join(smallest, "component").join(counts, "id", "left").select("digest", "class_id", "copy_id", links, (F.col("digest") == F.col("first_digest")).alias("leads")), "classes")
-    discard(tied, more, group, found, reps, smallest)
-    alone = table.where("n = 0").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"), F.lit(False).alias("worded"))
-    first = (F.col("leads") & (F.col("doc_id") == F.col("class_id"))).alias("first")
-    return table.where("n > 0").select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "copy_id", "n_links", first, F.lit(True).alias("worded")).unionByName(alone)
-
-
-def _digested(names: list[str], text_col: str):
-    """Adds __own, the digest of the text's words; null for a text without words."""
-    at = names.index(text_col)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [_digest(t) if plain_words(t or "") else None for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*names, "__own"])
-        tidy()
-
-    return rows
-
-
-def _of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where rows share a doc_id, the text that the id was given for."""
-    for batch in batches:
-        good = [_digest(t) == d for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "text"]).filter(pa.array(good, pa.bool_()))
-
-
-#: What stands for a null doc_id inside.
-_LAST = (1 << 63) - 1
+    classes = stage(of_text.join(smallest, "component").join(counts, "id", "left").select("digest", "lead", F.col("copy.doc").alias("copy_id"), links), "classes")
+    discard(tied, more, group, chosen, found, reps, smallest)
+    worded = table.where("n > 0").select("doc", "row", "digest").join(classes, "digest")
+    worded = worded.select("doc", "row", F.col("lead.doc").alias("class_id"), "copy_id", "n_links", (F.struct("doc", "row") == F.col("lead")).alias("first"))
+    alone = table.where("n = 0").select("doc", "row", F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return worded.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,30 +382,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with other words are texts of their own. Other columns, whatever their names, aren't read. An empty table gives
     no rows.
     """
-    every = _classes(docs, id_col, text_col)
-    return every.select(*(F.when(F.col(c) < F.lit(_LAST), F.col(c)).alias(c) for c in ("doc_id", "class_id", "copy_id")), "n_links")
+    own = numbered(docs.select(F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text_col}`").alias("text")), "own_id", "doc", "row").select("doc", "row", "text")
+    known = lambda c: F.when(F.col(c) < F.lit(LAST), F.col(c))
+    return _classes(own).select(known("doc").alias("doc_id"), known("class_id").alias("class_id"), known("copy_id").alias("copy_id"), "n_links")
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that have an earlier one in their class; one row of each class stays, with all its columns.
 
-    Rows are known by doc_id and words, so rows of null ids, or a row whose id also names a copy, go only as copies
-    of their own. Texts without words all stay. Of several texts that share one id (not null) and are each the first
-    of a class, one stays.
+    Earlier is the smaller id (null last), then the lower row number. Rows are told apart by both, so rows of null or
+    shared ids are texts of their own, and go only as copies. Texts without words all stay. An empty table stays empty.
     """
-    every = stage(_classes(docs, id_col, text_col).select("doc_id", "digest", "first", "worded"), "decisions")
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    if not every.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        gone = stage(every.where("not first").select(F.col("doc_id").alias("__gone")), "gone")
-        return docs.join(gone, key == F.col("__gone"), "left_anti")
     names = docs.columns
-    marked = docs.mapInArrow(_digested(names, text_col), docs.withColumn("__own", F.lit(None).cast("binary")).schema)
-    leads = every.where("first and worded").select(F.col("doc_id").alias("__first"), F.col("digest").alias("__digest")).distinct()
-    named = leads.where(F.col("__first") < F.lit(_LAST)).groupBy("__first").agg(F.min("__digest").alias("__digest"))
-    leads = stage(named.unionByName(leads.where(F.col("__first") == F.lit(_LAST))), "leads")
-    kept = marked.join(leads, (key == F.col("__first")) & (F.col("__own") == F.col("__digest"))).dropDuplicates(["__first", "__digest"])
-    return kept.select(*names).union(marked.where("__own is null").select(*names))
+    doc, row = unused(names, "doc", "row")
+    every = numbered(docs, id_col, doc, row)
+    decided = _classes(every.select(F.col(doc).alias("doc"), F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text")))
+    gone = stage(decided.where("not first").select(F.col("doc").alias(doc), F.col("row").alias(row)), "gone")
+    return every.join(gone, [doc, row], "left_anti").select(*(F.col(f"`{c}`") for c in names))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's class and links; nulls, ties, repeated rows and empty tables as in near_duplicates."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -75,13 +75,48 @@ def test_large_group_of_borderline_copies_in_several_blocks(spark, monkeypatch):
     assert found_classes(near_duplicates(docs)) == brute_classes(docs.collect())
 
 
+def template(n, shared, words=100):
+    return [(k, " ".join([f"t{i}" for i in range(shared)] + [f"x{k}y{i}" for i in range(words - shared)])) for k in range(n)]
+
+
+@pytest.mark.parametrize("torn", [4, 512])
+def test_split_buckets_lose_no_link(spark, monkeypatch, torn):
+    monkeypatch.setattr(near, "TORN", torn)
+    rng = np.random.default_rng(8)
+    rows = template(150, 62)
+    for k in range(60):  # pairs about the threshold among texts of one template
+        words = rows[k][1].split()
+        for at in rng.choice(np.arange(62, 100), int(rng.integers(1, 6)), replace=False):
+            words[at] = f"z{k}"
+        rows.append((1000 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_classes(near_duplicates(docs)) == brute_classes(docs.collect())
+
+
+@pytest.mark.parametrize("shared", [42, 62])
+def test_texts_of_a_template_are_not_candidates(spark, monkeypatch, shared):
+    """What goes from one step to the next grows with the rows, though all texts share a part."""
+    rows_of = Counter()
+    kept = near.stage
+
+    def counted(df, label):
+        out = kept(df, label)
+        if label in ("tied", "across", "groups", "found"):
+            rows_of[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near, "stage", counted)
+    docs = spark.createDataFrame(template(1500, shared), "doc_id long, text string")
+    assert {r.n_links for r in near_duplicates(docs).collect()} == {0} and sum(rows_of.values()) == 0
+
+
 def test_bayes_thresholds():
     least = near.least_matches(0.8, 1e-6)
     assert all(a <= b for a, b in zip(least, least[1:])) and 0 < least[0] < 0.8 * near.STEP
     # a pair at the similarity survives all steps but with a tiny probability
-    agree = np.random.default_rng(1).random((4000, near.BANDS * near.ROWS)) < 0.8
+    agree = np.random.default_rng(1).random((4000, near.HASHES)) < 0.8
     assert near.plausible(agree.astype(np.uint16), np.ones_like(agree, np.uint16), 0.8, 1e-6).all()
-    far = np.random.default_rng(1).random((4000, near.BANDS * near.ROWS)) < 0.4
+    far = np.random.default_rng(1).random((4000, near.HASHES)) < 0.4
     assert not near.plausible(far.astype(np.uint16), np.ones_like(far, np.uint16), 0.8, 1e-6).any()
 
 
@@ -91,7 +126,7 @@ def test_one_of_each_class_stays_with_its_columns(spark):
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     classes = {(r.class_id is None, r.class_id or 0) for r in near_duplicates(docs).collect()}
-    assert ids == sorted(classes)
+    assert ids == sorted([*classes, (False, 11)])  # two texts of id 11, each the first of a class
     unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     assert sorted(r.doc_id for r in first_of_each_class(unique).collect()) == sorted({r.class_id for r in near_duplicates(unique).collect()})
 
