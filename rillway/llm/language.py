@@ -25,10 +25,13 @@ SAMPLE_CHARS = 60_000
 SAMPLE_TEXT = 6_000
 #: Rows for each language that the sample is picked from.
 SAMPLE_ROWS = 64
+#: Characters of all languages' samples together: with more than 20 labels each has less, down to a thousand.
+ALL_CHARS = 1_200_000
 #: Languages that can be learned; more labels than this are an error.
-MOST_LANGUAGES = 200
-#: A parse starts anew after so many characters, so that a long text is many stretches.
-STRETCH = 1024
+MOST_LANGUAGES = 1000
+#: A long text is walked in so many symbols at a time, side by side; where a walk doesn't fall in with that of the text
+#: before it within FALL_IN symbols, the text is walked in one.
+STRETCH, FALL_IN = 1024, 256
 #: Symbols that have a column in the tables; the samples' rarer letters are in sorted lists of transitions.
 ALPHABET = 96
 
@@ -162,38 +165,71 @@ class Languages:
         begin = starts[owner] + nth * STRETCH
         size = np.minimum(sizes[owner] - nth * STRETCH, STRETCH)
         order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
-        alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")  # stretches longer than each place
-        for lane in range(0, len(begin), 4096):
-            b, most = begin[lane : lane + 4096], int(size[lane])
-            for k, table in enumerate(self.tables):
-                # the first character always begins a phrase
-                state = np.zeros(len(b), np.int32)
-                count = np.zeros(len(b), np.int64)
-                for at in range(most):
-                    n = min(len(b), int(alive[at]) - lane)
-                    code = codes[b[:n] + at]
-                    if rare:
-                        far = np.flatnonzero(code >= self.dense)
-                        to = table.step[state[:n] * self.dense + np.where(code < self.dense, code, 0)]
-                        to[far] = table.rare(state[far], code[far])
-                    else:
-                        to = table.step[state[:n] * self.dense + code]
+        alive = np.searchsorted(-size[order], -np.arange(STRETCH), side="left")  # stretches longer than each place
+
+        def follow(table: Table, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+            if not rare:
+                return table.step[state * self.dense + code]
+            far = np.flatnonzero(code >= self.dense)
+            to = table.step[state * self.dense + np.where(code < self.dense, code, 0)]
+            to[far] = table.rare(state[far], code[far])
+            return to
+
+        for k, table in enumerate(self.tables):
+            # each stretch by itself, as if a phrase began with it
+            counts, ends = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int32)
+            for lane in range(0, len(owner), 4096):
+                some = order[lane : lane + 4096]
+                b, state, count = begin[some], np.zeros(len(some), np.int32), np.zeros(len(some), np.int64)
+                for at in range(int(size[some[0]])):
+                    n = min(len(some), int(alive[at]) - lane)
+                    to = follow(table, state[:n], codes[b[:n] + at])
                     new = to < 0
                     count[:n] += new
                     np.copyto(state[:n], np.where(new, -1 - to, to))
                     if at == 0:
                         count[:n] += ~new
-                out[k] += np.bincount(owner[lane : lane + 4096], count, len(texts)).astype(np.int64)
+                counts[some], ends[some] = count, state
+            # then from where the stretch before it ended, beside the first walk, until both are in one state
+            at, now, apart_from = 0, np.flatnonzero(nth), np.zeros(len(texts), bool)
+            true, alone = ends[now - 1], np.zeros(len(now), np.int32)
+            while len(now) and at < FALL_IN:
+                code = codes[begin[now] + at]
+                to, as_was = follow(table, true, code), follow(table, alone, code)
+                counts[now] += (to < 0).astype(np.int64) - (1 if at == 0 else (as_was < 0))
+                true, alone = np.where(to < 0, -1 - to, to), np.where(as_was < 0, -1 - as_was, as_was)
+                at += 1
+                apart = true != alone
+                late = apart & (size[now] <= at)  # ended apart
+                apart_from[owner[now[late]]] = True
+                going = apart & ~late
+                now, true, alone = now[going], true[going], alone[going]
+            apart_from[owner[now]] = True
+            out[k] = np.bincount(owner, counts, len(texts)).astype(np.int64)
+            for text in np.flatnonzero(apart_from):
+                out[k, text] = self._walked(table, codes[starts[text] : starts[text] + sizes[text]])
         return out
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """The language, a score from 0 to 1 and the mean length of its phrases.
+    def _walked(self, table: Table, codes: np.ndarray) -> int:
+        """The phrases of one text, symbol by symbol."""
+        step, dense, state, count = memoryview(table.step), self.dense, 0, 0
+        for c in codes.tolist():
+            to = step[state * dense + c] if c < dense else int(table.rare(np.array([state]), np.array([c]))[0])
+            if to < 0:
+                count += 1
+                state = -1 - to
+            else:
+                count += not count
+                state = to
+        return count
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """The language, a score from 0 to 1, and the mean length and the number of its phrases.
 
         The score is the share of phrases that the language saves against the runner-up. Texts without letters are
-        und, 0.0 and 0.0.
+        und, 0.0, 0.0 and 0.
         """
-        out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
+        out: list[tuple[str, float, float, int]] = [("und", 0.0, 0.0, 0)] * len(texts)
         known = [k for k, x in enumerate(texts) if x and _LETTER.search(x)]
         if not known or not self.names:
             return out
@@ -204,22 +240,22 @@ class Languages:
         second = np.partition(counts, 1, axis=0)[1] if len(self.names) > 1 else np.full(len(known), np.inf)
         score = 1.0 - least / second
         mean = self.coded(chosen)[1] / least
-        for k, b, s, m in zip(known, best.tolist(), score.tolist(), mean.tolist()):
-            out[k] = (self.names[b], s, m)
+        for k, b, s, m, n in zip(known, best.tolist(), score.tolist(), mean.tolist(), least.astype(int).tolist()):
+            out[k] = (self.names[b], s, m, n)
         return out
 
 
-def usual_phrases(samples: list[tuple[str, list[str]]], least_chars: int) -> dict[str, float]:
+def usual_phrases(samples: list[tuple[str, list[str]]]) -> dict[str, float]:
     """By language, the median over one half of its sample's texts of the mean phrase that the other half gives.
 
-    A language without such texts of least_chars characters is left out. One language's tables are held at a time.
+    One language's tables are held at a time.
     """
     out = {}
     for name, texts in samples:
         if len(texts) == 1:
             middle = len(texts[0]) // 2
             texts = [texts[0][:middle], texts[0][middle:]]
-        judged = [mean for lang, _, mean in Languages([(name, texts[::2])]).judge([x for x in texts[1::2] if len(x) >= least_chars]) if lang != "und"]
+        judged = [mean for lang, _, mean, _ in Languages([(name, texts[::2])]).judge(texts[1::2]) if lang != "und"]
         if judged:
             out[name] = float(np.median(judged))
     return out
@@ -236,51 +272,52 @@ def fold(doc_id) -> "F.Column":
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str]]]:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str]]]:
     """The sample of each language, in name order: a few KB each, whatever the size of the table.
 
-    Rows are picked by the crc32 of their id, so the same table gives the same sample. Only counts by language and
-    the picked rows come to the driver. Every language that has a text with letters and an id is learned: of texts of
-    over SAMPLE_TEXT characters the sample has a stretch.
+    Rows are picked by the hash of their text, so the same table gives the same sample, and copies count once. Only
+    counts by language and the picked rows come to the driver. Every language that has a text with letters is learned:
+    of texts of over SAMPLE_TEXT characters the sample has a stretch. Null labels teach nothing.
     """
     lettered = F.regexp_instr(F.col(text_col), F.lit(_LETTERS))
-    usable = labelled.where(F.col(lang_col).isNotNull() & (lettered > 0) & F.col(id_col).isNotNull())
+    usable = labelled.where(F.col(lang_col).isNotNull() & (lettered > 0))
     counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return []
     # about 4 times the rows wanted by a threshold on the hash, then an exact pick: no language is gathered whole
-    place = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1))
+    place = F.xxhash64(F.lit("sample"), F.col(text_col)).bitwiseAND(F.lit((1 << 40) - 1))
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 4 * SAMPLE_ROWS / n) * (1 << 40)))])
     stretch = F.when(F.length(text_col) <= SAMPLE_TEXT, F.col(text_col)).otherwise(F.substring(F.col(text_col), lettered, F.lit(SAMPLE_TEXT)))
     picked = usable.select(F.col(lang_col).alias("lang"), place.alias("place"), stretch.alias("text"))
-    some = picked.where(F.col("place") < share[F.col("lang")])
+    some = picked.where(F.col("place") < share[F.col("lang")]).groupBy("lang", "place").agg(F.min("text").alias("text"))
     rows = some.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "text"))), 1, SAMPLE_ROWS).alias("rows")).collect()
     found = {r["lang"]: r["rows"] for r in rows}
-    for name in counts.keys() - found.keys():  # its rows share few ids, so the threshold may miss them all
-        found[name] = picked.where(F.col("lang") == F.lit(name)).orderBy("place", "text").limit(SAMPLE_ROWS).collect()
-    out = []
+    for name in counts.keys() - found.keys():  # its texts are few, so the threshold may miss them all
+        found[name] = picked.where(F.col("lang") == F.lit(name)).groupBy("place").agg(F.min("text").alias("text")).orderBy("place").limit(SAMPLE_ROWS).collect()
+    out, most = [], max(1000, min(SAMPLE_CHARS, ALL_CHARS // len(found)))
     for name in sorted(found):
         texts, held = [], 0
         for x in dict.fromkeys(r["text"] for r in found[name]):
-            if held and held + len(x) > SAMPLE_CHARS:
+            if held and held + len(x) > most:
                 break
-            texts.append(x)
+            texts.append(x[:most])
             held += len(x)
         out.append((name, texts))
     return out
 
 
-def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", phrase_col: str | None = None) -> DataFrame:
-    """Adds the predicted language, its score and, if named, the mean length of its phrases to every row, from its whole text alone.
+def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", phrase_cols: tuple[str, str] | None = None) -> DataFrame:
+    """Adds the predicted language, its score and, if named, the mean length and the number of its phrases to every row, from its whole text alone.
 
-    Null texts and texts without letters are und with score 0. Empty tables stay empty; rows that repeat are judged
+    Null texts and texts without letters are und with score 0; of languages that need as few phrases the first by name
+    wins. Empty tables stay empty; rows that repeat are judged
     alike; all columns of docs stay, but for those that have the new columns' names.
     """
     whole_texts(docs.sparkSession)
-    docs = docs.drop(lang_col, score_col, *[phrase_col] * bool(phrase_col))
-    added = {lang_col: "", score_col: 0.0} | ({phrase_col: 0.0} if phrase_col else {})
+    docs = docs.drop(lang_col, score_col, *(phrase_cols or ()))
+    added = {lang_col: "", score_col: 0.0} | dict(zip(phrase_cols or (), (0.0, 0)))
     names = [*docs.columns, *added]
     schema = docs.select("*", *(F.lit(v).alias(c) for c, v in added.items())).schema
     at = docs.columns.index(text_col)
@@ -292,7 +329,8 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found = [x for a, b in in_groups(texts, 2_000_000) for x in languages.judge(texts[a:b])]
-            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64())[: len(added)])]
+            del texts
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int32())[: len(added)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
         tidy()
 
@@ -300,7 +338,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learned from the rows whose fold is not 2; every row is predicted."""
+    """Learned from the rows whose fold is not 2; every row is predicted. Nulls, ties and empty tables as in identify."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     samples = learn(docs.where(fold(F.col("doc_id")) != 2))
     held = F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")

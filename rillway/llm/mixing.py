@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import discard, stage, with_rank, words_pattern
+from rillway.llm.staging import discard, stage, unused, with_rank, words_pattern
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -90,12 +90,13 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
     return state.select("__source", "__total", "__target", "__times", upto.alias("__upto")), bits
 
 
-def times_taken(docs: DataFrame, found: tuple[DataFrame, int], source: Column, place: Column) -> DataFrame:
-    """Adds __total, __target and __takes (long) to each row. The table of sources is joined as its size allows; the rows aren't moved if it is small."""
+def times_taken(docs: DataFrame, found: tuple[DataFrame, int], source: Column, place: Column, takes: str, *kept: str) -> DataFrame:
+    """Adds takes (long), and those of __total and __target that are kept, to each row. The table of sources is joined as its size allows; the rows aren't moved if it is small."""
     table, bits = found
-    once = F.when(F.shiftright(place, _BITS - bits) < F.col("__upto"), F.lit(1)).otherwise(F.lit(0))
-    joined = docs.join(table.withColumnRenamed("__source", "__of"), source.eqNullSafe(F.col("__of")))
-    return joined.withColumn("__takes", F.col("__times") + once).drop("__of", "__times", "__upto")
+    of, times, upto = unused([*docs.columns, takes, *kept], "of", "times", "upto")
+    table = table.select(F.col("__source").alias(of), F.col("__times").alias(times), F.col("__upto").alias(upto), *kept)
+    once = F.when(F.shiftright(place, _BITS - bits) < F.col(upto), F.lit(1)).otherwise(F.lit(0))
+    return docs.join(table, source.eqNullSafe(F.col(of))).withColumn(takes, F.col(times) + once).drop(of, times, upto)
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -113,7 +114,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
     """
     sizes = measured(docs)
     found = thresholds(sizes, source_targets(sizes, weights, budget, most))
-    mixed = times_taken(sizes, found, F.col("__source"), F.col("__hash"))
+    mixed = times_taken(sizes, found, F.col("__source"), F.col("__hash"), "__takes", "__total", "__target")
     return mixed.select(
         F.col("__doc").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"),
         (F.col("__size") * F.col("__takes")).alias("taken"),
@@ -121,14 +122,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
 
 
 def select_mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mix takes it: 0 to most times, with all their columns as they are."""
+    """The rows of docs, each as often as the mix takes it: 0 to most times, with all their columns, whatever their names.
+
+    Nulls, texts without words, repeated ids and empty tables as in mix_sources.
+    """
     sizes = measured(docs, id_col, source_col=source_col)
-    found = thresholds(sizes, source_targets(sizes, weights, budget, most))
-    taken = times_taken(docs, found, F.col(source_col).cast("string"), place_hash(F.col(id_col))).where("__takes > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__takes")))).select(*docs.columns)
+    table, bits = thresholds(sizes, source_targets(sizes, weights, budget, most))
+    found = stage(table, "thresholds"), bits
+    discard(sizes)
+    takes, copy = unused(docs.columns, "takes", "copy")
+    taken = times_taken(docs, found, F.col(f"`{source_col}`").cast("string"), place_hash(F.col(f"`{id_col}`")), takes).where(F.col(takes) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(takes)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's share in the mix; nulls, repeated ids and empty tables as in mix_sources."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import stage, tidy, whole_texts
+from rillway.llm.staging import stage, tidy, unused, whole_texts
 from rillway.llm.encoding import encoder, in_groups
 
 #: Pieces that one task packs together. Blocks grow in number with the input, never in size.
 BLOCK_PIECES = 65_536
-#: Steps of the search in one block, and what a step looks at of a single sequence and, for one for two, of sequences.
-STEPS, PROBES = 20_000, 64
+#: Passes of the search in one block that may go by without a sequence being emptied; None: until no exchange is left.
+PATIENCE = 300
+#: Two sequences of so many pieces together exchange any of them; of larger ones the PROBES largest pieces are looked at.
+SMALL, PROBES = 9, 32
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -46,101 +48,129 @@ def best_fit(size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Search:
-    """Swap-based local search from a packing: each step moves tokens from a sequence to one that is at least as full."""
+    """Swap-based local search from a packing. A pass pairs underfull sequences; each pair makes the exchange that gives the greatest sum of squared fill.
+
+    Two sequences of few pieces try all ways to share them, so moves, one for one, two for one and any other exchange.
+    Of others the PROBES largest pieces move alone or in neighbouring twos, for none, one or two of the other's.
+    """
 
     def __init__(self, size: np.ndarray, where: np.ndarray, room: np.ndarray, capacity: int):
-        self.size, self.where, self.room, self.capacity = size, where, room, capacity
-        order = np.argsort(where, kind="stable")
-        self.held = [x.tolist() for x in np.split(order, np.cumsum(np.bincount(where, minlength=len(room)))[:-1])]
-
-    def trade(self, a: int, out: list[int], b: int, back: list[int]) -> None:
-        """Moves out from a to b, and back from b to a."""
-        gain = int(self.size[out].sum()) - int(self.size[back].sum())
-        self.held[a] = [x for x in self.held[a] if x not in out] + back
-        self.held[b] = [x for x in self.held[b] if x not in back] + out
-        self.where[out], self.where[back] = b, a
-        self.room[a] += gain
-        self.room[b] -= gain
-
-    def step(self, a: int) -> bool:
-        """One move or exchange that takes tokens out of a; False if none is found."""
-        size, room = self.size, self.room
-        mine = sorted(self.held[a], key=lambda x: -int(size[x]))[:PROBES]
-        fuller = room <= room[a]
-        fuller[a] = False
-        for x in mine:  # move: into the sequence that it fills best
-            fits = np.flatnonzero(fuller & (room >= size[x]))
-            if len(fits):
-                self.trade(a, [x], int(fits[np.argmin(room[fits])]), [])
-                return True
-        open_ = np.flatnonzero(fuller & (room > 0))
-        if not len(open_):
-            return False
-        inside = np.zeros(len(room), bool)
-        inside[open_] = True
-        theirs = np.flatnonzero(inside[self.where])
-        lengths, left = size[theirs], room[self.where[theirs]]
-        best = None
-        pairs = [[x, y] for i, x in enumerate(mine[:8]) for y in mine[i + 1 : 8]]
-        for some in (pairs, [[x] for x in mine]):  # two for one, then one for one
-            for out in some:
-                gain = int(size[out].sum()) - lengths
-                good = np.flatnonzero((gain > 0) & (gain <= left))
-                if len(good):
-                    k = good[np.argmin((left - gain)[good])]  # what fills the other best
-                    if best is None or left[k] - gain[k] < best[0]:
-                        best = (left[k] - gain[k], out, int(self.where[theirs[k]]), [int(theirs[k])])
-            if best:
-                break
-        if best is None:  # one for two
-            for b in open_[np.argsort(-room[open_], kind="stable")[:PROBES]].tolist():
-                other = sorted(self.held[b], key=lambda y: int(size[y]))[:PROBES]
-                for x in mine:
-                    for y, z in zip(other, other[1:]):
-                        gain = int(size[x]) - int(size[y]) - int(size[z])
-                        if 0 < gain <= room[b] and (best is None or room[b] - gain < best[0]):
-                            best = (room[b] - gain, [x], b, [y, z])
-        if best is None:
+        self.size, self.where, self.capacity = size, where, capacity
+        self.fill = capacity - room
+
+    def exchange(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """One exchange in each pair (a[k], b[k]) that has one; whether there was any."""
+        self.order = np.argsort(self.where, kind="stable")
+        self.count = np.bincount(self.where, minlength=len(self.fill))
+        self.start = np.cumsum(self.count) - self.count
+        total = self.count[a] + self.count[b]
+        some = False
+        for t in range(2, SMALL + 1):
+            of = np.flatnonzero(total == t)
+            for k in range(0, len(of), 2048):
+                some |= self.share(a[of[k : k + 2048]], b[of[k : k + 2048]], t)
+        of = np.flatnonzero(total > SMALL)
+        for k in range(0, len(of), 256):
+            some |= self.trade(a[of[k : k + 256]], b[of[k : k + 256]])
+        return some
+
+    def share(self, a: np.ndarray, b: np.ndarray, t: int) -> bool:
+        """Shares the t pieces of each pair so that a is as full as can be."""
+        nth = np.arange(t)[None, :]
+        own = self.count[a][:, None]
+        items = self.order[np.where(nth < own, self.start[a][:, None] + nth, self.start[b][:, None] + nth - own)]
+        sizes = self.size[items]
+        masks = (np.arange(1 << t)[:, None] >> np.arange(t)) & 1
+        sums, total = sizes @ masks.T, sizes.sum(axis=1)
+        sums[(sums > self.capacity) | (total[:, None] - sums > self.capacity)] = -1
+        best = sums.argmax(axis=1)
+        most = sums[np.arange(len(a)), best]
+        good = np.flatnonzero(most > np.maximum(self.fill[a], self.fill[b]))
+        if not len(good):
             return False
-        self.trade(a, best[1], best[2], best[3])
+        a, b, most = a[good], b[good], most[good]
+        self.where[items[good]] = np.where(masks[best[good]] > 0, a[:, None], b[:, None])
+        self.fill[a], self.fill[b] = most, total[good] - most
         return True
 
-    def run(self, steps: int) -> None:
-        """Empties sequences from the emptiest on, until none can be emptied, the fewest possible are left or the steps are used up."""
-        least = -(-int(self.size.sum()) // self.capacity)
-        used = sum(map(bool, self.held))
-        emptied = True
-        while emptied and used > least and steps > 0:
-            emptied = False
-            for a in np.argsort(-self.room, kind="stable").tolist():
-                if not self.held[a]:
-                    continue
-                if not self.room[a] or used <= least or steps <= 0:
-                    break
-                while steps > 0 and self.held[a] and self.step(a):
-                    steps -= 1
-                steps -= 1
-                if not self.held[a]:
-                    self.room[a] = -1  # nothing may go there again
-                    used -= 1
-                    emptied = True
-
-
-def pack(lengths: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    def probes(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each sequence: what may leave it, as two pieces (-1 for none) and their size (0 for nothing; the first of all)."""
+        held = [self.order[self.start[x] : self.start[x] + self.count[x]] for x in k.tolist()]
+        one = np.full((len(k), PROBES), -1)
+        for row, pieces in enumerate(held):
+            largest = pieces[np.argsort(-self.size[pieces], kind="stable")[:PROBES]]
+            one[row, : len(largest)] = largest
+        none = np.full((len(k), 1), -1)
+        first, second = np.concatenate([none, one, one[:, :-1]], axis=1), np.concatenate([none, np.full_like(one, -1), one[:, 1:]], axis=1)
+        first[:, PROBES + 1 :][second[:, PROBES + 1 :] < 0] = -1  # half a two is nothing
+        sized = np.append(self.size, 0)
+        return first, second, sized[first] + np.where(first < 0, 0, sized[second])
+
+    def trade(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Moves as many tokens as fit from the emptier to the fuller of each pair by one exchange."""
+        swap = self.fill[a] > self.fill[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        out, back = self.probes(a), self.probes(b)
+        gain = out[2][:, :, None] - back[2][:, None, :]
+        gain[gain > (self.capacity - self.fill[b])[:, None, None]] = -1
+        best = gain.reshape(len(a), -1).argmax(axis=1)
+        i, j, row = best // back[2].shape[1], best % back[2].shape[1], np.arange(len(a))
+        most = gain[row, i, j]
+        good = np.flatnonzero(most > 0)
+        for moved, at, to in ((out, i, b), (back, j, a)):
+            for pieces in moved[:2]:
+                gone = pieces[good, at[good]]
+                self.where[gone[gone >= 0]] = to[good][gone >= 0]
+        self.fill[a[good]] -= most[good]
+        self.fill[b[good]] += most[good]
+        return len(good) > 0
+
+    def run(self, patience: int | None) -> None:
+        """Passes until the fewest possible sequences are left, no pair has an exchange, or too many passes emptied none.
+
+        The passes are rounds of a tournament, so every pair of underfull sequences meets. Reruns meet alike.
+        """
+        least, quiet = -(-int(self.size.sum()) // self.capacity), 0
+        used = int((self.fill > 0).sum())
+        rng = np.random.default_rng(len(self.size))
+        while used > least:
+            bins = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            rng.shuffle(bins)
+            if len(bins) % 2:
+                bins = np.append(bins, -1)
+            changed, half = False, len(bins) // 2
+            for _ in range(len(bins) - 1):
+                a, b = bins[:half], bins[half:][::-1]
+                open_ = (a >= 0) & (b >= 0)
+                open_ &= (self.fill[a] > 0) & (self.fill[b] > 0) & (self.fill[a] < self.capacity) & (self.fill[b] < self.capacity)
+                changed |= self.exchange(a[open_], b[open_])
+                bins[1:] = np.roll(bins[1:], 1)
+                now = int((self.fill > 0).sum())
+                quiet = 0 if now < used else quiet + 1
+                used = now
+                if used <= least or patience is not None and quiet > patience:
+                    return
+            if not changed:
+                return
+
+
+def pack(lengths: np.ndarray, capacity: int, patience: int | None = PATIENCE) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and the place in it of each piece: best fit by falling length, then swap-based local search.
 
-    The search takes the emptiest sequences and moves their pieces, or exchanges two for one, one for one or one for
-    two, so that tokens go to fuller sequences. Each step raises the sum of squared fill, so the search ends.
+    The search pairs underfull sequences and lets each pair move or exchange pieces so that the fuller one gets as full
+    as can be. Each exchange raises the sum of squared fill, so the search ends; on the way sequences are emptied.
     """
     size = np.asarray(lengths, np.int64)
     if not len(size):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     where, room = best_fit(size, capacity)
     search = _Search(size, where, room, capacity)
-    search.run(steps)
+    search.run(patience)
+    order = np.argsort(search.where, kind="stable")
+    sums = np.cumsum(size[order]) - size[order]
+    first = np.flatnonzero(np.diff(search.where[order], prepend=-1))
     offset = np.zeros(len(size), np.int64)
-    for some in search.held:
-        offset[some] = np.cumsum(size[some]) - size[some]
+    offset[order] = sums - np.repeat(sums[first], np.diff(np.append(first, len(size))))
     return search.where, offset
 
 
@@ -174,29 +204,27 @@ def pack_pieces(pieces: DataFrame, capacity: int, length_col: str = "length") ->
 
     Rows are dealt at random into blocks of about BLOCK_PIECES and each block is packed by itself, which costs at
     most one underfull sequence more for each block. No key decides where a row goes, so equal rows, hot sources and
-    copies are spread. An empty table gives an empty table; a null length counts as 0.
+    copies are spread, and a block has lengths alone, whatever else the rows hold. An empty table gives an empty
+    table; a null length counts as 0.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    placed = stage(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    length = F.coalesce(F.col(length_col), F.lit(0))
-    full = placed.where(length >= capacity)
-    rest = placed.where(length < capacity)
+    row, of = unused([*pieces.columns, "sequence_id", "offset"], "row", "of")
+    placed = stage(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    length = F.coalesce(F.col(f"`{length_col}`"), F.lit(0)).cast("long")
+    rest = placed.where(length < capacity).select(F.col(row).alias("row"), length.alias("length"))
     blocks = max(1, -(-rest.count() // BLOCK_PIECES))
-    kinds = rest.schema
-    kinds = kinds.add("sequence_id", "long").add("offset", "long")
 
-    def place(key, table):
-        table = table.drop_columns(["__block"])
-        sizes = table.column(length_col).fill_null(0).to_numpy()
-        order = np.argsort(table.column("__row").to_numpy(), kind="stable")
-        where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        where[order], offset[order] = pack(sizes[order], capacity)
-        return table.append_column("sequence_id", pa.array((key[0].as_py() << 32) + where)).append_column("offset", pa.array(offset))
+    def place(key, table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        where, offset = pack(table.column("length").to_numpy(), capacity)
+        return pa.table([table.column("row"), pa.array((key[0].as_py() << 32) + where), pa.array(offset)], names=["row", "sequence_id", "offset"])
 
-    block = F.pmod(F.xxhash64("__row"), F.lit(blocks))
-    packed = rest.withColumn("__block", block).groupBy("__block").applyInArrow(place, kinds)
-    alone = full.withColumn("sequence_id", -1 - F.col("__row")).withColumn("offset", F.lit(0).cast("long"))
-    return alone.unionByName(packed).drop("__row")
+    place.__annotations__ = {}
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block")
+    packed = dealt.applyInArrow(place, "row long, sequence_id long, offset long").withColumnRenamed("row", of)
+    found = stage(packed, "packed")
+    alone = placed.where(length >= capacity).withColumns({"sequence_id": -1 - F.col(row), "offset": F.lit(0).cast("long")}).drop(row)
+    return placed.join(found, F.col(row) == F.col(of)).drop(row, of).unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -216,4 +244,5 @@ def pack_for_training(docs: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of documents and its place; nulls, repeated rows and empty tables as in pack_documents."""
     return pack_for_training(spark.read.parquet(f"{sf_dir}/documents.parquet"))

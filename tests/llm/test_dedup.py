@@ -19,7 +19,12 @@ def shingles(text):
     return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_classes(docs):
+def classes_of(docs):
+    """How many classes there are: rows of one id can be in several."""
+    return brute_classes(docs, True)
+
+
+def brute_classes(docs, number=False):
     """(doc_id, class_id, n_links) of every row, by comparing all pairs."""
     sets = [shingles(r.text) for r in docs]
     key = [(r.doc_id is None, r.doc_id or 0) for r in docs]
@@ -41,6 +46,8 @@ def brute_classes(docs):
                 links[i] += 1
                 links[j] += 1
                 root[max(top(i), top(j))] = min(top(i), top(j))
+    if number:
+        return len({top(k) for k in range(len(docs))})
     smallest = {}
     for k in range(len(docs)):
         smallest[top(k)] = min(smallest.get(top(k), (True, 0)), key[k])

@@ -2,10 +2,10 @@ from collections import Counter
 
 import corpus_pipeline
 from rillway.llm.staging import stage
-from rillway.llm.language import Languages, fold, learn
+from rillway.llm.language import Languages, fold, learn, usual_phrases
 from rillway.llm.mixing import mix_sources
 from tests.llm import edge
-from tests.llm.test_dedup import brute_classes
+from tests.llm.test_dedup import brute_classes, brute_lines, classes_of
 from tests.llm.test_tokens import check_packed
 
 
@@ -23,16 +23,19 @@ def check_stages(spark, docs, sf_dir):
         out = stage(step(spark, given, sf_dir), name)
         after = out.collect()
         if name == "language_id":
-            languages = Languages(learn(given.where(fold(F.col("doc_id")) != 2)))
+            samples = learn(given.where(fold(F.col("doc_id")) != 2))
+            languages, usual = Languages(samples), usual_phrases(samples)
             verdict = [languages.judge([r.text])[0] for r in before]
-            want = Counter(key(r) for r, (lang, _, mean) in zip(before, verdict) if lang != "und" and (len(r.text) < corpus_pipeline.LEAST_CHARS or mean >= corpus_pipeline.LEAST_PHRASE))
+            least = lambda lang, n: min(corpus_pipeline.LEAST_PHRASE, corpus_pipeline.LEAST_SHARE * usual.get(lang, 99)) * (1 - 0.5 * n**-0.5)
+            want = Counter(key(r) for r, (lang, _, mean, n) in zip(before, verdict) if lang != "und" and mean >= least(lang, n))
             assert Counter(map(key, after)) == want
         elif name == "near_duplicates":
-            assert Counter(r.doc_id for r in after) == Counter({c: 1 for _, c, _ in brute_classes(before)})
+            assert {r.doc_id for r in after} == {c for _, c, _ in brute_classes(before)} and len(after) == classes_of(before)
         elif name == "line_dedup":
             assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before)
-            lines = lambda rows: {" ".join(x.lower().split()) for r in rows for x in (r.text or "").split("\n")}
-            assert lines(after) - {""} == lines(before) - {""} and all(r.n_chars == len(r.text) for r in after if r.text is not None)
+            rank = lambda r: (r.doc_id is None, r.doc_id or 0, r.place if "place" in r else 0)
+            left = [x for x, _ in brute_lines([r.text for r in sorted(before, key=rank)])]
+            assert Counter(r.text for r in after) == Counter(left) and all(r.n_chars == len(r.text) for r in after if r.text is not None)
         elif name == "mix_sources":
             times = Counter()
             for r in mix_sources(given).collect():

@@ -107,19 +107,30 @@ def phrases(symbols, texts):
     """How many phrases a list of symbols needs of texts (lists of symbols), by looking for each phrase."""
     known = "".join("".join(map(chr, t)) + "\0" for t in texts)
     count = 0
-    for a in range(0, len(symbols), STRETCH):
-        s, i = "".join(map(chr, symbols[a : a + STRETCH])), 0
-        while i < len(s):
-            count += 1
-            if s[i] == "\0" or s[i] not in known:
-                i += 1  # an unknown symbol begins a phrase that goes on with what follows
-            n = 0
-            while i + n < len(s) and s[i + n] != "\0" and s[i : i + n + 1] in known:
-                n += 1
-            i += n
+    s, i = "".join(map(chr, symbols)), 0
+    while i < len(s):
+        count += 1
+        if s[i] == "\0" or s[i] not in known:
+            i += 1  # an unknown symbol begins a phrase that goes on with what follows
+        n = 0
+        while i + n < len(s) and s[i + n] != "\0" and s[i : i + n + 1] in known:
+            n += 1
+        i += n
     return count
 
 
+def test_long_texts_are_parsed_as_a_whole():
+    rng = random.Random(6)
+    samples = [("a", ["the cat sat on the mat. he he he he he and so on"]), ("b", ["le chat est là où il est"])]
+    languages = Languages(samples)
+    texts = [" ".join(rng.choices("the cat sat on mat le chat est zq a".split(), k=5000)), "he " * 3000, "x" * 5000, "the mat on a bat " * 900, "t" * (2 * STRETCH), "ЖЯ" * 1500]
+    found = languages.phrases(texts)
+    for k, text in enumerate(texts):
+        symbols = languages.coded([text])[0].tolist()
+        for j, (_, known) in enumerate(samples):
+            assert found[j, k] == phrases(symbols, [languages.coded([t])[0].tolist() for t in known]), (k, j)
+
+
 def test_parse_against_search():
     samples = [("a", ["the cat sat on the mat.", "a hat; a bat"]), ("b", ["le chat est là où il est", "ça va bien?"])]
     languages = Languages(samples)

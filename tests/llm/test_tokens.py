@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,6 +131,37 @@ def test_swaps_beat_best_fit():
         assert sorted(offset[held]) == [size[held][offset[held] < x].sum() for x in sorted(offset[held])]
 
 
+@pytest.mark.parametrize("low, high, bound", [(300, 1200, 0.0), (800, 2000, 0.04)])
+def test_search_comes_near_the_bound(low, high, bound):
+    size = np.random.default_rng(1).integers(low, high, 6000)
+    where, _ = pack(size, 4096)
+    least = -(-int(size.sum()) // 4096)
+    assert least <= len(np.unique(where)) <= least * (1 + bound) + 1
+    assert (pack(size, 4096)[0] == where).all()
+
+
+def test_unlimited_search_leaves_no_exchange():
+    size = np.random.default_rng(4).integers(800, 2000, 120)
+    where, _ = pack(size, 4096, None)
+    fill = np.bincount(where, size)
+    for a, b in itertools.combinations(np.flatnonzero((fill > 0) & (fill < 4096)).tolist(), 2):
+        items = size[(where == a) | (where == b)]
+        best = max(x for k in range(1 << len(items)) if (x := int(sum(s for i, s in enumerate(items) if k >> i & 1))) <= 4096 and items.sum() - x <= 4096)
+        assert best == max(fill[a], fill[b])
+
+
+def test_query_uses_the_search(spark):
+    lengths = np.random.default_rng(3).integers(13, 31, 600)
+    docs = spark.createDataFrame([(k, "the " * (int(n) - 1)) for k, n in enumerate(lengths)], "doc_id long, text string")
+    rows = pack_documents(docs, WORDS, 1, 64).collect()
+    assert check_packed(rows, docs.collect(), 64) < len(best_fit(lengths, 64)[1])
+
+
+def test_long_texts_and_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, "the cat and " * 250_000), (None, "word"), (None, "word"), (4, None)], "doc_id long, text string")
+    check_packed(pack_documents(docs, WORDS, 1, 4096).collect(), docs.collect())
+
+
 def test_pack_keeps_other_columns(spark):
     rows = spark.createDataFrame([(3, "x", 9), (None, "y", 8), (5, "z", 7)], "length long, name string, sequence_id long")
     found = pack_pieces(rows, 5).collect()
