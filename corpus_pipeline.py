@@ -9,34 +9,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import stage
+from rillway.llm.staging import stage, unused
 from rillway.llm.language import fold, identify, learn, usual_phrases
 from rillway.llm.lines import remove_repeated_lines
 from rillway.llm.mixing import select_mixed
 from rillway.llm.near import first_of_each_class
 from rillway.llm.packing import pack_for_training
 
-#: A text whose phrases in its best language are shorter than this on the mean is in none of the learned languages;
-#: with fewer characters than that it is too short to tell.
-LEAST_PHRASE, LEAST_CHARS = 1.9, 60
+#: A text whose phrases in its best language are shorter than this on the mean is in none of the learned languages.
+LEAST_PHRASE = 1.9
 #: A language of many letters has short phrases: there the bound is this share of what its own held-out texts have.
 LEAST_SHARE = 0.8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in none of the learned languages, go."""
+    """Documents without letters (null and empty ones too), or in none of the learned languages, go.
+
+    The bound on a text's mean phrase falls with its number n of phrases, by the factor 1 - 1 / (2 sqrt(n)), as the mean of
+    few says little. Rows that repeat are judged alike; without labelled rows no language is known and none stays.
+    """
     samples = learn(docs.where(fold(F.col("doc_id")) != 2))
-    judged = identify(docs, samples, lang_col="__lang", score_col="__lead", phrase_col="__phrase")
-    bounds = {name: min(LEAST_PHRASE, LEAST_SHARE * usual) for name, usual in usual_phrases(samples, LEAST_CHARS).items()}
+    lang, lead, phrase, n = unused(docs.columns, "lang_pred", "lead", "phrase", "phrases")
+    judged = identify(docs, samples, lang_col=lang, score_col=lead, phrase_cols=(phrase, n))
+    bounds = {name: min(LEAST_PHRASE, LEAST_SHARE * usual) for name, usual in usual_phrases(samples).items()}
     bound = F.lit(LEAST_PHRASE)
     if bounds:
-        bound = F.coalesce(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("__lang")], bound)
-    foreign = (F.length("text") >= LEAST_CHARS) & (F.col("__phrase") < bound)
-    return judged.where((F.col("__lang") != "und") & ~foreign).select(*docs.columns)
+        bound = F.coalesce(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col(lang)], bound)
+    known = F.col(phrase) >= bound * (1 - 0.5 / F.sqrt(F.col(n)))
+    return judged.where((F.col(lang) != "und") & known).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the earliest; null texts and texts without words all stay, of rows that repeat one."""
     return first_of_each_class(docs)
 
 
@@ -50,11 +54,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for: not at all, once or twice. A null source is a source; texts without words are taken as their hash falls."""
     return select_mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document and its place in a sequence; a null or empty text is its end id alone, rows that repeat are documents of their own."""
     return pack_for_training(docs)
 
 
