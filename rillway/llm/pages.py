@@ -1,7 +1,7 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text. A linear classifier over a block's place in the document, its links and its length
-gives the cost of calling it boilerplate or content; these costs are the capacities to the two terminals. Blocks that
+A page is cut into blocks of text in one pass. A linear classifier over a block's place in the document, the names
+around it, its links and its length gives the cost of calling it boilerplate or content; these costs are the capacities to the two terminals. Blocks that
 follow each other, or share a parent, are joined by edges whose capacities rise with their proximity in the document.
 The minimum cut is the labelling of least total cost: it keeps a short paragraph among long ones and drops a long line
 in a menu.
@@ -11,17 +11,21 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rillway.llm.staging import whole_texts
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)\]\]>|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[!?/][^>]*>)", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: A name in a tag with what stands around it, an equals sign that may follow, and a value without quotes.
+_NAME = re.compile(r"[\s/]*([^\s=>/]*)\s*(=?)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements that begin and end blocks.
 BLOCKS = frozenset(
@@ -31,55 +35,74 @@ BLOCKS = frozenset(
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
 SILENT = frozenset("head select button svg math object canvas audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What a start tag closes if it is open: the tag itself and, for rows and items, their parts.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What a start tag closes if it is open, with all that is open inside it.
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: What such a search doesn't go beyond.
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: What the end tag of an inline element doesn't go beyond.
+WALLS = ("article", "main", "body", "table", "td", "th")
 
 OUTSIDE = frozenset("nav aside footer form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-#: Words in class and id.
+#: Words in class and id that speak against content, in the languages of the web's templates; those that speak for it; and those that say nothing.
 AGAINST = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager related recommended recommendations footer masthead topbar toolbar widget widgets copyright comment comments commentlist disqus reply replies respond skip outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager related recommended recommendations footer masthead topbar toolbar copyright comment comments commentlist disqus reply replies respond skip outbrain taboola werbung anzeige kommentare kommentar fusszeile seitenleiste publicite pub commentaires commentaire partager publicidad anuncio comentarios comentario compartir".split()
 )
-REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
-FOR = frozenset("article content entry post story text main body".split())
+REMARKS = frozenset("comment comments commentlist disqus reply replies respond kommentare commentaires comentarios".split())
+FOR = frozenset("article content entry post story text main body artikel inhalt contenu contenido texto articulo".split())
+PLAIN = frozenset("list item items box block section area wrapper wrap container bar link links button buttons btn left right top bottom inner outer widget widgets row col column panel unit slot group thread form field the a of".split())
 
-# Weights of the classifier, in sixteenths, so that capacities are whole numbers.
-W_BASE, W_OUTSIDE, W_ARTICLE, W_FOR, W_LINKS, W_SHORT, W_LONG, W_SENTENCE, W_HEADING = -4, -400, 56, 24, -72, -12, 32, 12, 8
+# Weights of the classifier, in sixteenths, so that capacities are whole numbers. Names in class and id add up: one made
+# of words against content alone, and of plain ones, weighs W_NAMED; one that has other words too W_HINTED.
+W_BASE, W_OUTSIDE, W_NAMED, W_HINTED, W_ARTICLE, W_FOR, W_LINKS, W_SHORT, W_LONG, W_SENTENCE, W_HEADING = -4, -180, -150, -20, 56, 24, -72, -12, 32, 12, 8
 #: Edge capacities: blocks of the same parent, of the same grandparent, others that follow each other; and the last block of the same parent further back.
 E_SAME, E_NEAR, E_NEXT, E_KIN = 20, 10, 3, 6
 
 
+def named(value: str) -> tuple[int, bool, bool]:
+    """What a class or id says against content, whether it names remarks and whether it speaks for content."""
+    worst, remarks, liked = 0, False, False
+    for name in value.split():
+        parts = [x.lower() for x in _PART.findall(name)]
+        against = [x for x in parts if x in AGAINST]
+        liked |= any(x in FOR for x in parts)
+        if against:
+            pure = all(x in AGAINST or x in PLAIN or x.isdigit() for x in parts)
+            worst = min(worst, W_NAMED if pure else W_HINTED)
+            remarks |= pure and any(x in REMARKS for x in parts)
+    return worst, remarks, liked
+
+
 class _Open:
-    """An open element. outside: it, or one around it, is not part of an article."""
+    """An open element. against: the worst that it, or one around it, says against being content."""
 
-    __slots__ = ("tag", "number", "parent", "outside", "article", "liked", "link", "silent")
+    __slots__ = ("tag", "number", "parent", "block", "against", "article", "liked", "link", "silent")
 
-    def __init__(self, tag: str, number: int, parent: "_Open | None", attributes: str):
+    def __init__(self, tag: str, number: int, parent: "_Open | None", attributes: dict[str, str]):
         self.tag, self.number, self.parent = tag, number, parent
-        self.outside = self.article = self.liked = self.link = self.silent = False
-        if parent is not None:
-            self.outside, self.article, self.liked, self.link, self.silent = parent.outside, parent.article, parent.liked, parent.link, parent.silent
+        self.against, self.article, self.liked, self.link, self.silent = (0, False, False, False, False) if parent is None else (parent.against, parent.article, parent.liked, parent.link, parent.silent)
+        self.block = self if parent is None or tag in BLOCKS else parent.block
         self.link |= tag == "a"
         self.silent |= tag in SILENT
-        words: set[str] = set()
+        worst, remarks, liked = named(f"{attributes.get('class', '')} {attributes.get('id', '')}") if attributes else (0, False, False)
         if attributes:
-            for name, value in _ATTRIBUTE.findall(attributes):
-                name, value = name.lower(), value.strip("\"'")
-                if name in ("class", "id"):
-                    words.update(x.lower() for x in _TOKEN.findall(value))
-                elif name == "role":
-                    self.outside |= value.lower() in ROLES
-                    self.article |= value.lower() in ("main", "article")
-                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                    self.silent = True
+            role = attributes.get("role", "").lower()
+            if role in ROLES:
+                self.against = min(self.against, W_OUTSIDE)
+            self.article |= role in ("main", "article")
+            if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+                self.silent = True
         if tag in ("article", "main"):
-            self.outside |= bool(words & REMARKS)
+            if remarks:
+                self.against = min(self.against, W_OUTSIDE)
             self.article = True
         elif tag in BLOCKS and tag not in ("html", "body"):
-            self.outside |= tag in OUTSIDE or bool(words & AGAINST) or not self.article and (tag == "header" or "header" in words and not words & FOR)
-            self.liked |= bool(words & FOR)
+            if tag in OUTSIDE or tag == "header" and not self.article:
+                worst = min(worst, W_OUTSIDE)
+            elif not self.article and not liked and "header" in attributes.get("class", "").lower():
+                worst = min(worst, W_NAMED)
+            self.against = min(self.against, worst)
+            self.liked |= liked
 
 
 class Block:
@@ -90,12 +113,70 @@ class Block:
         self.words = text.count(" ") + 1
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, dict[str, str]]]:
+    """Of each tag where it begins and ends, its name in lower case, whether it ends an element, and its attributes; comments have the name "".
+
+    One pass: a quote is looked for once, and one that is never closed, or whose value holds what follows its own tag, ends at the next ">".
+    """
+    at, size = 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    no_more = page.rfind(">")
+    while (begin := page.find("<", at)) >= 0:
+        sign = page[begin + 1 : begin + 2]
+        if sign == "!" or sign == "?":
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin)
+                at = end + 3 if end >= 0 else size
+            else:
+                at = page.find(">", begin) + 1 or size
+            yield begin, at, "", False, {}
+            continue
+        ends = sign == "/"
+        name = _TAG_NAME.match(page, begin + 1 + ends)
+        if not name:
+            at = begin + 1
+            continue
+        i, attributes = name.end(), {}
+        while i < size and page[i] != ">":
+            if i > no_more:
+                i = size
+                break
+            m = _NAME.match(page, i)
+            i, value = m.end(), ""
+            if m[2]:
+                sign = page[i : i + 1]
+                if sign in last and sign:
+                    close = page.find(sign, i + 1) if last[sign] > i else -1
+                    stop = page.find(">", i, close if close >= 0 else size)
+                    if close < 0 or stop >= 0 and page.find("<", i, stop) < 0 <= page.find("<", stop, close):
+                        value, i = page[i + 1 : stop], stop if stop >= 0 else size
+                    else:
+                        value, i = page[i + 1 : close], close + 1
+                else:
+                    m2 = _BARE.match(page, i)
+                    value, i = m2[0], m2.end()
+            if m[1] and not ends:
+                attributes.setdefault(m[1].lower(), value)
+            elif m.end() == m.start():
+                i += 1
+        at = min(i + 1, size)
+        yield begin, at, name[0].lower(), ends, attributes | ({"/": ""} if page[i - 1 : i] == "/" else {})
+
+
+@lru_cache(None)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, with character references decoded and white space as single blanks."""
     out: list[Block] = []
     number = 0
-    root = _Open("", 0, None, "")
-    stack = [root]
+    stack = [_Open("", 0, None, {})]
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -104,36 +185,34 @@ def blocks(page: str) -> list[Block]:
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
                 total = sum(len(x) for x, _ in parts)
-                place = next(x for x in reversed(stack) if x.tag in BLOCKS or x is root)
-                out.append(Block(text, place, sum(len(x) for x, link in parts if link) / total))
+                out.append(Block(text, stack[-1].block, sum(len(x) for x, link in parts if link) / total))
             parts.clear()
 
-    at, size = 0, len(page)
-    while at < size:
-        sign = page.find("<", at)
-        tag = _TAG.search(page, sign) if sign >= 0 else None
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    def nearest(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    at, skip = 0, 0
+    for begin, end, name, ends, attributes in tags(page):
+        if begin < skip:
+            continue
         top = stack[-1]
-        stop = tag.start() if tag else size
-        if stop > at and not top.silent:
-            parts.append((page[at:stop], top.link))
-        if not tag:
-            break
-        at = tag.end()
-        name = tag["name"]
-        if name is None:
-            if tag["cdata"] and not top.silent:
-                parts.append((tag["cdata"], top.link))
+        if begin > at and not top.silent:
+            parts.append((page[at:begin], top.link))
+        at = end
+        if not name:
+            if page.startswith("<![CDATA[", begin) and not top.silent:
+                parts.append((page[begin + 9 : end - 3], top.link))
             continue
-        name = name.lower()
-        if tag["end"]:
+        if ends:
             if name in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body", "table", "td", "th") and name not in BLOCKS:
-                    break
+            k = nearest((name,))
+            if k and (name in BLOCKS or k > nearest(WALLS)):
+                close(k)
             continue
         if name == "br":
             if not top.silent:
@@ -141,40 +220,37 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+            if stack[-1].block.tag == "p":  # an open paragraph ends where a block begins
+                close(places["p"][-1])
         if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in BOUNDS[name]:
-                    break
-                if stack[k].tag in CLOSES[name]:
-                    del stack[k:]
-                    break
+            bound = nearest(BOUNDS.get(name, WALLS))
+            inside = [p[k] for x in CLOSES[name] if (p := places.get(x)) and (k := bisect_right(p, bound)) < len(p)]
+            if inside:
+                close(min(inside))
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            stop = _raw_end(name).search(page, end)
+            skip = at = stop.end() if stop else len(page)
             continue
-        if name in VOID or tag["rest"].endswith("/") and name not in BLOCKS:
+        if name in VOID or "/" in attributes and name not in BLOCKS:
             continue
         if name == "body":  # what lies in a head that was never closed has ended
-            del stack[1:]
+            close(1)
         number += 1
-        stack.append(_Open(name, number, stack[-1], tag["rest"]))
+        places.setdefault(name, []).append(len(stack))
+        stack.append(_Open(name, number, stack[-1], attributes))
+    if at < len(page) and not stack[-1].silent:
+        parts.append((page[at:], stack[-1].link))
     flush()
     return out
 
 
 def content_costs(found: list[Block]) -> list[int]:
     """The classifier's value of each block: above 0 it costs that much to call it boilerplate, below 0 to call it content."""
-    has_article = any(b.place.article and not b.place.outside for b in found)
+    has_article = any(b.place.article and not b.place.against for b in found)
     out = []
     for b in found:
         p = b.place
-        value = W_BASE + (W_OUTSIDE if p.outside else 0) + int(W_LINKS * b.linked)
+        value = W_BASE + p.against + int(W_LINKS * b.linked)
         value += W_ARTICLE if p.article else -W_ARTICLE if has_article else 0
         value += W_FOR if p.liked else 0
         value += W_SHORT if b.words < 4 else W_LONG if b.words >= 12 else 0
@@ -304,4 +380,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", si
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; null, empty and repeated pages and empty tables as in extract."""
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
