@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import new_path, tidy, whole_texts
+from rillway.llm.staging import new_path, numbered, tidy, whole_texts
 from rillway.llm.encoding import encoder, in_groups
 
 _SHARD = "shard long, name string, width int, n_docs long, n_tokens long"
@@ -41,8 +41,8 @@ def _put(store, path: str, attempt: str, parts: Iterator[bytes]) -> None:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text, appends end_id, writes shards under path and returns one row for each shard.
 
-    Documents are in ascending order of their id, null ids last; rows with the same id keep an order by their text.
-    A null text is empty, so its document has the end id alone. An empty table gives no shard. Other columns of
+    Documents are in ascending order of their id, null ids last; rows that share an
+    id, or have none, are in the order of their row numbers and in as many shards as they need. A null text is empty, so its document has the end id alone. An empty table gives no shard. Other columns of
     docs, whatever their names, are not read.
     """
 
@@ -82,9 +82,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         _put(store, f"{name}.nul", attempt, iter([np.concatenate(nulls).tobytes()]))
         yield pa.RecordBatch.from_pydict({"shard": [k], "name": [f"shard-{k:06d}"], "width": pa.array([kind.itemsize], pa.int32()), "n_docs": [len(sizes)], "n_tokens": [int(ends[-1])]})
 
-    order = [F.col("__id").asc_nulls_last(), F.col("__text").asc_nulls_first()]
-    narrow = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    dealt = narrow.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    known = numbered(narrow, "id", "doc", "row")
+    dealt = known.repartitionByRange("doc", "row").sortWithinPartitions("doc", "row").select("id", "text")
     made = dealt.mapInArrow(shard, _SHARD).collect()  # a row for each shard
     bases, total = [], 0
     for row in sorted(made):
@@ -93,14 +93,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     return docs.sparkSession.createDataFrame(bases, _SHARD + ", base long")
 
 
-def _mapped(store, path: str, kind: str) -> np.ndarray:
-    """A memory map where the store is local; else the file's bytes."""
-    from pyarrow import fs
+class _Flat:
+    """A flat file of numbers, of which slices are read: through a memory map where the store is local, else by ranged reads."""
+
+    def __init__(self, store, path: str, kind: str):
+        from pyarrow import fs
+
+        self.kind = np.dtype(kind)
+        self.size = store.get_file_info(path).size // self.kind.itemsize
+        self.map = self.file = None
+        if isinstance(store, fs.LocalFileSystem):
+            self.map = np.memmap(path, dtype=kind, mode="r") if self.size else np.zeros(0, kind)
+        else:
+            self.file = store.open_input_file(path)
+
+    def part(self, a: int, b: int) -> np.ndarray:
+        if self.map is not None:
+            return self.map[a:b]
+        return np.frombuffer(self.file.read_at((b - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
+
 
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r") if store.get_file_info(path).size else np.zeros(0, kind)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), dtype=kind)
+#: Documents, and ids unless one document has more, that a reader holds at a time.
+READ_DOCS, READ_IDS = 4096, 4_000_000
 
 
 def read_token_files(spark: SparkSession, path: str, shards: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -113,26 +127,29 @@ def read_token_files(spark: SparkSession, path: str, shards: DataFrame, with_ids
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{base}/{row['name']}"
-                ids = _mapped(store, f"{name}.bin", "<u2" if row["width"] == 2 else "<u4")
-                ends = _mapped(store, f"{name}.idx", "<i8")
-                docs = _mapped(store, f"{name}.doc", "<i8")
-                null = _mapped(store, f"{name}.nul", "u1")
-                for a in range(0, len(docs), 4096):
-                    b = min(a + 4096, len(docs))
-                    own = [np.asarray(ids[ends[i] : ends[i + 1]]).astype("<u4") for i in range(a, b)]
+                ids = _Flat(store, f"{name}.bin", "<u2" if row["width"] == 2 else "<u4")
+                ends, docs, null = _Flat(store, f"{name}.idx", "<i8"), _Flat(store, f"{name}.doc", "<i8"), _Flat(store, f"{name}.nul", "u1")
+                a = 0
+                while a < docs.size:
+                    at = np.asarray(ends.part(a, min(a + READ_DOCS, docs.size) + 1))
+                    b = a + max(1, int(np.searchsorted(at, at[0] + READ_IDS, side="right")) - 1)
+                    at = at[: b - a + 1]
+                    held = np.asarray(ids.part(int(at[0]), int(at[-1]))).astype("<u4")
+                    own = [held[x:y] for x, y in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist())]
                     columns = [
-                        pa.array(docs[a:b], pa.int64(), mask=null[a:b].astype(bool)),
-                        pa.array(row["base"] + ends[a:b], pa.int64()),
-                        pa.array(np.diff(ends[a : b + 1]), pa.int64()),
+                        pa.array(np.asarray(docs.part(a, b)), pa.int64(), mask=np.asarray(null.part(a, b)).astype(bool)),
+                        pa.array(row["base"] + at[:-1], pa.int64()),
+                        pa.array(np.diff(at), pa.int64()),
                         pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
                     ] + [pa.array([x.astype("i8") for x in own], pa.list_(pa.int64()))] * with_ids
                     yield pa.RecordBatch.from_arrays(columns, names)
+                    a = b
 
     return shards.repartition(max(1, shards.count()), "shard").mapInArrow(read, schema)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents, written with the 50k byte-level vocabulary and read back."""
+    """Every whole text of documents, written with the 50k byte-level vocabulary and read back; nulls, repeats and empty tables as in write_token_files."""
     import public_tokenizers
 
     path = new_path(spark, "token-files")

@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from rillway.llm.staging import new_path
+from rillway.llm.staging import settings as session_settings
+from rillway.llm import token_files
 from rillway.llm.encoding import Encoder, in_groups
 from rillway.llm.packing import best_fit, op1_best_fit_packing, pack, pack_documents, pack_pieces
 from rillway.llm.token_files import op3_token_files, read_token_files, write_token_files
@@ -62,6 +64,28 @@ def test_token_files(spark):
     assert read_token_files(spark, empty, write_token_files(edge.no_documents(spark), empty, BYTES, 2)).count() == 0
 
 
+def test_rows_without_ids_are_in_several_shards(spark):
+    docs = spark.createDataFrame([(None, f"text {k % 50}") for k in range(2000)], "doc_id long, text string").repartition(4)
+    path = new_path(spark, "files")
+    with session_settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        shards = write_token_files(docs, path, BYTES, 2)
+    assert shards.count() > 1
+    check_files(read_token_files(spark, path, shards).collect(), docs.collect())
+
+
+def test_long_texts_and_ranged_reads(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "READ_IDS", 1000)
+    docs = spark.createDataFrame([(k, "the cat and " * n) for k, n in enumerate((1, 200_000, 0, 300, 400, 5))], "doc_id long, text string")
+    path = new_path(spark, "files")
+    shards = write_token_files(docs, path, BYTES, 2)
+    check_files(read_token_files(spark, path, shards).collect(), docs.collect())
+    store, base = token_files.file_system(path)
+    name = f"{base}/{sorted(shards.collect())[0]['name']}.bin"
+    mapped, read = token_files._Flat(store, name, "<u2"), token_files._Flat(store, name, "<u2")
+    read.map, read.file = None, store.open_input_file(name)
+    assert np.array_equal(mapped.part(1, 3), read.part(1, 3)) and mapped.size == read.size
+
+
 def test_op3(spark, sf_dir):
     check_files(op3_token_files(spark, sf_dir).collect(), spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
 
