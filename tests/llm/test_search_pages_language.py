@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillway.llm import topk
 from rillway.llm.language import STRETCH, Languages, fold, identify, learn, op10_language_id, suffix_automaton
 from rillway.llm.pages import extract, main_text, minimum_cut, op5_html_extraction
 from rillway.llm.topk import OP7_SQL, integer_vectors, op7_maxscore_top_k, search_shard, top_k
@@ -25,10 +26,35 @@ def test_shard_search_against_all_scores(largest):
         v, q = rng.integers(-largest, largest + 1, (n, d)), rng.integers(-largest, largest + 1, (m, d))
         ids, own = rng.integers(0, max(n, 1), n), rng.integers(0, n + 1, m)
         scores = q.astype(object) @ v.astype(object).T
-        want = [sorted((-int(scores[i, j]), int(ids[j])) for j in range(n) if ids[j] != own[i])[:20] for i in range(m)]
+        clipped = lambda x: min(max(int(x), -(2**63)), 2**63 - 1)  # noqa: E731  scores are longs
+        want = [sorted((-clipped(scores[i, j]), int(ids[j])) for j in range(n) if ids[j] != own[i])[:20] for i in range(m)]
         assert [[(-int(s), int(x)) for x, s in zip(a, b)] for _, a, b in search_shard(q, own, v, ids, 20)] == want
 
 
+@pytest.mark.parametrize("shard, block, cells", [(300, 7, 1 << 22), (1 << 20, 1 << 20, 64)])
+def test_many_shards_against_one(spark, monkeypatch, shard, block, cells):
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "QUERIES", block)
+    monkeypatch.setattr(topk, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    vecs = [rng.integers(-9, 10, int(n)).tolist() for n in rng.integers(0, 40, 900)] + [[5, 5, 5]] * 60
+    vectors = spark.createDataFrame([(k, x) for k, x in enumerate(vecs)], "vec_id long, terms array<long>")
+    queries = vectors.where("vec_id % 50 = 0").selectExpr("vec_id AS query_row", "vec_id AS query_id", "terms")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(vectors, queries).collect()}
+    for i in range(0, len(vecs), 50):
+        scores = sorted((-sum(a * b for a, b in zip(vecs[i], x)), k) for k, x in enumerate(vecs) if k != i)[:20]
+        assert [got[i, n + 1] for n in range(20)] == [(k, -s) for s, k in scores]
+
+
+def test_scores_beyond_64_bits_and_a_wide_vector(spark):
+    rows = [(0, [1e10, 1e10]), (1, [1e10, 1e10]), (2, [1e30, 1.0]), (3, [-1e30, 1.0]), (20, [1e10] * 3), (4, [1.0] * 300_000)]
+    vectors = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    queries = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_row", "vec_id AS query_id", "terms")
+    found = [(r.vec_id, r.score) for r in top_k(vectors, queries).where("query_id = 0").orderBy("rank").collect()]
+    most = 2**63 - 1
+    assert found == [(1, most), (2, most), (20, most), (4, 2 * 64 * 64 * 10**10), (3, -(2**63))]
+
+
 def test_search_leaves_out_unusable_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, -0.5]), (1, [0.26, 0.5]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0]), (7, []), (None, [1.0, 1.0]), (1, [0.26, 0.5])]
@@ -72,6 +98,34 @@ def test_main_text():
     assert main_text("<article><p>" * 3000 + "deep text that goes on for quite some words in a row here.") == "deep text that goes on for quite some words in a row here."
 
 
+@pytest.mark.parametrize("page", [
+    '<a "' * 250_000, "<b>" * 10_000 + "</i>" * 10_000, '<p title="x>y' * 70_000, "<ul>" + "<div>" * 20_000 + "<li></li>" * 20_000, "<b>" * 20_000 + "<div></div>x" * 20_000,
+    "<article>" + "<i>" * 20_000 + "</b>" * 20_000, "<" * 1_000_000, "<!--" * 200_000, "<a x" + " " * 500_000 + "y",
+])
+def test_broken_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4
+
+
+FIRST, SECOND = "The share price of the firm rose by ten percent on Monday, after the news came out.", "A second paragraph follows it here, quite as long as the first one was, and then it ends."
+
+
+@pytest.mark.parametrize("page", [
+    f'<article><div class="story-share-price"><p>{FIRST}</p></div><p>{SECOND}</p><div class="share-buttons"><a href=x>Tweet</a> <a href=y>Mail</a></div></article>',
+    f'<article><p title="x>{FIRST}</p><p class="y">{SECOND}</p></article>',
+    f'<article><p data-x="<b>bold</b>">{FIRST}</p><p>{SECOND}</p><section class="comments"><p>I liked this article a lot, it was really worth reading to the end.</p></section></article>',
+    f'<body><table><tr><td><ul class="menu"><li><a href=/>Start</a><li><a href=/x>More</a></ul><td><div id="main"><p>{FIRST}<p>{SECOND}</div></table><div id=footer>All rights reserved by the firm that runs this page for you.</div>',
+    f'<main><h2 hidden>no</h2><p>{FIRST}</p><p>{SECOND}</p></main><div role="complementary"><p>Other things that you may want to read some day when you have time for that.</p></div>',
+    f'<div class="cookie-banner"><p>We use cookies to make this page better for you and for all of our partners.</p></div><div class="inhalt"><p>{FIRST}</p><p>{SECOND}</p></div><div class="kommentare"><p>Das hat mir sehr gut gefallen, und ich komme sicher bald wieder hierher.</p></div>',
+    f"<header><p>A long line about the site that has nothing to do with the article itself, at all.</p></header><article><header><p>{FIRST}</p></header><p>{SECOND}</p></article>",
+])
+def test_other_templates(page):
+    assert main_text(page) == f"{FIRST}\n{SECOND}"
+
+
 def test_pages_keep_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, None), (1, "u", PAGE, "x")], "page_id long, url string, html string, text string")
     out = extract(pages)
