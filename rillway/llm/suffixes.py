@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import discard, stage, tidy, whole_texts, with_rank
+from rillway.llm.staging import LAST, discard, numbered, stage, tidy, whole_texts, with_rank
+from rillway.llm.windows import ODD, Windows, mixed
 
 THRESHOLD = 200
 FIRST = 64
@@ -34,50 +35,6 @@ PART = 1 << 20
 #: Contexts of one name that are looked at in one task.
 TOGETHER = 2000
 _PLACE_BITS = 30
-_BASES = (0x9FB21C651E98DF25, 0xD1342543DE82EF95)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_LAST = (1 << 63) - 1
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-class _Powers:
-    """Powers of a base and of its inverse modulo 2**64, as far as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> "_Powers":
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (self.base, self.inverse))
-        return self
-
-
-_POWERS = [_Powers(b) for b in _BASES]
-
-
-class Names:
-    """Fingerprints of any strings of a part, from prefix sums of a polynomial."""
-
-    def __init__(self, part: np.ndarray, which: int):
-        self.powers = _POWERS[which].to(len(part) + 1)
-        self.sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * self.powers.up[: len(part)], out=self.sums[1:])
-
-    def of(self, begin, end) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[begin]) * self.powers.down[begin])
-
-    def all(self, length: int) -> np.ndarray:
-        """Of every string of that length."""
-        return _mixed((self.sums[length:] - self.sums[:-length]) * self.powers.down[: len(self.sums) - length])
-
-
 def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
     blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -101,7 +58,7 @@ def anchors(data: bytes, threshold: int, first: int, size: int = PART) -> Iterat
     for a, part in _parts(data, threshold, size):
         if len(part) < threshold:
             continue
-        name, context = Names(part, 0), Names(part, 1)
+        name, context = Windows(part, 1), Windows(part, 2)
         every = name.all(first)
         # the fingerprint's leading bits, then the place: the smallest is the leftmost of equals
         packed = (every & keep) | np.arange(len(every), dtype=np.uint64)
@@ -109,7 +66,7 @@ def anchors(data: bytes, threshold: int, first: int, size: int = PART) -> Iterat
         begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         end = np.append(begin[1:], len(place)) - 1
         at = place[begin]
-        both = _mixed(context.of(begin, end + threshold) + (at - begin).astype(np.uint64) * _ODD + ((end - begin).astype(np.uint64) << np.uint64(40)))
+        both = mixed(context.of(begin, end + threshold) + (at - begin).astype(np.uint64) * ODD + ((end - begin).astype(np.uint64) << np.uint64(40)))
         yield at + a, begin + a, end + a, every[at].view(np.int64), both.view(np.int64)
 
 
@@ -178,14 +135,14 @@ def _context_batch(out: list[tuple]) -> pa.RecordBatch:
 
 def _window_names(begin_in: np.ndarray, size: np.ndarray, before: np.ndarray, name: np.ndarray, data: bytes, threshold: int) -> tuple[np.ndarray, ...]:
     """Of contexts that lie in data at begin_in: for each of their windows the context, the start in it, and the name of window, place and anchor."""
-    names = Names(np.frombuffer(data, np.uint8), 1)
+    names = Windows(np.frombuffer(data, np.uint8), 2)
     n = size - threshold + 1
     owner = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     p = begin_in[owner] + start
     window = names.of(p, p + threshold)
-    key = _mixed(window + (before[owner] - start).astype(np.uint64) * _ODD) ^ name[owner].astype(np.int64).view(np.uint64)
-    return owner, start, _mixed(key + _ODD)
+    key = mixed(window + (before[owner] - start).astype(np.uint64) * ODD) ^ name[owner].astype(np.int64).view(np.uint64)
+    return owner, start, mixed(key + ODD)
 
 
 def _columns(table) -> tuple[np.ndarray, ...]:
@@ -261,7 +218,7 @@ def _cut(docs_of: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
         else:
             kept = data
-        out.append((None if doc == _LAST else doc, len(data), n_removed, len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"begin": a, "end": b} for a, b in runs]))
+        out.append((None if doc == LAST else doc, len(data), n_removed, len(runs), hashlib.sha256(kept).hexdigest(), kept, [{"begin": a, "end": b} for a, b in runs]))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
     n = len(names) if with_bytes else 5
@@ -273,15 +230,11 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
 
     A byte is removed if it lies in a string of threshold bytes that starts at another place too, in the same text or
     another. Everything is judged on the input. A null text is empty; texts shorter than threshold keep everything.
-    Rows that repeat are further places, so they lose what they share; a null doc_id stays null. Other columns aren't
-    read. An empty table gives no rows.
+    Rows that repeat, or share an id, or have none, are further places, so they lose what they share; a null doc_id
+    stays null. Other columns, whatever their names, aren't read. An empty table gives no rows.
     """
     whole_texts(docs.sparkSession)
-    # a row is known by its id; where ids repeat, by its id and text: rows equal in both have the same result
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
-    repeated = docs.groupBy(key.alias("doc")).count().where("count > 1").limit(1).count()
-    h = F.xxhash64(text_col) if repeated else F.lit(0).cast("long")
-    own = docs.select(key.alias("doc"), h.alias("h"), F.col(text_col).alias("text"))
+    own = numbered(docs.select(F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text_col}`").alias("text")), "own_id", "doc", "h").select("doc", "h", "text")
     found = stage(own.mapInArrow(_find_anchors(threshold, first, part), _ANCHORS), "anchors")
     # round 1: names that occur once are gone
     # counts are staged before they are joined: so both sides are dealt anew, and a hot name's rows can be split
@@ -298,7 +251,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     several = stage(contexts.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     chosen = contexts.join(several, "name").select("one.*", "name", "kinds", "times")
     by_text = chosen.groupBy("doc", "h").agg(F.collect_list(F.struct("place", "name", "kinds", "times")).alias("wanted"))
-    opened = _packed(own).join(by_text, ["doc", "h"]).dropDuplicates(["doc", "h"]).select("doc", "h", "body", "wanted")
+    opened = _packed(own).join(by_text, ["doc", "h"]).select("doc", "h", "body", "wanted")
     opened = stage(opened.mapInArrow(_contexts(threshold), _CONTEXTS), "opened")
     discard(contexts, several)
     # the contexts of a name come together in one task; names of very many contexts are counted window by window
@@ -344,7 +297,7 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
                     rank = sum(raw[k : k + n] << 8 * (length - 1 - k) for k in range(length))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(n)), pa.array(rank)], ["doc", "at", "rank"])
 
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.col(text_col).alias("text"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
     now = own.mapInArrow(starts, "doc long, at long, rank long").withColumn("next", F.lit(0).cast("long"))
     while True:
         pairs = now.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select("rank", "next")
@@ -358,4 +311,5 @@ def repeated_starts(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's bytes and what goes of them; nulls, repeats and empty tables as in remove_repeats."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
