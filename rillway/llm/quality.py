@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import words_pattern
+from rillway.llm.staging import unused, words_pattern
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -20,8 +20,8 @@ MIN_WORDS = 20
 MOST_REPEATED = 30
 #: Part of a document's characters in words that its good lines must hold.
 LEAST_KEPT = 0.5
-#: A line of more characters isn't judged by boilerplate phrases.
-SHORT_LINE = 200
+#: A boilerplate phrase speaks against so many words of its line; a line all of whose words are so accounted for fails.
+PHRASE_WORDS = 15
 #: A line's symbols, as a part of its characters, beyond which it fails.
 MOST_SYMBOLS = 0.1
 
@@ -33,6 +33,9 @@ SEPARATOR = r"[|»›·•]"
 BOILERPLATE = (
     r"all rights reserved|cookie|privacy policy|terms of (use|service)|enable javascript|click here|subscribe|newsletter"
     r"|sign up|log in|copyright|licensed under|under the mit license|lorem ipsum|read more|share this"
+    r"|alle rechte vorbehalten|datenschutz|impressum|hier klicken|abonnieren|weiterlesen"
+    r"|tous droits réservés|confidentialité|cliquez ici|abonnez-vous|mentions légales|lire la suite"
+    r"|todos los derechos reservados|política de privacidad|haga clic|suscríbase|aviso legal|leer más"
 )
 LOWER = r"\p{Ll}"
 UPPER = r"\p{Lu}"
@@ -88,7 +91,8 @@ def line_is_good(line: Column) -> Column:
     words = F.regexp_count(line, F.lit(words_pattern()))
     links = (F.regexp_count(line, F.lit(SEPARATOR)) >= 3) & (words <= 6 * F.regexp_count(line, F.lit(SEPARATOR)))
     shouted = ~line.rlike(LOWER) & line.rlike(UPPER) & (words >= 4)
-    phrases = (F.length(line) <= SHORT_LINE) & F.lower(line).rlike(BOILERPLATE)
+    found = F.regexp_count(F.lower(line), F.lit(BOILERPLATE))
+    phrases = (found > 0) & (PHRASE_WORDS * found >= words)
     symbols = (symbol_count(line) > 0) & (symbol_count(line) > F.lit(MOST_SYMBOLS) * plain_length(line))
     return line.rlike(ENDS_WELL) & ~shouted & ~phrases & ~links & ~symbols
 
@@ -112,17 +116,19 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
             ),
         ),
     )
-    out = docs.withColumns({"__by_word": by_word, "__by_line": by_line})
+    words, lines = unused(docs.columns, "by_word", "by_line")
+    out = docs.withColumns({words: by_word, lines: by_line})
     out = out.withColumns({
-        "n_words": F.col("__by_word.n_words"), "word_chars": F.col("__by_word.word_chars"), "n_symbols": symbol_count(text), "n_dup_lines": F.col("__by_line.n_dup_lines"),
-        "n_repeat_words": F.col("__by_word.n_repeat_words"), "clean_text": F.col("__by_line.clean_text"),
+        "n_words": F.col(f"{words}.n_words"), "word_chars": F.col(f"{words}.word_chars"), "n_symbols": symbol_count(text), "n_dup_lines": F.col(f"{lines}.n_dup_lines"),
+        "n_repeat_words": F.col(f"{words}.n_repeat_words"), "clean_text": F.col(f"{lines}.clean_text"),
     })
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("__by_line.all_good") | (plain_length(F.col("clean_text")) >= F.lit(LEAST_KEPT) * F.col("word_chars"))))
-    return out.drop("__by_word", "__by_line")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col(f"{lines}.all_good") | (plain_length(F.col("clean_text")) >= F.lit(LEAST_KEPT) * F.col("word_chars"))))
+    return out.drop(words, lines)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's figures and verdict; nulls, empty texts, repeats and empty tables as in judged."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -151,11 +157,12 @@ lines AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS
 marked AS (
   SELECT r, line, length(regexp_replace(line, {_WS}, '', 'g')) AS chars,
          len(regexp_extract_all(line, {_WORD})) AS words, len(regexp_extract_all(line, {_sql_text(SEPARATOR)})) AS marks,
+         len(regexp_extract_all(lower(line), {_sql_text(BOILERPLATE)})) AS phrases,
          length(line) - length(regexp_replace(line, {_SYMBOL}, '', 'g')) AS symbols
   FROM lines),
 good AS (
   SELECT r, line, chars,
-         regexp_matches(line, {_sql_text(ENDS_WELL)}) AND NOT (length(line) <= {SHORT_LINE} AND regexp_matches(lower(line), {_sql_text(BOILERPLATE)}))
+         regexp_matches(line, {_sql_text(ENDS_WELL)}) AND NOT (phrases > 0 AND {PHRASE_WORDS} * phrases >= words)
          AND NOT (marks >= 3 AND words <= 6 * marks)
          AND NOT (regexp_matches(line, '{UPPER}') AND NOT regexp_matches(line, '{LOWER}') AND words >= 4)
          AND symbols <= {MOST_SYMBOLS} * chars AS ok

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_ENDING: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/rillway/{label}-{uuid.uuid4().hex}"
+    """A path in this application's own part of the shared folder, which is deleted when the application ends."""
+    app = spark.sparkContext.applicationId
+    top = f"{shared_folder(spark)}/rillway-{app}"
+    if app not in _ENDING:
+        p, system = _path(spark, top)
+        system.mkdirs(p)
+        system.deleteOnExit(p)
+        _ENDING.add(app)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -65,8 +80,8 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_rillway_path", None)
         if path:
-            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            p, system = _path(df.sparkSession, path)
+            system.delete(p, True)
 
 
 def unused(names: list[str], *wanted: str) -> list[str]:

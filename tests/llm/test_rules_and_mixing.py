@@ -11,6 +11,16 @@ from tests.llm import edge
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_long_texts_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "One more sentence ends here.\n" * 60_000, 5, 6), (None, None, 7, 8)], "doc_id long, text string, by_word int, kept int")
+    rows = {r.doc_id: r for r in judged(docs).collect()}
+    assert rows[1].n_words == 300_000 and rows[1].n_repeat_words == 300_000 and rows[1].n_dup_lines == 59_999 and rows[1].by_word == 5 and not rows[None].kept
+    names = ["__total", "__takes", "__of", "takes", "copy", "of"]
+    mixed = spark.createDataFrame([(k, f"a b c {k}", f"s{k % 3}", *range(6)) for k in range(40)], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    out = select_mixed(mixed)
+    assert out.columns == mixed.columns and all([r[c] for c in names] == list(range(6)) for r in out.collect())
+
+
 def test_op9_against_sql(spark, sf_dir, duck):
     same_rows(op9_quality_rules(spark, sf_dir), duck, OP9_SQL)
 
@@ -38,7 +48,8 @@ def test_base_figures_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("line, good", [
-    ("A plain sentence ends here.", True), ("no end here", False), ("Home | News | Sport | Contact.", False), ("ALL OF THIS IS LOUD.", False), ("All rights reserved.", False),
+    ("A plain sentence ends here.", True), ("no end here", False), ("Home | News | Sport | Contact.", False), ("ALL OF THIS IS LOUD.", False), ("All rights reserved.", False), ("Alle Rechte vorbehalten.", False), ("Tous droits réservés.", False), ("Todos los derechos reservados.", False),
+    ("Cookie, newsletter: " + "word " * 20 + "ends.", False), ("A cookie " + "word " * 30 + "ends.", True),
     ("### $$$ %%% &&& text.", False), ("Quoted “so”", True), ("Ends well.  ", True),
 ])
 def test_line_rules(spark, line, good):
