@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import stage, unused
+from rillway.llm.staging import discard, stage, unused
 from rillway.llm.language import fold, identify, learn, usual_phrases
 from rillway.llm.lines import remove_repeated_lines
 from rillway.llm.mixing import select_mixed
@@ -76,7 +76,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents; each one's table goes when the next one has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        given, docs = docs, stage(step(spark, docs, sf_dir), name)
+        discard(given)
     return docs
