@@ -20,6 +20,9 @@ PATIENCE = 300
 #: Two sequences of so many pieces together exchange any of them; of larger ones the PROBES largest pieces are looked at.
 SMALL, PROBES = 9, 32
 
+#: Characters of texts that are encoded together: fewer take less memory and more time.
+GROUP_CHARS = 3_000_000
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -174,7 +177,7 @@ def pack(lengths: np.ndarray, capacity: int, patience: int | None = PATIENCE) ->
     return search.where, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = GROUP_CHARS) -> DataFrame:
     """A row for each piece of a document's ids (with end_id); only documents of over capacity ids are cut."""
     whole_texts(docs.sparkSession)
     schema = _PIECES + ", ids array<int>" * with_ids
@@ -185,7 +188,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         end = np.array([end_id], np.int64)
         for batch in batches:
             docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in in_groups(texts):
+            for a, b in in_groups(texts, group_chars):
                 rows: list[tuple] = []
                 for doc, ids in zip(docs_of[a:b], encode.encode([x or "" for x in texts[a:b]])):
                     ids = np.concatenate([ids, end]).astype("<u4")
@@ -227,20 +230,20 @@ def pack_pieces(pieces: DataFrame, capacity: int, length_col: str = "length") ->
     return placed.join(found, F.col(row) == F.col(of)).drop(row, of).unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Packs every whole text into sequences of at most capacity ids.
 
     A null or empty text is its end id alone. Rows that repeat, or share a doc_id, are documents of their own. A
     null doc_id stays null. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
-    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, group_chars), capacity)
 
 
-def pack_for_training(docs: DataFrame) -> DataFrame:
+def pack_for_training(docs: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Production parameters: 49k word pieces, end id 1, sequences of 4096."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, group_chars=group_chars)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
