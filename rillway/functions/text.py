@@ -73,7 +73,7 @@ SQL_FUNCTIONS = {
     "concat_long_string": "(number BIGINT, value STRING, separator STRING) RETURNS STRING RETURN concat(coalesce(cast(number AS STRING), 'null'), separator, coalesce(value, 'null'))",
     "random_prefix": "(value STRING, salts INT) RETURNS STRING RETURN concat(cast(pmod(xxhash64(value), salts) AS STRING), '_', value)",
     "remove_random_prefix": "(value STRING) RETURNS STRING RETURN substring(value, instr(value, '_') + 1)",
-    "trim_comma": "(value STRING) RETURNS STRING RETURN regexp_replace(value, '^,|,$', '')",
+    "trim_comma": "(value STRING) RETURNS STRING RETURN regexp_replace(value, '^,|,\\\\z', '')",
 }
 
 

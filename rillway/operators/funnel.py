@@ -7,17 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillway.functions.predicates import ratio
+from rillway.operators.sessions import in_time
 
 
 def flow_steps(spark: SparkSession, flow: tuple[int, ...]) -> DataFrame:
-    """step (from 1), page_from, page_to and the split's name; as many rows as the flow has steps."""
+    """step (from 1), page_from, page_to and the split's name; as many rows as the flow has steps. A flow of fewer than two pages is an error."""
+    if len(flow or ()) < 2:
+        raise ValueError("a funnel needs a flow of at least two pages")
     rows = [(k, a, b, f"{a}_{b}") for k, (a, b) in enumerate(zip(flow, flow[1:]), 1)]
     return spark.createDataFrame(rows, "step int, page_from long, page_to long, split string")
 
 
 def page_splits(actions: DataFrame) -> DataFrame:
-    """Consecutive pages of a session by time: page_from and page_to."""
-    order = W.partitionBy("session_id").orderBy("action_time", "action_id")
+    """Consecutive pages of a session by time: page_from and page_to. At the same time the order is that of in_time."""
+    order = W.partitionBy("session_id").orderBy(*in_time(actions))
     pairs = actions.select("session_id", F.col("page_id").alias("page_from"), F.lead("page_id").over(order).alias("page_to"))
     return pairs.where(F.col("page_to").isNotNull())
 

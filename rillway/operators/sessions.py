@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from rillway.functions.predicates import any_of, equals, one_of, ratio, within
 from rillway.functions.text import group_concat_distinct
 from rillway.functions.time import whole_seconds
 from rillway.params import TaskParams
+from rillway.session import staged
 
 #: Buckets of visit length in seconds: label, least (included), most (included). 0 is in none.
 VISIT_BUCKETS = (
@@ -21,15 +24,30 @@ STEP_BUCKETS = (("1_3", 1, 3), ("4_6", 4, 6), ("7_9", 7, 9), ("10_30", 10, 30),
 
 
 def actions_between(actions: DataFrame, start_date: str | None, end_date: str | None) -> DataFrame:
-    """Actions of the days from start_date to end_date, both included; a missing bound is open."""
-    out = actions
+    """Actions of the days from start_date to end_date, both included; a missing bound is open.
+
+    date is the day of action_time. Where that is a timestamp its bounds are added, as they reach a scan of the raw
+    time even if date is computed from it.
+    """
+    out, kind = actions, dict(actions.dtypes).get("action_time", "")
+    timed = kind.startswith("timestamp")
     if start_date is not None:
         out = out.where(F.col("date") >= start_date)
+        if timed:
+            out = out.where(F.col("action_time") >= F.lit(start_date).cast(kind))
     if end_date is not None:
         out = out.where(F.col("date") <= end_date)
+        if timed:
+            after = datetime.date.fromisoformat(end_date) + datetime.timedelta(days=1)
+            out = out.where(F.col("action_time") < F.lit(after.isoformat()).cast(kind))
     return out
 
 
+def in_time(actions: DataFrame) -> list[str]:
+    """The columns that order a user's actions: by time, then by number if they have one, then by page."""
+    return [c for c in ("action_time", "action_id", "page_id") if c in actions.columns]
+
+
 def aggregate_sessions(actions: DataFrame) -> DataFrame:
     """A row for each session: user, distinct keywords and clicked categories, start, end, visit length (s) and step length."""
     sets = {"keywords": F.collect_set("search_keyword"), "categories": F.collect_set(F.col("click_category_id").cast("string"))}
@@ -105,9 +123,10 @@ def extract_sessions(sessions: DataFrame, target: int = 100, seed: str = "") ->
 
     Each day gives target div days sessions, each hour its share of them rounded down, at most what it has. Inside an
     hour sessions are taken by the md5 of seed and session_id. Quotas come from counts by hour, a table of a row for
-    each hour, so no day is gathered; ranks beyond a day's number are cut off before the shuffle.
+    each hour, so no day is gathered; ranks beyond a day's number are cut off before the shuffle. The sessions, made of
+    all actions, are written once, and both the counts and the ranks read that.
     """
-    placed = sessions.withColumns({"date": F.date_format("start_time", "yyyy-MM-dd"), "hour": F.date_format("start_time", "HH")})
+    placed = staged(sessions.withColumns({"date": F.date_format("start_time", "yyyy-MM-dd"), "hour": F.date_format("start_time", "HH")}), "sessions")
     days = placed.select("date").distinct().count()
     per_day = target // days if days else 0
     by_hour = placed.groupBy("date", "hour").agg(F.count("*").alias("in_hour"))
@@ -121,7 +140,7 @@ def extract_sessions(sessions: DataFrame, target: int = 100, seed: str = "") ->
 
 def sessions_by_gap(actions: DataFrame, minutes: int = 30) -> DataFrame:
     """An extra: actions with a session number by user that rises after a pause of more than so many minutes."""
-    order = W.partitionBy("user_id").orderBy("action_time", "action_id")
+    order = W.partitionBy("user_id").orderBy(*in_time(actions))
     pause = whole_seconds(F.col("action_time")) - whole_seconds(F.lag("action_time").over(order))
     return actions.withColumn("gap_session", F.sum(F.when(pause > minutes * 60, 1).otherwise(0)).over(order))
 

@@ -22,7 +22,7 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     return events.select(
         date.alias("date"), "user_id", F.concat_ws("_", F.col("user_id").cast("string"), date).alias("session_id"), (k % 10).alias("page_id"),
-        F.col("ts").cast("timestamp").alias("action_time"), F.col("event_id").alias("action_id"),
+        F.col("ts").alias("action_time"), F.col("event_id").alias("action_id"),
         _when("view", F.concat(F.lit("kw"), (k % 10).cast("string"))).alias("search_keyword"),
         _when("click", k).alias("click_category_id"), _when("click", F.col("event_id") % F.lit(max(parts, 1))).alias("click_product_id"),
         _when("signup", k.cast("string")).alias("order_category_ids"), _when("purchase", k.cast("string")).alias("pay_category_ids"),

@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway import schemas
 from rillway.functions import predicates as p
 from rillway.functions import text as x
 from rillway.functions import time as t
 from rillway.operators import ads, categories, funnel, products, sessions, skew
 from rillway.params import TaskParams
 from rillway.plans import adapters as a
+from rillway.plans import jobs
 from rillway.plans import sql as s
 from rillway.session import scratch
-from rillway.sinks import VersionedTable, append
+from rillway.sinks import BatchedTable, DatedTable, VersionedTable, append, replace_groups, upsert_jdbc
 from rillway.sources import logs, registry, streams
+from rillway.sources.mock import mock_tables
 from rillway.streaming import ads as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 #: The task that session queries run with.
-TASK = TaskParams.from_json('{"startDate":["2024-01-03"],"endDate":["2024-01-25"],"startAge":["5"],"endAge":["50"],"keywords":["kw1,kw2,kw3,kw4"],"sex":["male"]}')
+_TASK_TEXT = '{"startDate":["2024-01-03"],"endDate":["2024-01-25"],"startAge":["5"],"endAge":["50"],"keywords":["kw1,kw2,kw3,kw4"],"sex":["male"]}'
+TASK = TaskParams.from_json(_TASK_TEXT)
 FLOW = (1, 2, 3, 4)
 EXTRACT_TARGET = 3000
 DAILY_LIMIT = 2
@@ -178,6 +183,13 @@ def page_convert_string(spark, d):
     return funnel.conversion_text(funnel.conversion_rates(a.actions(spark, d), FLOW))
 
 
+@query(s.PAGE_SPLIT_LOGICAL)
+def page_split_logical(spark, d):
+    """The funnel over the columns of the logical schema alone, which has no number of an action."""
+    known = a.actions(spark, d)
+    return funnel.split_counts(known.select(*[c for c in schemas.USER_VISIT_ACTION.names if c in known.columns]), FLOW)
+
+
 # Products
 
 
@@ -244,9 +256,17 @@ def broadcast_join(spark, d):
     return joined.groupBy("area", "city_name").agg(F.count("*").alias("click_count"))
 
 
-@query()
+@query(s.SKEW_KEY_SAMPLE)
 def skew_key_sample(spark, d):
-    return skew.skewed_keys(a.table(spark, d, "lineitem"), "l_suppkey")
+    return skew.skewed_keys(a.table(spark, d, "lineitem"), "l_suppkey", ["l_orderkey", "l_linenumber"], n=5)
+
+
+@query(s.OBSERVED_COUNTS)
+def observed_counts(spark, d):
+    """The bucket counts as the side effect of another action."""
+    same, side = sessions.observed(_filtered(spark, d))
+    same.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([side.get], ", ".join(f"{k} long" for k in side.get))
 
 
 # Functions
@@ -276,6 +296,14 @@ def sql_functions(spark, d):
     return a.cities(spark, d).selectExpr("city_id", "concat_long_string(city_id, remove_random_prefix(random_prefix(city_name, 10)), ':') AS info")
 
 
+@query(s.DAY_FUNCTIONS)
+def day_functions(spark, d):
+    on = datetime.date(2024, 3, 1)
+    price = F.col("o_totalprice") / 7
+    shown = t.format_date(t.today(on)).alias("today"), t.format_date(t.yesterday(on)).alias("yesterday")
+    return a.table(spark, d, "orders").select("o_orderkey", *shown, (t.today() >= t.yesterday()).alias("in_order"), p.round_half_up(F.floor(price * 1000) / 1000 + 0.00025, 2).alias("price"))
+
+
 @query(s.STRING_FUNCTIONS)
 def string_functions(spark, d):
     people = a.users(spark, d)
@@ -363,41 +391,60 @@ def _stream(spark, d):
     return ads.parse_clicks(a.ad_lines(spark, d, streams.table_stream(spark, d, "events")))
 
 
-def _run(spark, stream, label, mode="complete", each=None, keys=None):
+def _counted(spark, d, count, keys, label, load=None, then=None):
     path = scratch(spark, label)
-    result = VersionedTable(spark, f"{path}/table")
-    return live.finished(live.start(stream, result, f"{path}/checkpoint", mode, each, keys), result)
+    result = DatedTable(spark, f"{path}/table")
+    live.counted(_stream(spark, d), load, count, keys, result, f"{path}/checkpoint", then=then and then(f"{path}/top")).awaitTermination()
+    return result, f"{path}/top"
+
+
+def _listed(spark, d):
+    """Reads the list anew whenever a batch comes."""
+    return lambda: a.blacklist(spark, d)
 
 
 @query(s.AD_BLACKLIST_FILTER)
 def stream_ad_blacklist_filter(spark, d):
-    kept = ads.without_blacklisted(_stream(spark, d), a.blacklist(spark, d))
-    return _shown(_run(spark, kept.select("ts", "province", "city", "user_id", "ad_id"), "allowed", "append"), "ts")
+    path = scratch(spark, "allowed")
+    result = BatchedTable(spark, f"{path}/table")
+    live.allowed_clicks(_stream(spark, d), _listed(spark, d), result, f"{path}/checkpoint").awaitTermination()
+    return _shown(result.read().select("ts", "province", "city", "user_id", "ad_id"), "ts")
 
 
 @query(s.AD_USER_DAILY)
 def stream_ad_user_daily(spark, d):
-    return _day(_run(spark, live.user_daily(_stream(spark, d), a.blacklist(spark, d)), "daily", "update", keys=["date", "user_id", "ad_id"]))
+    return _day(_counted(spark, d, ads.user_daily_counts, live.DAILY, "daily", _listed(spark, d))[0].read())
+
+
+@query(s.AD_USER_DAILY)
+def stream_ad_user_daily_in_state(spark, d):
+    """The same with Spark's state store, under a watermark."""
+    path, keys = scratch(spark, "state"), live.DAILY
+    result = DatedTable(spark, f"{path}/table")
+    daily = live.in_state(_stream(spark, d), a.blacklist(spark, d), keys)
+    live.start(daily, lambda batch, number: result.merge(batch, keys, number), f"{path}/checkpoint", "update").awaitTermination()
+    return _day(result.read())
 
 
 @query(s.AD_BLACKLIST_GENERATE)
 def stream_ad_blacklist_generate(spark, d):
-    return _run(spark, ads.user_daily_counts(_stream(spark, d)), "generated", each=lambda batch: ads.blacklisted_users(batch, DAILY_LIMIT))
+    return ads.blacklisted_users(_counted(spark, d, ads.user_daily_counts, live.DAILY, "generated")[0].read(), DAILY_LIMIT)
 
 
 @query(s.AD_STAT)
 def stream_ad_stat(spark, d):
-    return _day(_run(spark, live.city_counts(_stream(spark, d), a.blacklist(spark, d)), "cities"))
+    return _day(_counted(spark, d, ads.city_counts, live.CITY, "cities", _listed(spark, d))[0].read())
 
 
 @query(s.AD_PROVINCE_TOP3)
 def stream_ad_province_top3(spark, d):
-    return _day(_run(spark, live.city_counts(_stream(spark, d), a.blacklist(spark, d)), "top", each=ads.province_top))
+    found = spark.read.parquet(_counted(spark, d, ads.city_counts, live.CITY, "top", _listed(spark, d), live.top_of_days)[1])
+    return _day(found.withColumn("date", F.col("date").cast("string").cast("date")))
 
 
 @query(s.AD_CLICK_TREND)
 def stream_ad_click_trend(spark, d):
-    return _run(spark, live.minutes(_stream(spark, d)), "trend", each=lambda batch: ads.recent_trend(batch, "1440 minutes"))
+    return ads.recent_trend(_counted(spark, d, live.minutes_of, live.MINUTE, "trend")[0].read().drop("date"), "1440 minutes")
 
 
 # Sources and sinks
@@ -420,6 +467,30 @@ def jdbc_source(spark, d):
     return spark.table("rw_nation_jdbc").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
 
 
+@query(s.JSON_SOURCE)
+def catalog_source(spark, d):
+    """By way of a table that the session's catalog knows, and of registrations that are a table too."""
+    a.table(spark, d, "nation").createOrReplaceTempView("rw_nation_known")
+    path = scratch(spark, "registrations")
+    rows = [(1, None, registry.HIVE, "rw_nation_again", None, "rw_nation_known", None)]
+    spark.createDataFrame(rows, schemas.DATA_SOURCE).write.json(path)
+    registry.register(spark, registry.registrations(spark.read.schema(schemas.DATA_SOURCE).json(path)))
+    return spark.table("rw_nation_again").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+
+
+@query(s.MOCK_SOURCE)
+def mock_source(spark, d):
+    """What holds for the seeded tables, whatever their values."""
+    made = mock_tables(spark)
+    kinds = " + ".join(f"int({c} IS NOT NULL)" for c in ("search_keyword", "click_category_id", "order_category_ids", "pay_category_ids"))
+    bad = {"user_visit_action": f"({kinds}) <> 1 OR page_id NOT BETWEEN 0 AND 9 OR date <> substring(action_time, 1, 10)", "user_info": "age NOT BETWEEN 0 AND 59 OR sex NOT IN ('male', 'female')", "product_info": "get_json_object(extend_info, '$.product_status') NOT IN ('0', '1')"}
+    out = None
+    for name, df in made.items():
+        one = df.agg(F.lit(name).alias("name"), F.count_if(F.expr(bad[name])).alias("bad"), (F.count("*") > 0).alias("filled"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(s.FEDERATED_JOIN)
 def federated_join(spark, d):
     path = scratch(spark, "region-json")
@@ -443,8 +514,58 @@ def upsert_table(spark, d):
     return result.read()
 
 
+@query(s.UPSERT_TABLE)
+def upsert_jdbc_table(spark, d):
+    """By way of a database inside the driver; for local mode, where executors are in it too."""
+    url, options = f"jdbc:derby:memory:rw{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    e = a.table(spark, d, "events").where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("USER_ID")).agg(F.count("*").alias("N"))
+    append(e.where("USER_ID % 4 <> 0"), url, "jdbc", dbtable="COUNTS", **options)
+    upsert_jdbc(e.where("USER_ID % 2 = 0").withColumn("N", -F.col("N")), url, "COUNTS", ["USER_ID"], **options)
+    return registry.read_jdbc(spark, url, "COUNTS", **options).toDF("user_id", "n")
+
+
+@query(s.UPSERT_TABLE)
+def upsert_dated_table(spark, d):
+    e = a.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("part_of", F.col("user_id") % 4)
+    result = DatedTable(spark, scratch(spark, "dated"), "part_of")
+    result.merge(e, ["user_id"], 0)
+    result.merge(e.where("user_id % 2 = 0").withColumn("n", -F.col("n")), ["user_id"], 1)
+    return result.read().select("user_id", "n")
+
+
+@query(s.REPLACE_GROUPS)
+def replace_group(spark, d):
+    path = scratch(spark, "groups")
+    e = a.table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    replace_groups(e, path, ["event_type"])
+    replace_groups(e.where("event_type = 'click'").withColumn("n", -F.col("n")), path, ["event_type"])
+    return spark.read.parquet(path).select("event_type", "user_id", "n")
+
+
+@query(s.SESSION_JOB)
+def session_task(spark, d):
+    """A task found by its id in a table of tasks, its whole job, and what the job wrote."""
+    tasks = spark.createDataFrame([(7, jobs.SESSION, _TASK_TEXT), (8, jobs.FUNNEL, '{"targetPageFlow":["1,2,3,4"]}')], "task_id long, task_type string, task_param string")
+    path, tables = scratch(spark, "task"), {"user_visit_action": a.actions(spark, d), "user_info": a.users(spark, d)}
+    for k in (7, 8):
+        jobs.run_task(tasks, k, tables, path)
+    stat = spark.read.parquet(f"{path}/session_aggr_stat").select("task_id", "session_count")
+    return stat.join(spark.read.parquet(f"{path}/page_split_convert_rate").select("convert_rate"))  # a row each
+
+
+@query(s.PUBLISHED_PARTITIONS)
+def published_partitions(spark, d):
+    """What a load says that it has published."""
+    return spark.createDataFrame(_loaded(spark, d)[0].partitions, "d string, h string, m5 string")
+
+
 @query(s.ORC_PARTITION_LOAD)
 def orc_partition_load(spark, d):
+    path = _loaded(spark, d)[1]
+    return logs.read_partitions(spark, path).groupBy("d", "h", "m5").agg(F.count("*").alias("n"))
+
+
+def _loaded(spark, d):
     path = scratch(spark, "log")
     e = a.table(spark, d, "events")
     e.select(F.concat_ws("\t", F.col("event_id").cast("string"), t.format_time(F.col("ts").cast("timestamp")), "event_type").alias("value")).write.text(f"{path}/in")
@@ -452,4 +573,4 @@ def orc_partition_load(spark, d):
     done = logs.load_logs(spark, f"{path}/in", logs.delimited(["event_id", "time", "event_type"], "time"), ts, f"{path}/out")
     if not done.ok:
         raise RuntimeError(done.message)
-    return logs.read_partitions(spark, f"{path}/out").groupBy("d", "h", "m5").agg(F.count("*").alias("n"))
+    return done, f"{path}/out"

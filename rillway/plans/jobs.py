@@ -6,9 +6,10 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rillway.operators import categories, funnel, products, sessions
-from rillway.params import TaskParams
+from rillway.params import TaskParams, task_params
 from rillway.sinks import append, with_task
 
 
@@ -52,3 +53,28 @@ def save(results: dict[str, DataFrame], folder: str, task_id: int, kind: str = "
     """Adds each result, with the task's id, to its table in the folder."""
     for name, df in results.items():
         append(with_task(df, task_id), f"{folder.rstrip('/')}/{name}", kind)
+
+
+#: Kinds of task, as a task table names them.
+SESSION, FUNNEL, PRODUCT = "session", "funnel", "product"
+
+
+def run_task(tasks: DataFrame, task_id: int, tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> list[str]:
+    """Runs the job of a task and writes its results; returns their names.
+
+    tasks has task_id, task_type and task_param; tables are user_visit_action and, for the kinds that need them,
+    user_info, product_info and city_info. An unknown id or kind, and a funnel without a flow, are errors.
+    """
+    params = task_params(tasks, task_id)
+    wanted = tasks.where(F.col("task_id") == task_id).first()["task_type"]
+    actions = tables["user_visit_action"]
+    if wanted == SESSION:
+        with session_job(actions, tables["user_info"], params) as results:
+            save(results, folder, task_id, kind)
+    elif wanted == FUNNEL:
+        save(results := funnel_job(actions, params), folder, task_id, kind)
+    elif wanted == PRODUCT:
+        save(results := product_job(actions, tables["city_info"], tables["product_info"], params), folder, task_id, kind)
+    else:
+        raise ValueError(f"task {task_id} is of the unknown kind {wanted}")
+    return sorted(results)

@@ -120,6 +120,7 @@ rated AS (
 rates AS (SELECT step, split, pv, CASE WHEN prior > 0 THEN ((200 * pv + prior) // (2 * prior)) / 100.0 END AS rate FROM rated)"""
 
 PAGE_SPLIT_PV = f"WITH {_FUNNEL} SELECT step, split, pv FROM taken"
+PAGE_SPLIT_LOGICAL = f"WITH {_FUNNEL.replace('ORDER BY action_time, action_id', 'ORDER BY action_time, page_id')} SELECT step, split, pv FROM taken"
 PAGE_START_PV = f"WITH {_FUNNEL} SELECT start_pv FROM started"
 PAGE_CONVERT_RATE = f"WITH {_FUNNEL} SELECT * FROM rates"
 PAGE_CONVERT_STRING = f"WITH {_FUNNEL} SELECT string_agg(split || '=' || coalesce(printf('%.2f', rate), ''), '|' ORDER BY step) AS convert_rate FROM rates"
@@ -145,6 +146,10 @@ ranked AS (
   FROM by_area b JOIN part ON p_partkey = product_id)
 SELECT area, {_LEVEL} AS area_level, product_id, city_infos, click_count, product_name, product_status, place FROM ranked WHERE place <= 3"""
 
+SKEW_KEY_SAMPLE = """SELECT l_suppkey, count(*) AS n FROM lineitem
+WHERE CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) < CAST(0.1 * 4294967296 AS BIGINT)
+GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 5"""
+OBSERVED_COUNTS = f"WITH {_FILTERED} SELECT count(*) AS session_count, {', '.join(f'count(*) FILTER ({c}) AS {n}' for n, c in _BUCKETS)} FROM chosen"
 SALTED_COUNT = "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag"
 SALTED_GROUP_CONCAT = f"WITH {_SOLD} SELECT area, array_to_string(list_sort(list(DISTINCT city_name)), ',') AS joined FROM located GROUP BY area"
 SALTED_JOIN = f"WITH {_SOLD} SELECT area, city_name, count(*) AS click_count FROM located GROUP BY area, city_name"
@@ -190,3 +195,9 @@ JSON_SOURCE = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n
 FEDERATED_JOIN = "SELECT r_name, n_name, count(*) AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name, n_name"
 UPSERT_TABLE = "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN -count(*) ELSE count(*) END AS n FROM events GROUP BY user_id"
 ORC_PARTITION_LOAD = """SELECT strftime(ts, '%Y%m%d') AS d, strftime(ts, '%H') AS h, printf('%02d', (extract(minute FROM ts) // 5) * 5) AS m5, count(*) AS n FROM events GROUP BY ALL"""
+
+DAY_FUNCTIONS = """SELECT o_orderkey, '2024-03-01' AS today, '2024-02-29' AS yesterday, TRUE AS in_order, round(floor(o_totalprice / 7 * 1000) / 1000 + 0.00025, 2) AS price FROM orders"""
+MOCK_SOURCE = "SELECT * FROM (VALUES ('user_visit_action', 0, TRUE), ('user_info', 0, TRUE), ('product_info', 0, TRUE)) v(name, bad, filled)"
+REPLACE_GROUPS = "SELECT event_type, user_id, CASE WHEN event_type = 'click' THEN -count(*) ELSE count(*) END AS n FROM events GROUP BY event_type, user_id"
+PUBLISHED_PARTITIONS = "SELECT DISTINCT strftime(ts, '%Y%m%d') AS d, strftime(ts, '%H') AS h, printf('%02d', (extract(minute FROM ts) // 5) * 5) AS m5 FROM events"
+SESSION_JOB = f"SELECT CAST(7 AS BIGINT) AS task_id, (WITH {_FILTERED} SELECT count(*) FROM chosen) AS session_count, ({PAGE_CONVERT_STRING}) AS convert_rate"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ENDING: set[str] = set()
 
 
 def session(app: str = "rillway", **settings: str) -> SparkSession:
@@ -24,11 +26,34 @@ def session(app: str = "rillway", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and its class of paths."""
+    jvm = spark.sparkContext._jvm
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir; a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
+    """A new path in the folder that all executors share, spark.checkpoint.dir; what is there goes when the application ends.
+
+    Where that is unset, a folder of our own on a single machine; on a cluster that is an error.
+    """
+    base, app = spark.conf.get("spark.checkpoint.dir", ""), spark.sparkContext.applicationId
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rillway-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="rillway-")
         _OWN[app] = base
-    return f"{base.rstrip('/')}/rillway/{label}-{uuid.uuid4().hex}"
+    top = f"{base.rstrip('/')}/rillway-scratch-{app}"
+    if app not in _ENDING:
+        system, path = file_system(spark, top)
+        system.mkdirs(path(top))
+        system.deleteOnExit(path(top))
+        _ENDING.add(app)
+    return f"{top}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written to scratch and read again, so that several readers don't compute it several times."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from rillway.session import file_system
+
 PARTS = ("d", "h", "m5")
 
 
@@ -26,9 +29,8 @@ class JobResult:
 
 
 def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/*"))
+    fs, p = file_system(spark, path)
+    found = fs.globStatus(p(path.rstrip("/") + "/*"))
     return [(s.getPath().toString(), s.getLen()) for s in found or [] if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
 
 
@@ -65,6 +67,26 @@ def with_partitions(rows: DataFrame, ts: Column) -> DataFrame:
     return rows.withColumns({"d": F.date_format(ts, "yyyyMMdd"), "h": F.date_format(ts, "HH"), "m5": m5})
 
 
+def publish(spark: SparkSession, beside: str, target: str) -> list[dict[str, str]]:
+    """Moves complete partitions from a folder beside target into it, each in place of what it had; returns their values.
+
+    Until here a load has touched nothing in target, so one that fails leaves it as it was.
+    """
+    fs, path = file_system(spark, target)
+    found = fs.globStatus(path(beside + "".join(f"/{p}=*" for p in PARTS)))
+    out = []
+    for s in found or []:
+        names = s.getPath().toString().rstrip("/").split("/")[-len(PARTS) :]
+        to = path("/".join([target.rstrip("/"), *names]))
+        fs.mkdirs(to.getParent())
+        fs.delete(to, True)
+        if not fs.rename(s.getPath(), to):
+            raise RuntimeError(f"{s.getPath().toString()} can't be moved to {to.toString()}")
+        out.append(dict(x.split("=", 1) for x in names))
+    fs.delete(path(beside), True)
+    return out
+
+
 def load_logs(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], ts: Column, target: str, expected_files: int = 1, checks: int = 9, pause_s: float = 20.0, table: str | None = None) -> JobResult:
     """Loads the files under path into target, replacing the partitions that they touch and no others.
 
@@ -75,14 +97,15 @@ def load_logs(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataF
         if not wait_for_files(spark, path, expected_files, checks, pause_s):
             return JobResult(f"执行异常 fewer than {expected_files} files in {path}")
         rows = with_partitions(parse(read_lines(spark, path)), ts)
+        seen, beside = Observation(), f"{target.rstrip('/')}/.loading-{uuid.uuid4().hex}"
         # one partition's rows come together, a large one's are split again at run time
-        rows.hint("rebalance", *PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).orc(target)
-        published = [r.asDict() for r in rows.groupBy(*PARTS).count().collect()]  # a row for each partition
+        rows.observe(seen, F.count("*").alias("n")).hint("rebalance", *PARTS).write.partitionBy(*PARTS).orc(beside)
+        published = publish(spark, beside, target)
         if table:
             for r in published:
                 spec = ", ".join(f"{p}='{r[p]}'" for p in PARTS)
                 spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION '{target}/" + "/".join(f"{p}={r[p]}" for p in PARTS) + "'")
-        return JobResult("成功", [{p: r[p] for p in PARTS} for r in published], sum(r["count"] for r in published))
+        return JobResult("成功", published, seen.get["n"])
     except Exception as e:  # the caller gets a response, whatever went wrong
         return JobResult("执行异常 " + str(e).split("\n", 1)[0])
 

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,21 +46,76 @@ def test_late_clicks_are_dropped_by_the_watermark(spark, tmp_path):
     for k, values in enumerate(([line(0), line(300 * MINUTE)], [line(1)])):
         (folder / f"{k}.txt").write_text("\n".join(values) + "\n")
         clicks = ads.parse_clicks(streams.file_lines(spark, f"file://{folder}"))
-        live.finished(live.start(live.minutes(clicks, "10 minutes"), result, f"file://{tmp_path}/state", "update", keys=["minute_start", "ad_id"]), result)
+        live.start(live.minutes(clicks, "10 minutes"), lambda batch, n: result.upsert(batch, ["minute_start", "ad_id"], n), f"file://{tmp_path}/state", "update").awaitTermination()
     assert sorted(r.click_count for r in result.read().collect()) == [1, 1]
 
 
-def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
-    folder, result = tmp_path / "in", sinks.VersionedTable(spark, f"file://{tmp_path}/out")
+@pytest.mark.parametrize("in_state", [False, True])
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path, in_state):
+    folder, result = tmp_path / "in", sinks.DatedTable(spark, f"file://{tmp_path}/out")
     folder.mkdir()
     none = spark.createDataFrame([], "user_id long")
     for k in range(3):
         (folder / f"{k}.txt").write_text(line(k) + "\n")
         clicks = ads.parse_clicks(streams.file_lines(spark, f"file://{folder}"))
-        live.finished(live.start(live.user_daily(clicks, none), result, f"file://{tmp_path}/state", "update", keys=["date", "user_id", "ad_id"]), result)
+        if in_state:
+            live.start(live.in_state(clicks, none, live.DAILY), lambda batch, n: result.merge(batch, live.DAILY, n), f"file://{tmp_path}/state", "update").awaitTermination()
+        else:
+            live.counted(clicks, lambda: none, ads.user_daily_counts, live.DAILY, result, f"file://{tmp_path}/state").awaitTermination()
     assert [r.click_count for r in result.read().collect()] == [3]
 
 
+def test_a_batch_costs_what_it_touches(spark, tmp_path):
+    """What a batch writes doesn't grow with the history, and a repeated one adds nothing."""
+    table, days = sinks.DatedTable(spark, f"file://{tmp_path}/t"), 6
+    for k in range(days):
+        rows = ads.user_daily_counts(ads.parse_clicks(lines(spark, [line(k * 1440 * MINUTE, user=u) for u in range(50)])))
+        for _ in range(2):
+            assert len(table.merge(rows, live.DAILY, k, add=["click_count"])) == 1
+    assert [len([x for x in (tmp_path / "t" / f"batch-{k}").iterdir() if x.name.startswith("part=")]) for k in range(days)] == [1] * days
+    assert table.read().agg(F.sum("click_count"), F.count("*")).first()[:] == (50 * days, 50 * days)
+    for k in range(days, days + 4):  # the same day again: its older states go
+        table.merge(ads.user_daily_counts(ads.parse_clicks(lines(spark, [line(0, user=1)]))), live.DAILY, k, add=["click_count"])
+    assert len(list((tmp_path / "t").glob("batch-*/part=2024-01-01"))) == 2
+    assert table.read().where("user_id = 1 AND date = DATE'2024-01-01'").first().click_count == 5
+    added = sinks.BatchedTable(spark, f"file://{tmp_path}/b")
+    for k in (0, 1, 1):
+        added.add(spark.createDataFrame([(k,)], "n long"), k)
+    assert sorted(r.n for r in added.read().collect()) == [0, 1]
+
+
+def test_tops_replace_the_touched_days_only(spark, tmp_path):
+    folder, result = tmp_path / "in", sinks.DatedTable(spark, f"file://{tmp_path}/out")
+    folder.mkdir()
+    for k, values in enumerate(([line(0, ad=1), line(1440 * MINUTE, ad=1)], [line(1, ad=2), line(2, ad=2)])):
+        (folder / f"{k}.txt").write_text("\n".join(values) + "\n")
+        clicks = ads.parse_clicks(streams.file_lines(spark, f"file://{folder}"))
+        live.counted(clicks, None, ads.city_counts, live.CITY, result, f"file://{tmp_path}/state", then=live.top_of_days(f"file://{tmp_path}/top")).awaitTermination()
+    found = sorted((str(r.date), r.place, r.ad_id, r.click_count) for r in spark.read.parquet(f"file://{tmp_path}/top").collect())
+    assert found == [("2024-01-01", 1, 2, 2), ("2024-01-01", 2, 1, 1), ("2024-01-02", 1, 1, 1)]
+
+
+def test_console(spark, capfd, tmp_path):
+    sinks.console(spark.createDataFrame([("shown whole, however long it may be",)], "c string"))
+    (tmp_path / "a.txt").write_text("streamed\n")
+    sinks.console(streams.file_lines(spark, f"file://{tmp_path}")).awaitTermination()
+    said, tries = "", 0
+    while "streamed" not in said and tries < 50:  # the other process's output comes when it comes
+        said, tries = said + capfd.readouterr().out, tries + 1
+        time.sleep(0.2)
+    assert "shown whole, however long it may be" in said and "streamed" in said
+
+
+def test_a_failed_load_leaves_what_was_there(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("1\t2024-01-01 05:07:00\n2\t2024-01-01 06:07:00\n")
+    parse = logs.delimited(["n", "time"], "time")
+    load = lambda p: logs.load_logs(spark, f"file://{tmp_path}/logs", p, F.to_timestamp("time"), f"file://{tmp_path}/out")
+    assert load(parse).rows == 2
+    assert not load(lambda d: parse(d).withColumn("n", F.when(F.col("n") == "2", F.raise_error(F.lit("broken"))).otherwise("9"))).ok
+    assert sorted(r.n for r in logs.read_partitions(spark, f"file://{tmp_path}/out").collect()) == ["1", "2"]
+
+
 def test_upsert_is_idempotent_by_version(spark, tmp_path):
     table = sinks.VersionedTable(spark, f"file://{tmp_path}/t")
     rows = lambda *r: spark.createDataFrame(r, "k long, n long")
@@ -110,17 +166,18 @@ def test_log_load(spark, tmp_path):
     assert logs.load_logs(spark, f"file://{folder}", lambda d: d.select("missing"), F.to_timestamp("time"), f"file://{tmp_path}/out").message.startswith("执行异常")
 
 
-def test_a_changed_blacklist_holds_from_the_next_batch(spark, tmp_path):
-    folder, result = tmp_path / "in", sinks.VersionedTable(spark, f"file://{tmp_path}/out")
+@pytest.mark.parametrize("count, keys", [(ads.user_daily_counts, live.DAILY), (ads.city_counts, live.CITY), (live.minutes_of, live.MINUTE)])
+def test_a_changed_blacklist_holds_from_the_next_batch(spark, tmp_path, count, keys):
+    folder, result = tmp_path / "in", sinks.DatedTable(spark, f"file://{tmp_path}/out")
     folder.mkdir()
     banned = []
     load = lambda: spark.createDataFrame([(u,) for u in banned], "user_id long")
     for k in range(3):
         (folder / f"{k}.txt").write_text(f"{line(k, user=1)}\n{line(k, user=2)}\n")
         clicks = ads.parse_clicks(streams.file_lines(spark, f"file://{folder}"))
-        live.with_fresh_blacklist(clicks, load, result, f"file://{tmp_path}/state").awaitTermination()
+        live.counted(clicks, load, count, keys, result, f"file://{tmp_path}/state").awaitTermination()
         banned = [2]
-    assert {r.user_id: r.click_count for r in result.read().collect()} == {1: 3, 2: 1}
+    assert result.read().agg(F.sum("click_count")).first()[0] == 4
 
 
 def test_published_partitions_are_added_to_the_table(spark, tmp_path):

@@ -72,5 +72,5 @@ def test_ratio_rounds_half_up(spark, part, whole, expected):
 
 def test_sql_functions(spark):
     x.register_sql_functions(spark)
-    row = spark.sql("SELECT concat_long_string(1, 'a', '-') AS a, remove_random_prefix(random_prefix('b_c', 10)) AS b, trim_comma(',d,') AS c").first()
-    assert tuple(row) == ("1-a", "b_c", "d")
+    row = spark.sql("SELECT concat_long_string(1, 'a', '-') AS a, remove_random_prefix(random_prefix('b_c', 10)) AS b, trim_comma(',d,') AS c, trim_comma(',a,\\n') AS d").first()
+    assert tuple(row) == ("1-a", "b_c", "d", "a,\n")

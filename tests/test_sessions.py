@@ -156,7 +156,7 @@ def test_mock_tables_are_reproducible(spark):
 
 def test_session_job_writes_every_result(spark, tmp_path):
     made = mock_tables(spark, users=6, sessions=3, actions=20, seed=2)
-    actions = made["user_visit_action"].withColumns({"action_time": F.to_timestamp("action_time"), "action_id": F.monotonically_increasing_id()})
+    actions = made["user_visit_action"]
     with jobs.session_job(actions, made["user_info"], TaskParams(), extract=10) as results:
         jobs.save(results, f"file://{tmp_path}", 7)
     for name in results:
@@ -167,6 +167,17 @@ def test_session_job_writes_every_result(spark, tmp_path):
     assert found.count() == 3 and jobs.funnel_job(actions, TaskParams(target_page_flow=(1, 2)))["page_split_convert_rate"].count() == 1
 
 
+def test_tasks_by_id(spark, tmp_path):
+    made = mock_tables(spark, users=4, sessions=3, actions=20, seed=2)
+    made["city_info"] = spark.createDataFrame([(k, f"c{k}", "华东") for k in range(10)], "city_id long, city_name string, area string")
+    kinds = [(1, jobs.SESSION, None), (2, jobs.FUNNEL, '{"targetPageFlow":["1,2,3"]}'), (3, jobs.PRODUCT, None), (4, jobs.FUNNEL, None), (5, "other", None)]
+    tasks = spark.createDataFrame(kinds, "task_id long, task_type string, task_param string")
+    assert [len(jobs.run_task(tasks, k, made, f"file://{tmp_path}")) for k in (1, 2, 3)] == [6, 1, 1]
+    for k, error in ((4, "flow"), (5, "unknown kind"), (6, "no task")):
+        with pytest.raises((ValueError, LookupError), match=error):
+            jobs.run_task(tasks, k, made, f"file://{tmp_path}")
+
+
 def test_observed_counts_are_the_bucket_counts(spark):
     rows = spark.createDataFrame([(v, v) for v in (0, 2, 5, 70)], "visit_length long, step_length long")
     same, side = sessions.observed(rows)
