@@ -126,7 +126,9 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
         total += n
     base = placed.sparkSession.createDataFrame(bases or [(0, 0)], "__p long, __base long")
     row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
+    out = placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
+    out._rillway_path = placed._rillway_path
+    return out
 
 
 #: Rows and bytes of an Arrow batch, where rows are whole texts; a longer text is a batch by itself.

@@ -1,18 +1,20 @@
-"""Removal of repeated byte strings by prefix doubling on a thinned set of positions.
+"""Removal of repeated byte strings by distributed prefix doubling on a thinned set of positions.
 
-Plain prefix doubling sorts every position of the corpus in every round. Here names (ranks) of strings are
-fingerprints, which a position gets from prefix sums without asking other positions, so a round is only what must be
-global: counting names and dropping positions that are unique. Positions are thinned before the first round: of the
-places where a window of THRESHOLD bytes holds a string of FIRST bytes, the one with the smallest fingerprint is the
-window's anchor. Equal windows have equal anchors at equal places, and neighbouring windows share theirs.
+Plain prefix doubling sorts every position of the corpus in every round. Here positions are thinned before the first:
+of the places where a window of THRESHOLD bytes holds a string of FIRST bytes, the one with the smallest fingerprint is
+the window's anchor. Equal windows have equal anchors at equal places, and neighbouring windows share theirs. An
+anchor's context is all its windows together, up to 2 * THRESHOLD - FIRST bytes.
 
-Round 1, length FIRST: anchors are counted by name; those of a name that occurs once are gone, with their windows.
-Round 2, length of an anchor's context (all its windows together, up to 2 * THRESHOLD - FIRST): contexts that occur
-twice or more are repeats with all their windows.
-Round 3, length THRESHOLD: where an anchor's name has different contexts, one context of each kind is cut into its
-windows, and these are counted; it settles the edges of repeats.
+Spark sorts the anchors' rank pairs at growing offsets: first their first FIRST bytes, of which those that are unique go
+with their windows; then pairs of that rank and what stands at the offset FIRST, then of the new rank and what stands at
+twice that, up to the context's end, which is past the threshold; then of that rank and what stands before the anchor.
+Anchors of equal last ranks have equal contexts, so these are repeats with all their windows. What stands at an offset
+goes by its fingerprint, which a position gets from prefix sums without asking other positions.
 
-repeated_starts is the plain form, with sorted rank pairs at growing offsets, for tables small enough to bear it.
+Where an anchor's first rank has different contexts, one context of each kind is cut into its windows, and these are
+counted; it settles the edges of repeats.
+
+repeated_starts is the plain form, for tables small enough to bear it.
 """
 
 from __future__ import annotations
@@ -53,12 +55,12 @@ def _parts(data: bytes, threshold: int, size: int) -> Iterator[tuple[int, np.nda
 
 
 def anchors(data: bytes, threshold: int, first: int, size: int = PART) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each part: anchor's place, first and last start of its windows, name, and context's name."""
+    """For each part: anchor's place, first and last start of its windows, and fingerprints: of its first bytes, of the next as many, of the rest of its context, and of what its context has before it."""
     keep = ~np.uint64((1 << _PLACE_BITS) - 1)
     for a, part in _parts(data, threshold, size):
         if len(part) < threshold:
             continue
-        name, context = Windows(part, 1), Windows(part, 2)
+        name, other = Windows(part, 1), Windows(part, 2)
         every = name.all(first)
         # the fingerprint's leading bits, then the place: the smallest is the leftmost of equals
         packed = (every & keep) | np.arange(len(every), dtype=np.uint64)
@@ -66,11 +68,13 @@ def anchors(data: bytes, threshold: int, first: int, size: int = PART) -> Iterat
         begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         end = np.append(begin[1:], len(place)) - 1
         at = place[begin]
-        both = mixed(context.of(begin, end + threshold) + (at - begin).astype(np.uint64) * ODD + ((end - begin).astype(np.uint64) << np.uint64(40)))
-        yield at + a, begin + a, end + a, every[at].view(np.int64), both.view(np.int64)
+        stop = end + threshold
+        second = np.minimum(at + 2 * first, stop)
+        after = [other.of(x, y) + (y - x).astype(np.uint64) * ODD for x, y in ((at + first, second), (second, stop), (begin, at))]
+        yield at + a, begin + a, end + a, every[at].view(np.int64), *(mixed(x).view(np.int64) for x in after)
 
 
-_ANCHORS = "doc long, h long, place long, name long, context long"
+_ANCHORS = "doc long, h long, place long, name long, next long, rest long, left long"
 #: An anchor's place and its windows' first and last start in one number; these start at most 2**16 - 1 bytes before it.
 _BEGIN, _END = "(place >> 32) - (place >> 16 & 65535)", "(place >> 32) - (place & 65535)"
 
@@ -84,16 +88,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
 
 def _find_anchors(threshold: int, first: int, size: int):
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["doc", "h", "place", "name", "context"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["doc", "h", "place", "name", "next", "rest", "left"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             held: list[tuple] = []
             rows_held = 0
             for doc, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for at, lo, hi, name, context in anchors((text or "").encode("utf-8", "surrogatepass"), threshold, first, size):
+                for at, lo, hi, *names in anchors((text or "").encode("utf-8", "surrogatepass"), threshold, first, size):
                     n = len(at)
-                    held.append((np.full(n, doc, np.int64), np.full(n, h, np.int64), at << 32 | (at - lo) << 16 | (at - hi), name, context))
+                    held.append((np.full(n, doc, np.int64), np.full(n, h, np.int64), at << 32 | (at - lo) << 16 | (at - hi), *names))
                     rows_held += n
                 if rows_held > 200_000:
                     yield batch_of(held)
@@ -225,6 +229,15 @@ def _cut(docs_of: pa.RecordBatch, with_bytes: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out))[:n], kinds)], names[:n])
 
 
+def _reranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with a new rank, the place of their pair of by in the order of all such pairs, instead of the pair."""
+    # counts are staged before they are joined: so both sides are dealt anew, and a hot pair's rows can be split
+    ranked = with_rank(rows.select(*by).distinct(), [F.col(c) for c in by], "new", "ranks")
+    out = stage(rows.join(ranked, by).drop(*by).withColumnRenamed("new", "rank"), "ranked")
+    discard(rows, ranked)
+    return out
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, part: int = PART, together: int = TOGETHER) -> DataFrame:
     """For every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_bytes adds kept (binary) and spans.
 
@@ -236,18 +249,20 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIR
     whole_texts(docs.sparkSession)
     own = numbered(docs.select(F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text_col}`").alias("text")), "own_id", "doc", "h").select("doc", "h", "text")
     found = stage(own.mapInArrow(_find_anchors(threshold, first, part), _ANCHORS), "anchors")
-    # round 1: names that occur once are gone
-    # counts are staged before they are joined: so both sides are dealt anew, and a hot name's rows can be split
+    # offset 0: what occurs once is gone
     names = stage(found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
-    left = stage(found.join(names, "name", "left_semi"), "repeated")
-    discard(found, names)
-    # round 2: contexts
+    ranks = with_rank(names, [F.col("name")], "first", "ranks")
+    now = stage(found.join(ranks, "name").drop("name").withColumn("rank", F.col("first")), "repeated")
+    discard(found, names, ranks)
+    # the offsets first and 2 * first, and what stands before
+    for part_of in ("next", "rest", "left"):
+        now = _reranked(now, ["rank", part_of])
     one = F.min(F.struct("doc", "h", "place"))
-    contexts = stage(left.groupBy("name", "context").agg(F.count("*").alias("times"), one.alias("one")), "contexts")
-    whole = left.join(contexts.where("times > 1").select("name", "context"), ["name", "context"], "left_semi")
+    contexts = stage(now.groupBy(F.col("first").alias("name"), F.col("rank").alias("context")).agg(F.count("*").alias("times"), one.alias("one")), "contexts")
+    whole = now.join(contexts.where("times > 1").select(F.col("context").alias("rank")), "rank", "left_semi")
     spans = stage(whole.select("doc", "h", F.expr(_BEGIN).alias("lo"), (F.expr(_END) + threshold).alias("hi")), "whole")
-    discard(left)
-    # round 3: windows of one context of each kind, where a name has several kinds
+    discard(now)
+    # windows of one context of each kind, where a first rank has several kinds
     several = stage(contexts.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     chosen = contexts.join(several, "name").select("one.*", "name", "kinds", "times")
     by_text = chosen.groupBy("doc", "h").agg(F.collect_list(F.struct("place", "name", "kinds", "times")).alias("wanted"))
