@@ -10,6 +10,7 @@ cut at blanks alone, or goes to the library whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 
 from rillway.llm.staging import kept
 
-#: Pieces that a worker remembers; beyond it starts over, which costs time and changes no id.
+#: Pieces that a worker remembers; beyond, it keeps those that came up again, half as many at most. That changes no id.
 REMEMBERED = 250_000
 #: White space besides blanks and line ends, and zero characters.
 _RARE = re.compile(r"[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -61,9 +62,29 @@ class Encoder:
         self.place: dict[str, int] = {}
         self.first = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
+        self.again = np.zeros(1024, np.int32)  # in how many groups of texts a known piece came up
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Forgets the pieces that never came up again, and of the others the rarest if they are too many."""
+        n = len(self.place)
+        again = self.again[:n]
+        kept = np.flatnonzero(again)
+        if len(kept) > self.remembered // 2:
+            kept = np.sort(kept[np.argsort(-again[kept], kind="stable")[: self.remembered // 2]])
+        names, size, first, flat, again = list(self.place), self.length[kept], self.first[kept], self.flat, again[kept] // 2
+        self._forget()
+        m, total = len(kept), int(size.sum())
+        ends = np.cumsum(size)
+        where = np.repeat(first - (ends - size), size) + np.arange(total)
+        self.place = {names[k]: i for i, k in enumerate(kept.tolist())}
+        room = 1 << max(10, m.bit_length())
+        self.first, self.length, self.again = (np.zeros(room, x.dtype) for x in (self.first, self.length, self.again))
+        self.first[:m], self.length[:m], self.again[:m] = ends - size, size, again
+        self.flat = np.concatenate([flat[where], np.zeros(4096, np.int32)])
+        self.used = total
+
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = pieces if not self.keeps_space else [x[1:] if x[:1] == "\0" else " " + x for x in pieces]
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,7 +111,7 @@ class Encoder:
                 sizes, ids = encode(part)
                 n = len(self.place)
                 while n + len(part) > len(self.first):
-                    self.first, self.length = np.concatenate([self.first, self.first]), np.concatenate([self.length, self.length])
+                    self.first, self.length, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.again))
                 while self.used + len(ids) > len(self.flat):
                     self.flat = np.concatenate([self.flat, self.flat])
                 self.first[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
@@ -126,11 +147,12 @@ class Encoder:
         if not cut:
             return out
         if len(self.place) > self.remembered:
-            self._forget()
+            self._shrink()
         split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         counted = split.flatten().dictionary_encode()
         pieces = counted.dictionary.to_pylist()
         at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.again[at[at >= 0]] += 1
         new = np.flatnonzero(at < 0).tolist()
         if new:
             self._learn([pieces[i] for i in new])
@@ -148,6 +170,19 @@ class Encoder:
         return out
 
 
+def larger(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have that many bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def in_groups(texts: list[str | None], most: int = 3_000_000):
     """Index ranges of texts with about that many characters at most; a longer text is alone."""
     begin, held = 0, 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm.staging import stage, tidy, unused, whole_texts
-from rillway.llm.encoding import encoder, in_groups
+from rillway.llm.encoding import encoder, in_groups, larger
 
 #: Pieces that one task packs together. Blocks grow in number with the input, never in size.
 BLOCK_PIECES = 65_536
@@ -20,8 +20,8 @@ PATIENCE = 300
 #: Two sequences of so many pieces together exchange any of them; of larger ones the PROBES largest pieces are looked at.
 SMALL, PROBES = 9, 32
 
-#: Characters of texts that are encoded together: fewer take less memory and more time.
-GROUP_CHARS = 3_000_000
+#: Characters of texts that are encoded together, and pieces that a worker remembers: fewer take less memory and more time.
+GROUP_CHARS, REMEMBERED = 5_000_000, 500_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -177,16 +177,16 @@ def pack(lengths: np.ndarray, capacity: int, patience: int | None = PATIENCE) ->
     return search.where, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = GROUP_CHARS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = GROUP_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """A row for each piece of a document's ids (with end_id); only documents of over capacity ids are cut."""
     whole_texts(docs.sparkSession)
     schema = _PIECES + ", ids array<int>" * with_ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, False)
+        encode = encoder(tokenizer, False, remembered)
         end = np.array([end_id], np.int64)
-        for batch in batches:
+        for batch in larger(batches, group_chars):
             docs_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in in_groups(texts, group_chars):
                 rows: list[tuple] = []
@@ -230,20 +230,20 @@ def pack_pieces(pieces: DataFrame, capacity: int, length_col: str = "length") ->
     return placed.join(found, F.col(row) == F.col(of)).drop(row, of).unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = GROUP_CHARS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, group_chars: int = GROUP_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """Packs every whole text into sequences of at most capacity ids.
 
     A null or empty text is its end id alone. Rows that repeat, or share a doc_id, are documents of their own. A
     null doc_id stays null. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
-    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, group_chars), capacity)
+    return pack_pieces(token_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids, group_chars, remembered), capacity)
 
 
-def pack_for_training(docs: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
+def pack_for_training(docs: DataFrame, group_chars: int = GROUP_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """Production parameters: 49k word pieces, end id 1, sequences of 4096."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, group_chars=group_chars)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, group_chars=group_chars, remembered=remembered)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm.staging import new_path, numbered, tidy, whole_texts
-from rillway.llm.encoding import encoder, in_groups
+from rillway.llm.encoding import encoder, in_groups, larger
 
 _SHARD = "shard long, name string, width int, n_docs long, n_tokens long"
 
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         end = np.array([end_id], kind).tobytes()
 
         def ids() -> Iterator[bytes]:
-            for batch in batches:
+            for batch in larger(batches, 5_000_000):
                 names.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype("u1"))
                 texts = batch.column(1).to_pylist()
