@@ -328,7 +328,7 @@ def identify(docs: DataFrame, samples: list[tuple[str, list[str]]], text_col: st
         languages = built(samples)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = [x for a, b in in_groups(texts, 1_000_000) for x in languages.judge(texts[a:b])]
+            found = [x for a, b in in_groups(texts, 500_000) for x in languages.judge(texts[a:b])]
             del texts
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.int32())[: len(added)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.staging import discard, numbered, stage, tidy, unused, whole_texts
+from rillway.llm.staging import discard, numbered, release, stage, tidy, unused, whole_texts
 from rillway.llm.windows import Windows, mixed
 
 #: Characters besides white space that a unit has at least (but for a text's last and first units).
@@ -135,6 +135,7 @@ def cut(text: str, spans: list[tuple[int, int, int]]) -> tuple[str, list[dict]]:
 
 def _units(min_unit: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             docs, numbers, sizes, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], [np.zeros((0, 2), np.int64)]
             for text in batch.column(2):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm.components import components
-from rillway.llm.staging import LAST, discard, numbered, plain_words, stage, tidy, unused, whole_texts
+from rillway.llm.staging import LAST, discard, numbered, plain_words, release, stage, tidy, unused, whole_texts
 from rillway.llm.windows import ODD, Windows, mixed
 
 SHINGLE = 5
@@ -136,6 +136,7 @@ def _digest(text: str | None) -> bytes:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (doc, row, text): the digest of the words, the number of shingles, the MinHash values' low 16 bits and the bands."""
+    release()
     for batch in batches:
         out: list[list] = [[], [], [], []]
         for text in batch.column(2):

@@ -132,7 +132,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
 
 
 #: Rows and bytes of an Arrow batch, where rows are whole texts; a longer text is a batch by itself.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def whole_texts(spark: SparkSession) -> None:
@@ -157,6 +157,13 @@ def kept(key, build):
     return _KEPT[key]
 
 
+def release() -> None:
+    """Lets go of the large object that the worker holds, for steps that need none."""
+    if _KEPT:
+        _KEPT.clear()
+        tidy()
+
+
 def tidy() -> None:
     """Gives freed memory back to the system, which workers that Spark uses again would otherwise hold."""
     import ctypes
