@@ -60,7 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document and its place in a sequence; a null or empty text is its end id alone, rows that repeat are documents of their own."""
-    return pack_for_training(docs, group_chars=1_000_000, remembered=250_000)  # workers still hold memory of the stages before
+    return pack_for_training(docs, group_chars=500_000, remembered=100_000)  # workers still hold memory of the stages before
 
 
 STAGES = [
