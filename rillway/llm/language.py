@@ -25,10 +25,11 @@ SAMPLE_CHARS = 60_000
 SAMPLE_TEXT = 6_000
 #: Rows for each language that the sample is picked from.
 SAMPLE_ROWS = 64
-#: Characters of all languages' samples together: with more than 20 labels each has less, down to a thousand.
-ALL_CHARS = 1_200_000
-#: Languages that can be learned; more labels than this are an error.
-MOST_LANGUAGES = 1000
+#: Characters of all languages' samples together: with more than 8 labels each has less, down to a thousand. A worker's
+#: tables take up to 800 bytes for each, so 400 MB.
+ALL_CHARS = 480_000
+#: Languages that can be learned: the labels of most rows (ties: the first by name), as the samples are bounded.
+MOST_LANGUAGES = 480
 #: A long text is walked in so many symbols at a time, side by side; where a walk doesn't fall in with that of the text
 #: before it within FALL_IN symbols, the text is walked in one.
 STRETCH, FALL_IN = 1024, 256
@@ -276,14 +277,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """The sample of each language, in name order: a few KB each, whatever the size of the table.
 
     Rows are picked by the hash of their text, so the same table gives the same sample, and copies count once. Only
-    counts by language and the picked rows come to the driver. Every language that has a text with letters is learned:
-    of texts of over SAMPLE_TEXT characters the sample has a stretch. Null labels teach nothing.
+    counts by language and the picked rows come to the driver. Every language that has a text with letters is learned, of
+    more than MOST_LANGUAGES those of most rows: of texts of over SAMPLE_TEXT characters the sample has a stretch. Null
+    labels teach nothing.
     """
     lettered = F.regexp_instr(F.col(text_col), F.lit(_LETTERS))
     usable = labelled.where(F.col(lang_col).isNotNull() & (lettered > 0))
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    labels = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in labels.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return []
     # about 4 times the rows wanted by a threshold on the hash, then an exact pick: no language is gathered whole

@@ -220,7 +220,7 @@ def test_op10_on_held_out_rows(spark, sf_dir):
 
 
 def many_letters(n, size, seed, first=0x4E00):
-    """Texts of an alphabet of 1,500 letters, the common ones first."""
+    """Texts of an alphabet of 1,500 letters, the frequent ones first."""
     rng = random.Random(seed)
     return ["".join(chr(first + x) for x in rng.choices(range(1500), [1 / (k + 1) for k in range(1500)], k=size)) for _ in range(n)]
 
@@ -261,3 +261,13 @@ def test_languages_of_long_texts_are_learned(spark):
     assert all(len(x) == SAMPLE_TEXT and x.startswith("der hund") for x in samples["de"]) and samples["fr"]
     docs = spark.createDataFrame([(1, "die katze und der hund")], "doc_id long, text string")
     assert identify(docs, list(samples.items())).first().lang_pred == "de"
+
+
+def test_of_too_many_labels_those_of_most_rows_are_learned(spark, monkeypatch):
+    from rillway.llm import language
+
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    rows = [(k, f"some text of {name} number {k}", name) for name, n in (("en", 9), ("fr", 5), ("b", 2), ("a", 2), ("dirty", 1)) for k in range(n)]
+    samples = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [name for name, _ in samples] == ["a", "en", "fr"]
+    assert sum(len(t) for _, texts in samples for t in texts) <= language.ALL_CHARS
