@@ -99,9 +99,11 @@ class Table:
                     t[k, c] = to
                 else:
                     rare.append((k * symbols + c, to))
+        del go
         t[:, 0] = -1
-        root = np.where(t[0] >= 0, t[0], 0)
-        self.step = np.where(t >= 0, t, -1 - root[None, :]).astype(np.int32).ravel()
+        begins = -1 - np.maximum(t[0], 0)
+        np.copyto(t, begins, where=t < 0)  # in place, as workers have little memory
+        self.step = t.ravel()
         rare.sort()
         self.keys = np.array([k for k, _ in rare], np.int64)
         self.next = np.array([to for _, to in rare], np.int32)

@@ -110,6 +110,16 @@ def numbered(docs: DataFrame, id_col: str, doc: str, row: str) -> DataFrame:
     return stage(out.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver has. It goes by Arrow: a list of tuples would go through Python workers of its own, which then stay idle."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds))
+
+
 def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
     """Adds each row's global place (long, from 0) in the order, without gathering rows in one task.
 
@@ -124,7 +134,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
     for p, n in counts:
         bases.append((p, total))
         total += n
-    base = placed.sparkSession.createDataFrame(bases or [(0, 0)], "__p long, __base long")
+    base = small_table(placed.sparkSession, bases or [(0, 0)], "__p long, __base long")
     row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     out = placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + row).drop("__p", "__base", "__at")
     out._rillway_path = placed._rillway_path
@@ -154,6 +164,7 @@ def kept(key, build):
         _KEPT.clear()
         tidy()
         _KEPT[key] = build()
+        tidy()
     return _KEPT[key]
 
 
