@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway import schemas
+from rillway import embedded, schemas
 from rillway.functions import predicates as p
 from rillway.functions import text as x
 from rillway.functions import time as t
@@ -460,10 +460,11 @@ def json_source(spark, d):
 
 @query(s.JSON_SOURCE)
 def jdbc_source(spark, d):
-    """By way of a database inside the driver; for local mode, where executors are in it too."""
-    url, driver = f"jdbc:derby:memory:rw{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    append(a.table(spark, d, "nation"), url, "jdbc", dbtable="NATION", driver=driver)
-    registry.register(spark, [{"datasource_type": registry.MYSQL, "url": url, "source_table": "NATION", "target_table": "rw_nation_jdbc", "driver": driver}])
+    """By way of a database inside the driver."""
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    with embedded.database(spark) as url:
+        append(a.table(spark, d, "nation"), url, "jdbc", dbtable="NATION", driver=driver)
+        registry.register(spark, [{"datasource_type": registry.MYSQL, "url": url, "source_table": "NATION", "target_table": "rw_nation_jdbc", "driver": driver}])
     return spark.table("rw_nation_jdbc").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
 
 

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway import embedded
 from rillway.session import file_system
 
 
 def append(df: DataFrame, target: str, kind: str = "parquet", **options: str) -> None:
-    """Adds rows to a table of files, or by JDBC if kind is jdbc and target its url."""
-    if kind == "jdbc":
+    """Adds rows to a table of files, or by JDBC if kind is jdbc and target its url; to a database inside the driver, through the driver."""
+    if kind == "jdbc" and embedded.is_embedded(target):
+        embedded.append(df, target, **options)
+    elif kind == "jdbc":
         df.write.format("jdbc").options(url=target, **options).mode("append").save()
     else:
         df.write.format(kind).options(**options).mode("append").save(target)

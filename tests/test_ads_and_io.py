@@ -1,10 +1,15 @@
 import datetime
+import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from rillway import sinks
+from rillway import embedded, sinks
 from rillway.operators import ads
+from rillway.plans.catalogue import SQL
 from rillway.sources import logs, registry, streams
 from rillway.streaming import ads as live
 
@@ -144,6 +149,58 @@ def test_append_by_jdbc_and_registry(spark, tmp_path):
         registry.register(spark, [{"datasource_type": registry.PHOENIX, "target_table": "x"}])
 
 
+#: Runs a query where driver and executors are processes of their own, and prints its rows and what it leaves of the database.
+ON_A_CLUSTER = """
+import glob, json, sys, tempfile
+from pyspark.sql import SparkSession
+name, data, folder = sys.argv[1:]
+tempfile.tempdir = folder
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "1g", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.local.dir": f"{folder}/local",
+        "spark.checkpoint.dir": f"file://{folder}/shared", "spark.sql.warehouse.dir": f"{folder}/warehouse", "spark.driver.extraJavaOptions": f"-Dderby.system.home={folder}"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+import __spark_entry__
+found = [list(r) for r in __spark_entry__.queries()[name](spark, data).collect()]
+print("FOUND" + json.dumps([found, glob.glob(f"{folder}/rillway-derby-*")]))
+"""
+
+
+def on_a_cluster(name, data, folder):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_GATEWAY")} | {"PYTHONPATH": os.pathsep.join([repo, os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", ON_A_CLUSTER, name, data, str(folder)], env=env, cwd=folder, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    rows, left = json.loads(done.stdout.split("FOUND")[1])
+    assert left == []
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_jdbc_source_where_executors_are_other_processes(sf_dir, duck, tmp_path):
+    assert on_a_cluster("jdbc_source", sf_dir, tmp_path) == sorted(duck.sql(SQL["jdbc_source"]).fetchall(), key=str)
+
+
+def test_embedded_databases_are_told_from_servers():
+    assert all(embedded.is_embedded(f"jdbc:{x}") for x in ("derby:memory:a", "derby:/a;create=true", "h2:mem:a", "h2:~/a", "hsqldb:file:a", "sqlite:/a"))
+    assert not any(embedded.is_embedded(f"jdbc:{x}") for x in ("derby://h:1527/a", "h2:tcp://h/a", "hsqldb:hsql://h/a", "mysql://h/a", "postgresql://h/a"))
+
+
+@pytest.mark.parametrize("rows", [0, 1, 25])
+def test_rows_pass_through_the_driver_in_chunks(spark, monkeypatch, rows):
+    """All rows and types, nulls too, over many chunks; a second append adds its rows by column name."""
+    monkeypatch.setattr(embedded, "GROUP_ROWS", 2)
+    monkeypatch.setattr(embedded, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(embedded, "PART_BYTES", 2000)
+    made = "id AS K, IF(id % 3 = 0, NULL, id / 7) AS D, IF(id % 4 = 0, NULL, repeat('ä', int(id))) AS S, cast(id AS decimal(20, 3)) AS M, id % 2 = 0 AS B, date_add(DATE'2024-01-01', int(id)) AS T, timestamp_millis(id * 1001) AS U, cast(NULL AS int) AS N"
+    df, driver = spark.range(rows).select(F.expr(f"struct({made}) AS r")).select("r.*"), "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    with embedded.database(spark) as url:
+        sinks.append(df, url, "jdbc", dbtable="A", driver=driver)
+        sinks.append(df.select(*reversed(df.columns)).where("K > 20"), url, "jdbc", dbtable="A", driver=driver, batchsize=1)
+        found = registry.read_jdbc(spark, url, "A", driver=driver)
+        some = registry.read_jdbc(spark, url, "(SELECT K FROM A WHERE K < 3) q", driver=driver)
+    assert dict(found.dtypes) == dict(df.dtypes)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, df.union(df.where("K > 20")).collect()), key=str)
+    assert some.count() == min(rows, 3)
+
+
 def test_hive_kind_reads_a_view_and_registrations_have_lower_names(spark):
     spark.range(3).createOrReplaceTempView("known")
     listed = spark.createDataFrame([(1, "known", "again")], "DATASOURCE_TYPE int, SOURCE_TABLE string, TARGET_TABLE string")
