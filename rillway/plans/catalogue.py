@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -517,12 +516,13 @@ def upsert_table(spark, d):
 
 @query(s.UPSERT_TABLE)
 def upsert_jdbc_table(spark, d):
-    """By way of a database inside the driver; for local mode, where executors are in it too."""
-    url, options = f"jdbc:derby:memory:rw{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    e = a.table(spark, d, "events").where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("USER_ID")).agg(F.count("*").alias("N"))
-    append(e.where("USER_ID % 4 <> 0"), url, "jdbc", dbtable="COUNTS", **options)
-    upsert_jdbc(e.where("USER_ID % 2 = 0").withColumn("N", -F.col("N")), url, "COUNTS", ["USER_ID"], **options)
-    return registry.read_jdbc(spark, url, "COUNTS", **options).toDF("user_id", "n")
+    """By way of a database inside the driver."""
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    e = a.table(spark, d, "events").groupBy(F.col("user_id").alias("USER_ID")).agg(F.count("*").alias("N"))
+    with embedded.database(spark) as url:
+        append(e.where("USER_ID % 4 <> 0 OR USER_ID IS NULL"), url, "jdbc", dbtable="COUNTS", **options)
+        upsert_jdbc(e.where("USER_ID % 2 = 0").withColumn("N", -F.col("N")), url, "COUNTS", ["USER_ID"], **options)
+        return registry.read_jdbc(spark, url, "COUNTS", **options).toDF("user_id", "n")
 
 
 @query(s.UPSERT_TABLE)

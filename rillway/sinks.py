@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillway import embedded
 from rillway.session import file_system
@@ -28,17 +29,9 @@ def console(df: DataFrame, n: int = 20) -> None:
     df.show(n, truncate=False)
 
 
-def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], **options: str) -> None:
-    """Rows replace those of the same keys in a table by JDBC, and the others are added, in one transaction.
-
-    The rows are written to a table beside it first, by all executors; then two statements split them into updates and
-    inserts inside the database. Keys must not be null, and not repeat in df.
-    """
-    beside = f"{table}_{uuid.uuid4().hex[:12]}"
-    append(df, url, "jdbc", dbtable=beside, **options)
-    others = [c for c in df.columns if c not in keys]
-    same = " AND ".join(f"s.{k} = {table}.{k}" for k in keys)
-    jvm = df.sparkSession.sparkContext._jvm
+def execute_jdbc(spark: SparkSession, url: str, *statements: str, **options: str) -> None:
+    """Runs statements in a database by JDBC, in one transaction."""
+    jvm = spark.sparkContext._jvm
     given = jvm.java.util.Properties()
     for k, v in options.items():
         given.setProperty(k, v)
@@ -46,12 +39,8 @@ def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], **options:
     try:
         connection.setAutoCommit(False)
         run = connection.createStatement()
-        if others:
-            sets = ", ".join(f"{c} = (SELECT s.{c} FROM {beside} s WHERE {same})" for c in others)
-            run.executeUpdate(f"UPDATE {table} SET {sets} WHERE EXISTS (SELECT 1 FROM {beside} s WHERE {same})")
-        names = ", ".join(df.columns)
-        run.executeUpdate(f"INSERT INTO {table} ({names}) SELECT {', '.join('s.' + c for c in df.columns)} FROM {beside} s WHERE NOT EXISTS (SELECT 1 FROM {table} WHERE {same})")
-        run.executeUpdate(f"DROP TABLE {beside}")
+        for s in statements:
+            run.executeUpdate(s)
         connection.commit()
     except Exception:
         connection.rollback()
@@ -60,6 +49,32 @@ def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], **options:
         connection.close()
 
 
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], **options: str) -> None:
+    """Rows replace those of the same keys in a table by JDBC, and the others are added, in one transaction.
+
+    The rows are written to a table beside it first, as append does; then statements split them into updates and inserts
+    inside the database. Keys must not be null, and not repeat in df. The two tables beside it have indices, unless a key
+    is of a type that not every database can index; so the table itself needs none.
+    """
+    beside = f"{table}_{uuid.uuid4().hex[:12]}"
+    known = f"{beside}_k"
+    append(df, url, "jdbc", dbtable=beside, **options)
+    append(df.select(*keys).limit(0), url, "jdbc", dbtable=known, **options)
+    indexed = all(isinstance(df.schema[k].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)) for k in keys)
+    index = [f"CREATE UNIQUE INDEX {t}_i ON {t} ({', '.join(keys)})" for t in (beside, known) if indexed]
+    execute_jdbc(df.sparkSession, url, *index, **options)
+    others = [c for c in df.columns if c not in keys]
+    same = " AND ".join(f"s.{k} = {table}.{k}" for k in keys)
+    names, mine = ", ".join(df.columns), ", ".join(f"s.{c}" for c in df.columns)
+    statements = [f"INSERT INTO {known} ({', '.join(keys)}) SELECT DISTINCT {', '.join(f's.{k}' for k in keys)} FROM {table}, {beside} s WHERE {same}"]
+    if others:
+        sets = ", ".join(f"{c} = (SELECT s.{c} FROM {beside} s WHERE {same})" for c in others)
+        statements.append(f"UPDATE {table} SET {sets} WHERE EXISTS (SELECT 1 FROM {beside} s WHERE {same})")
+    there = " AND ".join(f"s.{k} = {known}.{k}" for k in keys)
+    statements.append(f"INSERT INTO {table} ({names}) SELECT {mine} FROM {beside} s WHERE NOT EXISTS (SELECT 1 FROM {known} WHERE {there})")
+    execute_jdbc(df.sparkSession, url, *statements, f"DROP TABLE {known}", f"DROP TABLE {beside}", **options)
+
+
 def with_task(df: DataFrame, task_id: int) -> DataFrame:
     return df.select(F.lit(task_id).cast("long").alias("task_id"), *df.columns)
 

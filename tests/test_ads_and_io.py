@@ -178,6 +178,31 @@ def test_jdbc_source_where_executors_are_other_processes(sf_dir, duck, tmp_path)
     assert on_a_cluster("jdbc_source", sf_dir, tmp_path) == sorted(duck.sql(SQL["jdbc_source"]).fetchall(), key=str)
 
 
+def test_upsert_jdbc_table_where_executors_are_other_processes(spark, duck, sf_dir, tmp_path):
+    """With null and negative users too, who are in the SQL's result."""
+    user = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN -user_id ELSE user_id END"
+    spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("user_id", F.expr(user)).write.parquet(f"file://{tmp_path}/data/events.parquet")
+    events = f"WITH events AS (SELECT * FROM '{tmp_path}/data/events.parquet/*.parquet') "
+    assert on_a_cluster("upsert_jdbc_table", f"{tmp_path}/data", tmp_path) == sorted(duck.sql(events + SQL["upsert_jdbc_table"]).fetchall(), key=str)
+
+
+def test_upsert_by_jdbc_of_many_keys(spark):
+    """Without an index of the table, where comparing all pairs would not end; other columns and repeated rows of the table stay."""
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    keys = ["id % 300 AS K1", "date_add(DATE'2024-01-01', int(id / 300)) AS K2"]
+    old = spark.range(60000).selectExpr(*keys, "IF(id < 0, NULL, 1) AS N", "IF(id < 0, NULL, id) AS KEPT")
+    new = spark.range(30000, 90000).selectExpr(*keys, "2 AS N")
+    with embedded.database(spark) as url:
+        for df in (old, old.where("KEPT = 45000")):
+            sinks.append(df, url, "jdbc", dbtable="T", **driver)
+        sinks.upsert_jdbc(new, url, "T", ["K1", "K2"], **driver)
+        found = registry.read_jdbc(spark, url, "T", **driver)
+        tables = registry.read_jdbc(spark, url, "(SELECT tablename FROM sys.systables WHERE tabletype = 'T') q", **driver).collect()
+    assert [r[0] for r in tables] == ["T"]
+    assert {tuple(r) for r in found.groupBy("N", F.col("KEPT").isNull()).count().collect()} == {(1, False, 30000), (2, False, 30001), (2, True, 30000)}
+    assert found.select("K1", "K2").distinct().count() == 90000
+
+
 def test_embedded_databases_are_told_from_servers():
     assert all(embedded.is_embedded(f"jdbc:{x}") for x in ("derby:memory:a", "derby:/a;create=true", "h2:mem:a", "h2:~/a", "hsqldb:file:a", "sqlite:/a"))
     assert not any(embedded.is_embedded(f"jdbc:{x}") for x in ("derby://h:1527/a", "h2:tcp://h/a", "hsqldb:hsql://h/a", "mysql://h/a", "postgresql://h/a"))
